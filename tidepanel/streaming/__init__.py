@@ -1,0 +1,2 @@
+"""Deliberately empty: the covered feature set is batch only (no watermark,
+window trigger, or stateful stream operator exists in it)."""
