@@ -17,67 +17,69 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HOT_ROWS = 2_000_000
 
+Outs = Mapping[str, tuple[str, str]]  # out column -> (sum | max | min, input column)
+
 _FOLD = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def _merge(kind: str, before: Column, here: Column) -> Column:
+def _merge(kind: str, parts: Sequence[Column]) -> Column:
     if kind == "sum":
-        return F.coalesce(before, F.lit(0)) + here
-    return F.greatest(before, here) if kind == "max" else F.least(before, here)
+        return reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0)) for p in parts])
+    return (F.greatest if kind == "max" else F.least)(*parts)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with more than ``hot_rows`` rows: at most ``rows / hot_rows`` of them."""
     return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
             .filter(F.col("_rows") > hot_rows).select(*keys))
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
+def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """(usual rows, rows of hot keys); together exactly the input."""
     hot = hot_keys(df, keys, hot_rows)
     return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
 
 
-def _plain(df, keys, order, outs):
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+def running_plain(df: DataFrame, keys: Sequence[str], order: Sequence[str], outs: Outs,
+                  levels: Sequence[str] = (), inclusive: bool = True) -> DataFrame:
+    """One window per key, for keys of ordinary size."""
+    w = (Window.partitionBy(*keys).orderBy(*order)
+         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     return df.select("*", *[_FOLD[kind](col).over(w).alias(out) for out, (kind, col) in outs.items()])
 
 
-def _by_cells(df, keys, order, outs, levels):
+def running_cells(df: DataFrame, keys: Sequence[str], order: Sequence[str], outs: Outs,
+                  levels: Sequence[str], inclusive: bool = True) -> DataFrame:
+    """The same result for hot keys, cell by cell."""
     cell = [*keys, *levels]
     totals = df.groupBy(*cell).agg(*[_FOLD[k](c).alias(f"_t_{o}") for o, (k, c) in outs.items()])
     offsets = totals.select(*cell)
     for depth in range(1, len(levels) + 1):
         group, level = [*keys, *levels[:depth - 1]], levels[depth - 1]
-        w = (Window.partitionBy(*group).orderBy(level)
-             .rowsBetween(Window.unboundedPreceding, -1))
+        before = Window.partitionBy(*group).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
         part = totals.groupBy(*group, level).agg(
             *[_FOLD[k](f"_t_{o}").alias(f"_t_{o}") for o, (k, _) in outs.items()])
         part = part.select(*group, level, *[
-            _FOLD[k](f"_t_{o}").over(w).alias(f"_o{depth}_{o}") for o, (k, _) in outs.items()])
+            _FOLD[k](f"_t_{o}").over(before).alias(f"_o{depth}_{o}") for o, (k, _) in outs.items()])
         offsets = offsets.join(part, [*group, level])
+    w = (Window.partitionBy(*cell).orderBy(*order)
+         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
 
-    def before(out, kind):
-        parts = [F.col(f"_o{i}_{out}") for i in range(1, len(levels) + 1)]
-        if kind == "sum":
-            return reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0)) for p in parts])
-        return parts[0] if len(parts) == 1 else (F.greatest if kind == "max" else F.least)(*parts)
+    def value(out: str, kind: str, col: str) -> Column:
+        above = [F.col(f"_o{i}_{out}") for i in range(1, len(levels) + 1)]
+        return _merge(kind, [*above, _FOLD[kind](col).over(w)])
 
-    offsets = offsets.select(*cell, *[before(o, k).alias(f"_b_{o}") for o, (k, _) in outs.items()])
-    w = Window.partitionBy(*cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = df.join(offsets, cell)
-    done = joined.select(*df.columns, *[
-        _merge(k, F.col(f"_b_{o}"), _FOLD[k](c).over(w)).alias(o) for o, (k, c) in outs.items()])
-    return done
+    return df.join(offsets, cell).select(
+        *df.columns, *[value(o, k, c).alias(o) for o, (k, c) in outs.items()])
 
 
-def running_aggregates(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                       outs: Mapping[str, tuple[str, str]], levels: Sequence[str],
-                       hot_rows: int = HOT_ROWS) -> DataFrame:
+def running_aggregates(df: DataFrame, keys: Sequence[str], order: Sequence[str], outs: Outs,
+                       levels: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds inclusive running aggregates ``{out: (sum|max|min, column)}``.
 
     ``levels`` are columns that never decrease along ``order`` within a key
     (a date, an id range); they must not be NULL.
     """
     usual, hot = split_hot(df, keys, hot_rows)
-    return _plain(usual, keys, order, outs).unionByName(_by_cells(hot, keys, order, outs, levels))
+    return (running_plain(usual, keys, order, outs)
+            .unionByName(running_cells(hot, keys, order, outs, levels)))
