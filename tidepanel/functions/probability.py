@@ -39,7 +39,7 @@ _PPF_F = (1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.487536129
           2.04426310338993978564e-15)
 
 # Above this many degrees of freedom the t tail uses Hill's expansion.
-T_SERIES_MAX_DF = 400
+T_SERIES_MAX_DF = 60
 
 
 def _horner(coefs, x: str) -> str:

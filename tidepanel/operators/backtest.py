@@ -11,6 +11,7 @@ from tidepanel.functions.numeric import ROWS_PER_YEAR, by_series, clip, ratio, s
 from tidepanel.operators.indicators import KEYS, drawdown_aggs, simple_return_col
 from tidepanel.operators.inference import sharpe_agg
 from tidepanel.operators.quantiles import exact_quantile
+from tidepanel.runtime import materialise
 
 STRATEGY_KEYS = ("ticker", "strategy")
 _WEEKDAYS = ("MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN")
@@ -174,6 +175,7 @@ def regime_medians(summary: DataFrame, keys: Sequence[str] = ("regime", "strateg
                    accuracy: int = 10_000) -> DataFrame:
     """Medians over many series and the share that never traded."""
     metrics = ("net_return", "sharpe", "max_drawdown", "trades")
+    summary = materialise(summary.select(*keys, "time_in_market", *metrics))  # read nine times below
     base = summary.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_series"),
         F.avg((F.col("time_in_market") == 0).cast("double")).alias("never_traded"))

@@ -14,7 +14,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidepanel.functions.numeric import by_series
+from tidepanel.functions.numeric import by_series, ratio, so_far
 from tidepanel.functions.probability import t_two_sided
 from tidepanel.operators.indicators import KEYS, simple_return_col
 
@@ -38,29 +38,35 @@ def market_model(returns: DataFrame, params: EventParams = EventParams(),
                  keys: Sequence[str] = KEYS) -> DataFrame:
     """Least squares of the asset on the market, for every possible anchor row.
 
-    The estimation frame ends ``gap`` rows before the anchor and holds
-    ``estimation_window + 1`` rows, fewer at the start of a series.
+    The estimation window ends ``gap`` rows before the anchor and holds
+    ``estimation_window + 1`` rows, fewer at the start of a series.  Its sums are
+    differences of running sums, so the work per row does not grow with the
+    window.
     """
     w = by_series(keys)
-    est = w.rowsBetween(-(params.estimation_gap + params.estimation_window), -params.estimation_gap)
-    y = F.when(F.col("market_r").isNotNull(), F.col("r"))
-    x = F.when(F.col("r").isNotNull(), F.col("market_r"))
-    n = F.regr_count(y, x).over(est)
-    # Residual deviation from sums of squares of the same frame.
-    syy, r2 = F.regr_syy(y, x).over(est), F.regr_r2(y, x).over(est)
-    fit = F.col("estimation_obs") >= params.min_observations
-    enough = F.col("pos") >= params.estimation_gap + params.min_observations
-    out = (returns.withColumn("pos", F.row_number().over(w) - 1)
-           .withColumn("estimation_obs", n)
-           .withColumn("_a", F.regr_intercept(y, x).over(est))
-           .withColumn("_b", F.regr_slope(y, x).over(est))
-           .withColumn("_r2", r2).withColumn("_syy", syy))
-    ok = fit & enough
-    return (out.withColumn("alpha", F.when(ok, F.col("_a"))).withColumn("beta", F.when(ok, F.col("_b")))
-            .withColumn("r_squared", F.when(ok, F.col("_r2")))
-            .withColumn("residual_sd", F.when(ok, F.sqrt(
-                F.greatest(F.col("_syy") * (1 - F.col("_r2")), F.lit(0.0)) / (F.col("estimation_obs") - 2))))
-            .drop("_a", "_b", "_r2", "_syy"))
+    both = F.col("r").isNotNull() & F.col("market_r").isNotNull()
+    x, y = F.when(both, F.col("market_r")), F.when(both, F.col("r"))
+    terms = {"n": both.cast("double"), "x": x, "y": y, "xx": x * x, "xy": x * y, "yy": y * y}
+    last, before = params.estimation_gap, params.estimation_gap + params.estimation_window + 1
+    zero = F.lit(0.0)
+    running = returns.select("*", (F.row_number().over(w) - 1).alias("pos"), *[
+        F.sum(F.coalesce(term, zero)).over(so_far(w)).alias(f"_c_{name}") for name, term in terms.items()])
+    sums = running.select(*returns.columns, "pos", *[
+        (F.coalesce(F.lag(f"_c_{name}", last).over(w), zero)
+         - F.coalesce(F.lag(f"_c_{name}", before).over(w), zero)).alias(f"_{name}") for name in terms])
+    c = {name: F.col(f"_{name}") for name in terms}
+    moments = (sums.withColumn("_sxx", c["xx"] - ratio(c["x"] * c["x"], c["n"]))
+               .withColumn("_sxy", c["xy"] - ratio(c["x"] * c["y"], c["n"]))
+               .withColumn("_syy", c["yy"] - ratio(c["y"] * c["y"], c["n"])))
+    ok = ((F.col("_n") >= params.min_observations) & (F.col("_sxx") > 0)
+          & (F.col("pos") >= params.estimation_gap + params.min_observations))
+    residual = F.greatest(F.col("_syy") * (1 - F.col("r_squared")), zero) / (F.col("_n") - 2)
+    return (moments.withColumn("estimation_obs", F.col("_n").cast("long"))
+            .withColumn("beta", F.when(ok, F.col("_sxy") / F.col("_sxx")))
+            .withColumn("alpha", (F.col("_y") - F.col("beta") * F.col("_x")) / F.col("_n"))
+            .withColumn("r_squared", ratio(F.col("beta") * F.col("_sxy"), "_syy"))
+            .withColumn("residual_sd", F.when(ok, F.sqrt(residual)))
+            .select(*returns.columns, "pos", "estimation_obs", "alpha", "beta", "r_squared", "residual_sd"))
 
 
 def anchor_effects(returns: DataFrame, params: EventParams = EventParams(),

@@ -133,76 +133,87 @@ def interval_includes_zero(low: str = "ci_low", high: str = "ci_high") -> Column
 
 # --- stationary bootstrap -------------------------------------------------
 
-_UNIT = float(2 ** 32)
+# Modulus and multiplier of the Park-Miller generator.
+_MODULUS, _MULTIPLIER = 2 ** 31 - 1, 48271
+_TABLE = 256  # powers are tabulated in two levels: up to 256 * 256 / 2 blocks
 
 
-def _uniform(offset: int) -> Column:
-    """Uniform in [0, 1) from eight hex digits of the block's digest."""
-    return F.conv(F.substring("_h", offset, 8), 16, 10).cast("double") / _UNIT
+def _powers(step: int) -> Column:
+    """Array literal of ``multiplier ** (step * i)`` for i = 0 .. 255."""
+    return F.array(*[F.lit(pow(_MULTIPLIER, step * i, _MODULUS)).cast("long") for i in range(_TABLE)])
 
 
-def bootstrap_blocks(sizes: DataFrame, keys: Sequence[str], replicates: int = 2000,
-                     mean_block: float = 21.0, seed: int = 42) -> DataFrame:
-    """Blocks of every stationary-bootstrap replicate: (start, length), wrapping around.
-
-    ``sizes``: keys and ``n``.  Block lengths are geometric and drawn by
-    inversion, so a replicate needs about ``n / mean_block`` draws rather than
-    ``n``.  Draws come from a digest of (seed, series, replicate, block): any
-    task can recompute them.  The number of blocks leaves ten standard
-    deviations of room; should they still fall short, the last one runs on.
-    """
-    p = 1.0 / max(mean_block, 1.0)
-    label = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys],
-                        F.col("b").cast("string"), F.col("k").cast("string"))
-    n = F.col("n").cast("double")
-    most = F.least(n, F.ceil(n * p + 10 * F.sqrt(n * p * (1 - p)) + 20)).cast("int")
-    length = (F.lit(1.0) if p == 1.0
-              else 1 + F.floor(F.ln(1 - _uniform(9)) / math.log(1 - p)))
-    w = Window.partitionBy(*keys, "b").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("_len").over(w), F.lit(0))
-    blocks = (sizes.select(*keys, "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b"))
-              .select(*keys, "n", "b", most.alias("_most"))
-              .repartition(*keys, "b")
-              .select("*", F.explode(F.sequence(F.lit(0), F.col("_most") - 1)).alias("k"))
-              .withColumn("_h", F.md5(label))
-              .withColumn("start", F.floor(_uniform(1) * n).cast("long"))
-              .withColumn("_len", F.least(length, n).cast("long"))
-              .withColumn("_before", before)
-              .filter(F.col("_before") < F.col("n")))
-    left = F.col("n") - F.col("_before")
-    span = F.when(F.col("k") == F.col("_most") - 1, left).otherwise(F.least("_len", left))
-    return blocks.select(*keys, "n", "b", "k", "start", span.alias("length"))
+def _uniform(seed: str, i: Column) -> Column:
+    """The i-th uniform in (0, 1) of a seed, without drawing those before it."""
+    fine = F.element_at("_fine", (i % _TABLE + 1).cast("int"))
+    coarse = F.element_at("_coarse", (F.floor(i / _TABLE) + 1).cast("int"))
+    return (F.col(seed) * fine % _MODULUS * coarse % _MODULUS).cast("double") / float(_MODULUS)
 
 
 def bootstrap_replicates(panel: DataFrame, keys: Sequence[str] = KEYS, r: str = "net",
-                         replicates: int = 2000, mean_block: float = 21.0, seed: int = 42) -> DataFrame:
-    """Sum and sum of squares of every replicate.
-
-    A block is a run of neighbouring rows, so its sums are a difference of two
-    prefix sums: each block looks up its first and last position instead of
-    gathering every row.
+                         replicates: int = 2000, mean_block: float = 21.0, seed: int = 42,
+                         batches: int = 16) -> DataFrame:
+    """Stationary-bootstrap replicates: sums of the drawn returns and their squares,
+    and the shape of the draw (blocks, wrapped blocks, sum of the start positions).
+
+    Blocks wrap around and have geometric lengths drawn by inversion, so a
+    replicate needs about ``n / mean_block`` draws rather than ``n``.  A block is
+    a run of neighbouring rows: its sums are differences of prefix sums, held as
+    two arrays per series (bounded by the calendar).  The arrays travel once per batch
+    of replicates, so that few series still fill a cluster; replicates are then
+    exploded and folded in place.
+
+    The generator is seeded by a digest of (seed, series, replicate), so any task
+    can repeat a draw.  The number of blocks leaves six
+    standard deviations of room; should they fall short, the last one runs on.
     """
     w = by_series(keys)
     rows = panel.filter(F.col(r).isNotNull())
-    prefix = rows.select(*keys, F.row_number().over(w).cast("long").alias("pos"),
+    prefix = rows.select(*keys, F.row_number().over(w).alias("pos"),
                          F.sum(r).over(so_far(w)).alias("s1"),
                          F.sum(F.col(r) * F.col(r)).over(so_far(w)).alias("s2"))
-    totals = prefix.groupBy(*keys).agg(F.max("pos").alias("n"), F.max_by("s1", "pos").alias("t1"),
-                                       F.max_by("s2", "pos").alias("t2"))
-    blocks = bootstrap_blocks(totals.select(*keys, "n"), keys, replicates, mean_block, seed)
-    # Edges of a block that wraps: (start, n] and (0, end - n].
-    stop = F.col("start") + F.col("length")
-    wraps = stop > F.col("n")
-    edges = F.array(
-        F.struct(F.col("start").alias("pos"), F.lit(-1.0).alias("sign")),
-        F.struct(F.when(wraps, F.col("n")).otherwise(stop).alias("pos"), F.lit(1.0).alias("sign")),
-        F.struct(F.when(wraps, stop - F.col("n")).otherwise(F.lit(0).cast("long")).alias("pos"),
-                 F.lit(1.0).alias("sign")))
-    looked_up = (blocks.select(*keys, "b", F.inline(edges)).filter("pos > 0")
-                 .join(prefix, [*keys, "pos"]))
-    sums = looked_up.groupBy(*keys, "b").agg(F.sum(F.col("sign") * F.col("s1")).alias("sum_r"),
-                                             F.sum(F.col("sign") * F.col("s2")).alias("sum_r2"))
-    return sums.join(totals, list(keys))
+    def wrapped(c: str) -> Column:
+        """0, the prefix sums, and the prefix sums of a second pass."""
+        sums = F.transform("_p", lambda x: x[c])
+        total = F.element_at("_p", -1)[c]
+        return F.concat(F.array(F.lit(0.0)), sums, F.transform("_p", lambda x: x[c] + total))
+
+    series = (prefix.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "s1", "s2"))).alias("_p"))
+              .select(*keys, F.size("_p").cast("long").alias("n"), wrapped("s1").alias("_c1"), wrapped("s2").alias("_c2")))
+    tasks = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = -(-replicates // batches)
+    first = F.col("_batch") * size + 1
+    batched = (series.select("*", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // size) - 1))).alias("_batch"))
+               .repartition(tasks, *keys, "_batch")
+               .select("*", F.explode(F.sequence(first, F.least(first + size - 1, F.lit(replicates)))).alias("b")))
+
+    p = 1.0 / max(mean_block, 1.0)
+    n = F.col("n").cast("double")
+    most = F.least(n, F.ceil(n * p + 6 * F.sqrt(n * p * (1 - p)) + 10)).cast("int")
+    label = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("b").cast("string"))
+    digest = F.conv(F.substring(F.md5(label), 1, 12), 16, 10).cast("long") % (_MODULUS - 1) + 1
+
+    def draw(k: Column) -> Column:
+        length = F.lit(1.0) if p == 1.0 else 1 + F.floor(F.ln(_uniform("_seed", 2 * k + 1)) / math.log(1 - p))
+        return F.struct(F.floor(_uniform("_seed", 2 * k) * n).cast("long").alias("start"),
+                        F.when(k == F.col("_most") - 1, F.col("n")).otherwise(F.least(length, n).cast("long")).alias("len"))
+
+    def add(acc: Column, block: Column) -> Column:
+        take = F.least(block["len"], F.col("n") - acc["filled"])
+        stop = (block["start"] + take + 1).cast("int")
+        begin = (block["start"] + 1).cast("int")
+        more = F.struct(
+            (acc["filled"] + take).alias("filled"), (acc["blocks"] + 1).alias("blocks"),
+            (acc["r1"] + F.element_at("_c1", stop) - F.element_at("_c1", begin)).alias("r1"),
+            (acc["r2"] + F.element_at("_c2", stop) - F.element_at("_c2", begin)).alias("r2"))
+        return F.when(acc["filled"] < F.col("n"), more).otherwise(acc)
+
+    start = F.struct(F.lit(0).cast("long").alias("filled"), F.lit(0).alias("blocks"), F.lit(0.0).alias("r1"), F.lit(0.0).alias("r2"))
+    drawn = (batched.select("*", most.alias("_most"), digest.alias("_seed"), _powers(1).alias("_fine"), _powers(_TABLE).alias("_coarse"))
+             .withColumn("_x", F.aggregate(F.transform(F.sequence(F.lit(0), F.col("_most") - 1), draw), start, add)))
+    return drawn.select(*keys, "b", "n", F.col("_x.r1").alias("sum_r"), F.col("_x.r2").alias("sum_r2"),
+                        F.element_at("_c1", (F.col("n") + 1).cast("int")).alias("t1"),
+                        F.col("_x.blocks").alias("blocks"), F.col("_x.filled").alias("rows_drawn"))
 
 
 def bootstrap_sharpe(panel: DataFrame, keys: Sequence[str] = KEYS, r: str = "net",

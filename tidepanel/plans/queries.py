@@ -346,7 +346,7 @@ def cscv_split(b):
 
 @on_bars("bootstrap_gather")
 def bootstrap_gather(b):
-    reps = inf.bootstrap_replicates(strategy_panel(b), replicates=500)
+    reps = inf.bootstrap_replicates(strategy_panel(b))
     return tidy(reps, "ticker", "strategy", "b", "sum_r", "sum_r2")
 
 
@@ -913,12 +913,9 @@ def walk_forward_summary(b):
 
 @on_bars("stationary_bootstrap")
 def stationary_bootstrap(b):
-    """Shape of every replicate: number of blocks, rows drawn, wrapped blocks."""
-    n = ind.simple_returns(b).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
-    blocks = inf.bootstrap_blocks(n, ["ticker"])
-    return blocks.groupBy("ticker", "b").agg(
-        F.count(F.lit(1)).alias("blocks"), F.sum("length").alias("rows_drawn"),
-        F.count_if(F.col("start") + F.col("length") > F.col("n")).alias("wrapped"), F.sum("start").alias("start_sum"))
+    """Shape and sum of every replicate of the asset returns."""
+    reps = inf.bootstrap_replicates(ind.simple_returns(b), ("ticker",), "r")
+    return tidy(reps, "ticker", "b", "blocks", "rows_drawn", "sum_r")
 
 
 @on_bars("cscv")
