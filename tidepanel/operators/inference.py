@@ -296,7 +296,8 @@ def pbo_logits(trials: DataFrame, group: Sequence[str] = ("ticker",), trial: str
         s1, s2 = F.sum(F.when(pick, F.col("s1"))), F.sum(F.when(pick, F.col("s2")))
         varies = F.max(F.when(pick, F.col("hi"))) > F.min(F.when(pick, F.col("lo")))
         sd = F.sqrt((s2 - s1 * s1 / n) / (n - 1))
-        return [F.when((n >= 2) & varies & (sd > 0), s1 / n / sd).alias("is_sr" if flag else "oos_sr")]
+        # Twelve digits: trials with the same returns must tie whatever the order of summation.
+        return [F.round(F.when((n >= 2) & varies & (sd > 0), s1 / n / sd), 12).alias("is_sr" if flag else "oos_sr")]
 
     # Hashing the small moments by trial keeps the widened rows in place.
     each = (blocks.repartition(*group, trial).join(splits, "block").groupBy(*group, "n_trials", "combo", trial)

@@ -23,11 +23,12 @@ def with_levels(df: DataFrame, order_id: str = "order_id") -> DataFrame:
 
 
 def ledger_entries(trades: DataFrame, cost: float = 0.0005) -> DataFrame:
-    """Cash effect of every trade, in cents: costs add to a buy and reduce a sale."""
+    """Cash effect of every trade: costs add to a buy and reduce a sale.  Amounts
+    are whole cents, costs and net whole millionths, so that sums stay clean."""
     sign = F.when(F.col("kind") == "BUY", -1).otherwise(1)
     return (trades.withColumn("gross", F.round(F.col("qty") * F.col("price"), 2))
-            .withColumn("costs", F.round(F.col("gross") * cost, 2))
-            .withColumn("net", F.round(sign * F.col("gross") - F.col("costs"), 2))
+            .withColumn("costs", F.round(F.col("gross") * cost, 6))
+            .withColumn("net", F.round(sign * F.col("gross") - F.col("costs"), 6))
             .withColumn("signed_qty", -sign * F.col("qty")))
 
 

@@ -122,7 +122,7 @@ CTES["vol"] = """SELECT *, CASE WHEN count(r) OVER f >= 31 THEN stddev_samp(r) O
   WINDOW f AS (PARTITION BY ticker ORDER BY d ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)"""
 ORACLES["clip_weight"] = pick("vol", "ticker", "d", "~clipped=CASE WHEN vol > 0 THEN greatest(least(least(0.5e0 / vol, 1e0), 0.9e0), 0.3e0) END")
 ORACLES["to_usd"] = pick("pair JOIN rate USING (ticker, d)", "ticker", "d", "~close=local_adj / rate")
-ORACLES["ohlcv_to_usd"] = pick("bar JOIN rate USING (ticker, d)", "ticker", "d", *[f"~{c}={c} / rate" for c in ("open", "high", "low", "close")], "~volume")
+ORACLES["ohlcv_to_usd"] = pick("bar JOIN rate USING (ticker, d)", "ticker", "d", *[f"~10:{c}={c} / rate" for c in ("open", "high", "low", "close")], "~volume")
 
 # --- joins ------------------------------------------------------------------------------
 
@@ -154,7 +154,7 @@ ORACLES["dividend_cashflows"] = pick("held_shares JOIN div USING (ticker, d) WHE
 
 LEDGER_ORDER = "d, order_id, line_no, part_id, amount, qty, kind"
 CTES["account_trade"] = """SELECT l_suppkey AS account, CAST(l_shipdate AS DATE) AS d, l_orderkey AS order_id, l_linenumber AS line_no, l_partkey AS part_id,
-  CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS kind, l_quantity AS qty, l_extendedprice AS amount, round(l_extendedprice / l_quantity, 4) AS price FROM lineitem"""
+  CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS kind, l_quantity AS qty, l_extendedprice AS amount, round(l_extendedprice / l_quantity, 8) AS price FROM lineitem"""
 CTES["account_sums"] = f"""SELECT *, row_number() OVER w AS seq, sum(CASE WHEN kind = 'BUY' THEN qty ELSE 0 END) OVER w AS bought,
   sum(CASE WHEN kind = 'SELL' THEN qty ELSE 0 END) OVER w AS sold FROM account_trade WINDOW w AS (PARTITION BY account ORDER BY {LEDGER_ORDER} {SO_FAR})"""
 CTES["cover"] = f"""SELECT *, CASE WHEN kind = 'BUY' THEN bought - qty ELSE sold - qty - short0 END AS lo, CASE WHEN kind = 'BUY' THEN bought ELSE sold - short1 END AS hi,
@@ -162,7 +162,7 @@ CTES["cover"] = f"""SELECT *, CASE WHEN kind = 'BUY' THEN bought - qty ELSE sold
   greatest(0, coalesce(max(sold - bought) OVER (PARTITION BY account ORDER BY seq {BEFORE}), 0)) AS short0 FROM account_sums))"""
 CTES["fifo"] = """SELECT s.account, s.seq AS sale_seq, b.seq AS lot_seq, least(s.hi, b.hi) - greatest(s.lo, b.lo) AS matched_qty, b.price AS lot_price, b.d AS lot_d
   FROM cover s JOIN cover b ON s.account = b.account AND s.kind = 'SELL' AND b.kind = 'BUY' AND b.lo < s.hi AND s.lo < b.hi"""
-ORACLES["fifo_match"] = pick("fifo", "account", "sale_seq", "lot_seq", "~matched_qty", "~4:lot_price", "lot_d")
+ORACLES["fifo_match"] = pick("fifo", "account", "sale_seq", "lot_seq", "~matched_qty", "~8:lot_price", "lot_d")
 
 # --- signals and backtest ------------------------------------------------------------
 
@@ -309,8 +309,8 @@ ORACLES["sharpe_assessment"] = pick("assessed", "ticker", "strategy", "observati
 _M, _A = 2 ** 31 - 1, 48271
 
 
-def bootstrap_ctes(prefix: str, source: str, keys: str, r: str) -> None:
-    label = "concat_ws('|', '42', " + keys + ", CAST(b AS VARCHAR))"
+def bootstrap_ctes(prefix: str, source: str, keys: str, r: str, name: str = "") -> None:
+    label = "concat_ws('|', '42', " + keys + name + ", CAST(b AS VARCHAR))"
     powers = lambda step: "[" + ", ".join(str(pow(_A, step * i, _M)) for i in range(256)) + "]::BIGINT[]"
     u = lambda i: f"((seed * {prefix}_pow.fine[({i}) % 256 + 1] % {_M}) * {prefix}_pow.coarse[({i}) // 256 + 1] % {_M}) / {_M}e0"
     CTES[f"{prefix}_pow"] = f"SELECT {powers(1)} AS fine, {powers(256)} AS coarse"
@@ -334,7 +334,7 @@ def bootstrap_ctes(prefix: str, source: str, keys: str, r: str) -> None:
 
 bootstrap_ctes("boot", "bt", "ticker, strategy", "net")
 bootstrap_ctes("boot_r", "ret", "ticker", "r")
-bootstrap_ctes("boot_sized", "sized", "ticker", "net")
+bootstrap_ctes("boot_sized", "sized", "ticker", "net", ", 'main'")
 ORACLES["bootstrap_gather"] = pick("boot_rep", "ticker", "strategy", "b", "~sum_r", "~sum_r2")
 ORACLES["stationary_bootstrap"] = pick("boot_r_rep", "ticker", "b", "blocks", "rows_drawn", "~sum_r")
 CTES["interval"] = """SELECT ticker, strategy, sharpe_annual, CASE WHEN sr IS NOT NULL THEN ci_low END AS ci_low, CASE WHEN sr IS NOT NULL THEN ci_high END AS ci_high,
@@ -352,8 +352,8 @@ def cscv_ctes(prefix: str, source: str, group: str, trial: str, r: str, splits:
     CTES[f"{prefix}_rows"] = f"SELECT g, t, {trial} AS trial, block, {r} AS r FROM {source} s JOIN {prefix}_dates x ON s.{group} = x.g AND s.d = x.d"
     CTES[f"{prefix}_block"] = f"SELECT g, t, trial, block, count(*) AS n, sum(r) AS s1, sum(r * r) AS s2, min(r) AS lo, max(r) AS hi FROM {prefix}_rows GROUP BY ALL"
     CTES[f"{prefix}_mask"] = f"SELECT mask, block, (mask >> block) & 1 = 1 AS inside FROM range(0, {2 ** splits}) m(mask), range(0, {splits}) b(block) WHERE bit_count(mask) = {half}"
-    side = lambda v: (f"CASE WHEN max(hi) FILTER (inside = {v}) > min(lo) FILTER (inside = {v}) THEN sum(s1) FILTER (inside = {v}) / sum(n) FILTER (inside = {v}) / "
-                      f"sqrt((sum(s2) FILTER (inside = {v}) - power(sum(s1) FILTER (inside = {v}), 2) / sum(n) FILTER (inside = {v})) / (sum(n) FILTER (inside = {v}) - 1)) END")
+    side = lambda v: (f"round(CASE WHEN max(hi) FILTER (inside = {v}) > min(lo) FILTER (inside = {v}) THEN sum(s1) FILTER (inside = {v}) / sum(n) FILTER (inside = {v}) / "
+                      f"sqrt((sum(s2) FILTER (inside = {v}) - power(sum(s1) FILTER (inside = {v}), 2) / sum(n) FILTER (inside = {v})) / (sum(n) FILTER (inside = {v}) - 1)) END, 12)")
     CTES[f"{prefix}_each"] = f"SELECT g, t, mask, trial, {side('true')} AS is_sr, {side('false')} AS oos_sr FROM {prefix}_block JOIN {prefix}_mask USING (block) GROUP BY g, t, mask, trial"
     CTES[f"{prefix}_best"] = f"SELECT g, t, mask, trial AS winner, oos_sr AS w FROM {prefix}_each WHERE is_sr IS NOT NULL QUALIFY row_number() OVER (PARTITION BY g, mask ORDER BY is_sr DESC, trial) = 1"
     CTES[f"{prefix}_rank"] = (f"SELECT b.g, b.t, b.mask, winner, CASE WHEN max(w) IS NOT NULL THEN count(*) FILTER (oos_sr < w) + (count(*) FILTER (oos_sr = w) + 1) / 2e0 END AS rank "
@@ -373,7 +373,7 @@ ORACLES["cscv"] = pick("cv_logit", "ticker=g", "winner", "~rank", "~omega", "~lo
 ORACLES["pbo"] = pick("cva_pbo", "all_assets=g", "~pbo", "n_combinations", "~median_logit", "pbo_verdict")
 CTES["cv6_combo"] = """SELECT mask, row_number() OVER (ORDER BY list_sort(list(block))) - 1 AS combo FROM (SELECT mask, block FROM cv6_mask WHERE inside) GROUP BY mask"""
 ORACLES["complement_blocks"] = pick("cv6_block JOIN cv6_mask USING (block) JOIN cv6_combo USING (mask) WHERE NOT inside GROUP BY g, trial, combo",
-                                    "ticker=g", "strategy=trial", "combo", "n=sum(n)", "~sum_r=sum(s1)")
+                                    "ticker=g", "strategy=trial", "combo", "n=CAST(sum(n) AS BIGINT)", "~sum_r=sum(s1)")
 
 # --- walk-forward ------------------------------------------------------------------------------------------
 
@@ -523,22 +523,22 @@ ORACLES["best_buy_then_sell"] = """SELECT b.ticker, b.d AS buy_d, round(b.close,
   SELECT * FROM (SELECT *, max(close) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS best, first_value(close) OVER (PARTITION BY ticker ORDER BY d) AS first FROM bar)
   QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY best / close DESC, d) = 1) b
   JOIN bar s ON s.ticker = b.ticker AND s.d >= b.d AND s.close = b.best GROUP BY ALL"""
-CTES["entry"] = f"""SELECT *, round(CASE WHEN kind = 'BUY' THEN -gross ELSE gross END - costs, 2) AS net, CASE WHEN kind = 'BUY' THEN qty ELSE -qty END AS signed_qty FROM (
-  SELECT *, round(gross * 0.0005e0, 2) AS costs FROM (SELECT *, round(qty * price, 2) AS gross FROM account_trade))"""
+CTES["entry"] = f"""SELECT *, round(CASE WHEN kind = 'BUY' THEN -gross ELSE gross END - costs, 6) AS net, CASE WHEN kind = 'BUY' THEN qty ELSE -qty END AS signed_qty FROM (
+  SELECT *, round(gross * 0.0005e0, 6) AS costs FROM (SELECT *, round(qty * price, 2) AS gross FROM account_trade))"""
 CTES["balance"] = f"""SELECT *, sum(signed_qty) OVER w AS shares_after, sum(net) OVER w AS cash_after FROM entry WINDOW w AS (PARTITION BY account ORDER BY {LEDGER_ORDER} {SO_FAR})"""
-ORACLES["ledger_running_balance"] = pick("balance", "account", "d", "order_id", "line_no", "part_id", "kind", "~2:net", "~shares_after", "~2:cash_after")
-ORACLES["ledger_totals"] = """SELECT account, count(*) FILTER (kind = 'BUY') AS buys, count(*) FILTER (kind = 'SELL') AS sells, round(coalesce(sum(gross) FILTER (kind = 'BUY'), 0), 2) + 0.0 AS bought,
-  round(coalesce(sum(gross) FILTER (kind = 'SELL'), 0), 2) + 0.0 AS sold, 0e0 AS dividends, round(sum(costs), 2) + 0.0 AS total_costs, round(sum(net), 2) + 0.0 AS final_cash,
+ORACLES["ledger_running_balance"] = pick("balance", "account", "d", "order_id", "line_no", "part_id", "kind", "~net", "~shares_after", "~cash_after")
+ORACLES["ledger_totals"] = """SELECT account, count(*) FILTER (kind = 'BUY') AS buys, count(*) FILTER (kind = 'SELL') AS sells, round(coalesce(sum(gross) FILTER (kind = 'BUY'), 0), 6) + 0.0 AS bought,
+  round(coalesce(sum(gross) FILTER (kind = 'SELL'), 0), 6) + 0.0 AS sold, 0e0 AS dividends, round(sum(costs), 6) + 0.0 AS total_costs, round(sum(net), 6) + 0.0 AS final_cash,
   bool_or(cash_after < -1e-6) AS needed_outside_money, false AS never_traded FROM balance GROUP BY account"""
 CTES["basis"] = "SELECT account, sale_seq AS seq, sum(matched_qty) AS matched_qty, sum(matched_qty * lot_price) AS cost_basis FROM fifo GROUP BY 1, 2"
-ORACLES["realized_gains"] = pick("(SELECT * FROM cover WHERE kind = 'SELL') LEFT JOIN basis USING (account, seq)", "account", "seq", "d", "~qty", "~price", "~matched_qty=coalesce(matched_qty, 0)",
-                                 "~2:cost_basis=coalesce(cost_basis, 0)", "~2:gain=qty * price - coalesce(cost_basis, 0)", "~2:tax=greatest(qty * price - coalesce(cost_basis, 0), 0) * 0.15e0")
+ORACLES["realized_gains"] = pick("(SELECT * FROM cover WHERE kind = 'SELL') LEFT JOIN basis USING (account, seq)", "account", "seq", "d", "~qty", "~8:price", "~matched_qty=coalesce(matched_qty, 0)",
+                                 "~8:cost_basis=coalesce(cost_basis, 0)", "~8:gain=qty * price - coalesce(cost_basis, 0)", "~10:tax=greatest(qty * price - coalesce(cost_basis, 0), 0) * 0.15e0")
 ORACLES["oversold_accounts"] = "SELECT account, round(sum(uncovered), 6) + 0.0 AS oversold_qty, count(*) FILTER (uncovered > 1e-9) AS oversold_sales FROM cover GROUP BY account HAVING count(*) FILTER (uncovered > 1e-9) > 0"
 CTES["open_lot"] = """SELECT b.account, b.price, b.hi - greatest(b.lo, coalesce(s.sold, 0)) AS left_qty FROM cover b LEFT JOIN (SELECT account, max(hi) AS sold FROM cover WHERE kind = 'SELL' GROUP BY account) s USING (account)
   WHERE b.kind = 'BUY' AND b.hi - greatest(b.lo, coalesce(s.sold, 0)) > 1e-9"""
 CTES["latent"] = """SELECT *, open_qty * last_price AS value, open_qty * last_price - open_cost AS gain FROM (SELECT account, arg_max(price, seq) AS last_price FROM cover GROUP BY account)
   JOIN (SELECT account, coalesce(sum(left_qty), 0) AS open_qty, coalesce(sum(left_qty * price), 0) AS open_cost FROM (SELECT DISTINCT account FROM cover) LEFT JOIN open_lot USING (account) GROUP BY account) USING (account)"""
-ORACLES["liquidation_value"] = pick("latent", "account", "~open_qty", "~2:open_cost", "~last_price", "~2:unrealized_gain=gain", "~2:value", "~2:value_if_sold=value - greatest(gain, 0) * 0.15e0")
+ORACLES["liquidation_value"] = pick("latent", "account", "~open_qty", "~4:open_cost", "~8:last_price", "~4:unrealized_gain=gain", "~4:value", "~4:value_if_sold=value - greatest(gain, 0) * 0.15e0")
 CTES["regime_rate"] = ("SELECT * FROM (VALUES " + ", ".join(f"('{r}', {g}e0, {w}e0, {l}e0, {h}e0)" for r, g, w, l, h in TAX_REGIMES)
                        + ") t(regime, gains, withholding, local, wealth)")
 ORACLES["tax_rules"] = pick("customer, regime_rate", "c_custkey", "regime", "~sale_tax=greatest(c_acctbal, 0) * gains", "~dividend_net=abs(c_acctbal) * (1 - withholding - local)",
@@ -554,10 +554,10 @@ CTES["hold_all"] = """SELECT b.*, r.*, 100 * p0 AS capital, 100 * p0 * 0.0005e0
   (SELECT sum(power(1 - wealth, y.later + 1) * 100 * v.per_share * (1 - withholding - local)) FROM hold_div v JOIN hold_year y ON y.ticker = v.ticker AND y.y = year(v.d) WHERE v.ticker = b.ticker) AS aged_div
   FROM hold_base b LEFT JOIN (SELECT ticker, count(*) AS payments, sum(per_share) AS total FROM hold_div GROUP BY ticker) dv USING (ticker), regime_rate r"""
 CTES["hold_end"] = """SELECT *, (net_div - commission) * power(1 - wealth, years) - drag AS cash, coalesce(aged_div, 0) - commission * power(1 - wealth, years) - drag AS cash_by_date FROM hold_all"""
-ORACLES["hold_account_statement"] = pick("hold_end", "ticker", "regime", "start_d", "~buy_price=p0", "~final_price=p1", "~2:capital", "~2:commission", "payments", "~2:dividends_net=net_div",
-                                         "~2:taxes_paid=gross_div - net_div + (net_div - commission - cash)", "~2:final_cash=cash", "~2:final_value=100 * p1 + cash", "~2:unrealized_gain=100 * (p1 - p0)",
-                                         "~2:value_if_sold=100 * p1 + cash - greatest(100 * (p1 - p0), 0) * gains")
-ORACLES["hold_account_chronological"] = pick("hold_end", "ticker", "regime", "~2:final_cash=cash_by_date", "~2:final_value=100 * p1 + cash_by_date")
+ORACLES["hold_account_statement"] = pick("hold_end", "ticker", "regime", "start_d", "~buy_price=p0", "~final_price=p1", "~capital", "~commission", "payments", "~dividends_net=net_div",
+                                         "~taxes_paid=gross_div - net_div + (net_div - commission - cash)", "~final_cash=cash", "~final_value=100 * p1 + cash", "~unrealized_gain=100 * (p1 - p0)",
+                                         "~value_if_sold=100 * p1 + cash - greatest(100 * (p1 - p0), 0) * gains")
+ORACLES["hold_account_chronological"] = pick("hold_end", "ticker", "regime", "~final_cash=cash_by_date", "~final_value=100 * p1 + cash_by_date")
 
 # --- universe, lineage, fingerprints ------------------------------------------------------------------------------
 

@@ -121,4 +121,4 @@ def ledger_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("part_id"),
         F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("kind"),
         F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("amount"),
-        F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4).alias("price"))
+        F.round(F.col("l_extendedprice") / F.col("l_quantity"), 8).alias("price"))

@@ -268,7 +268,7 @@ def to_usd(b):
 
 @on_bars("ohlcv_to_usd")
 def ohlcv_to_usd(b):
-    return tidy(fx.to_foreign(b, _rates(b), ("open", "high", "low", "close")))
+    return tidy(fx.to_foreign(b, _rates(b), ("open", "high", "low", "close")), open=10, high=10, low=10, close=10)
 
 
 # --- joins --------------------------------------------------------------------------
@@ -336,7 +336,7 @@ def _covered(spark, sf_dir):
 
 @query("fifo_match")
 def fifo_match(spark, sf_dir):
-    return tidy(lg.fifo_match(_covered(spark, sf_dir)), lot_price=4)
+    return tidy(lg.fifo_match(_covered(spark, sf_dir)), lot_price=8)
 
 
 @on_bars("cscv_split")
@@ -504,7 +504,7 @@ def best_strategy(b):
 @query("ledger_totals")
 def ledger_totals(spark, sf_dir):
     entries = lg.ledger_entries(pn.ledger_trades(spark, sf_dir))
-    return tidy(lg.ledger_totals(lg.running_balance(entries)), bought=2, sold=2, dividends=2, total_costs=2, final_cash=2)
+    return tidy(lg.ledger_totals(lg.running_balance(entries)))
 
 
 # --- windows -----------------------------------------------------------------------------
@@ -627,8 +627,7 @@ def next_day_execution_price(b):
 @query("ledger_running_balance")
 def ledger_running_balance(spark, sf_dir):
     out = lg.running_balance(lg.ledger_entries(pn.ledger_trades(spark, sf_dir)))
-    return tidy(out, "account", "d", "order_id", "line_no", "part_id", "kind", "net", "shares_after", "cash_after",
-                net=2, cash_after=2)
+    return tidy(out, "account", "d", "order_id", "line_no", "part_id", "kind", "net", "shares_after", "cash_after")
 
 
 # --- top-k and sorting -----------------------------------------------------------------
@@ -828,7 +827,7 @@ def liquidation_value(spark, sf_dir):
     value = F.col("open_qty") * F.col("last_price")
     return tidy(u.withColumn("value", value).withColumn("value_if_sold", lg.liquidation_value(value, F.col("unrealized_gain"), F.lit(0.15))),
                 "account", "open_qty", "open_cost", "last_price", "unrealized_gain", "value", "value_if_sold",
-                open_cost=2, unrealized_gain=2, value=2, value_if_sold=2)
+                last_price=8, open_cost=4, unrealized_gain=4, value=4, value_if_sold=4)
 
 
 # --- plug-ins ---------------------------------------------------------------------------------
@@ -976,7 +975,8 @@ def analyze_panel(spark, sf_dir):
 def realized_gains(spark, sf_dir):
     covered = _covered(spark, sf_dir)
     out = lg.realized_gains(covered, lg.fifo_match(covered), 0.15)
-    return tidy(out, "account", "seq", "d", "qty", "price", "matched_qty", "cost_basis", "gain", "tax", cost_basis=2, gain=2, tax=2)
+    return tidy(out, "account", "seq", "d", "qty", "price", "matched_qty", "cost_basis", "gain", "tax",
+                price=8, cost_basis=8, gain=8, tax=10)
 
 
 @query("oversold_accounts")
@@ -986,15 +986,13 @@ def oversold_accounts(spark, sf_dir):
 
 @on_bars("hold_account_statement")
 def hold_account_statement(b):
-    return tidy(lg.hold_statement(b, pn.dividends(b), dm.tax_models(b.sparkSession), since=lg.first_signal_date(b)),
-                **{c: 2 for c in ("capital", "commission", "dividends_net", "taxes_paid", "final_cash", "final_value",
-                                  "unrealized_gain", "value_if_sold")})
+    return tidy(lg.hold_statement(b, pn.dividends(b), dm.tax_models(b.sparkSession), since=lg.first_signal_date(b)))
 
 
 @on_bars("hold_account_chronological")
 def hold_account_chronological(b):
     out = lg.hold_statement(b, pn.dividends(b), dm.tax_models(b.sparkSession), since=lg.first_signal_date(b), chronological=True)
-    return tidy(out, "ticker", "regime", "final_cash", "final_value", final_cash=2, final_value=2)
+    return tidy(out, "ticker", "regime", "final_cash", "final_value")
 
 
 @on_bars("cooldown_filter")
