@@ -119,6 +119,6 @@ def test_rank_averages_ties(spark):
     up = np.linspace(100, 200, 300)
     df = price_frame(spark, {"A": up, "B": up, "C": np.linspace(100, 90, 300), "D": np.linspace(100, 400, 300)})
     last = business_days(300)[-1]
-    for hot in (2_000_000, 1):
-        got = {r.ticker: r.momentum_rank for r in ind.momentum_rank(df, hot_rows=hot).filter(F.col("d") == F.lit(last)).collect()}
+    for width in (10.0, 0.001):
+        got = {r.ticker: r.momentum_rank for r in ind.momentum_rank(df, width=width).filter(F.col("d") == F.lit(last)).collect()}
         assert got == {"A": 0.625, "B": 0.625, "C": 0.25, "D": 1.0}

@@ -74,15 +74,21 @@ def norm_ppf_sql(p: str) -> str:
             f"WHEN {s} <= 5e0 THEN {sign} * {near} ELSE {sign} * {far} END END)")
 
 
-def hill_t_sql(t: str, df: str) -> str:
-    """Normal deviate equivalent to ``|t|`` with many degrees of freedom (Hill 1970)."""
-    a = f"({df} - 0.5e0)"
-    b = f"(48e0 * {a} * {a})"
-    y = f"({a} * ln(1e0 + {t} * {t} / {df}))"
+def _hill_y(t: str, df: str) -> str:
+    return f"(({df} - 0.5e0) * ln(1e0 + {t} * {t} / {df}))"
+
+
+def _hill_deviate(y: str, df: str) -> str:
+    b = f"(48e0 * ({df} - 0.5e0) * ({df} - 0.5e0))"
     return (f"((((((-0.4e0 * {y} - 3.3e0) * {y} - 24e0) * {y} - 85.5e0) / "
             f"(0.8e0 * {y} * {y} + 100e0 + {b}) + {y} + 3e0) / {b} + 1e0) * sqrt({y}))")
 
 
+def hill_t_sql(t: str, df: str) -> str:
+    """Normal deviate equivalent to ``|t|`` with many degrees of freedom (Hill 1970)."""
+    return _hill_deviate(_hill_y(t, df), df)
+
+
 def norm_cdf(column: str) -> Column:
     return F.expr(norm_cdf_sql(column))
 
@@ -124,8 +130,10 @@ def t_two_sided(t: str, df: str) -> Column:
     odd = 1 - (2 / math.pi) * (
         theta + sin_t * cos_t * _tail_sum(F.floor((nu - 1) / 2).cast("int") - 1, cos2, odd=True))
     one = 1 - 2 * theta / math.pi
-    deviate = hill_t_sql(f"CAST({t} AS DOUBLE)", f"CAST({df} AS DOUBLE)")
-    large = F.expr(f"2e0 * {norm_cdf_sql(f'(-({deviate}))')}")
+    # One-element lambdas name the intermediate values, so each is computed once.
+    td, nd = f"CAST({t} AS DOUBLE)", f"CAST({df} AS DOUBLE)"
+    large = F.expr(f"transform(transform(array({_hill_y(td, nd)}), y -> -{_hill_deviate('y', nd)}), "
+                   f"z -> 2e0 * {norm_cdf_sql('z')})[0]")
     return (F.when(F.col(t).isNull() | F.col(df).isNull() | (F.col(df) < 1), F.lit(None).cast("double"))
             .when(F.col(df) > T_SERIES_MAX_DF, large)
             .when(nu == 1, one)

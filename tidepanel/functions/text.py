@@ -53,8 +53,13 @@ def _words(alternatives: str, stems: bool) -> str:
 
 
 def keyword_category(text: Column, stems: bool = False) -> Column:
-    """First keyword category found in the text, else NULL."""
-    out = F
+    """First keyword category found in the text, else NULL.
+
+    Most texts hold no keyword at all: one pass over all words together rules
+    them out before the ordered rules are tried.
+    """
+    every = "|".join(words for words, _ in KEYWORD_CATEGORIES)
+    out = F.when(~text.rlike(_words(every, stems)), F.lit(None).cast("string"))
     for words, category in KEYWORD_CATEGORIES:
         out = out.when(text.rlike(_words(words, stems)), F.lit(category))
     return out

@@ -143,11 +143,11 @@ def _powers(step: int) -> Column:
     return F.array(*[F.lit(pow(_MULTIPLIER, step * i, _MODULUS)).cast("long") for i in range(_TABLE)])
 
 
-def _uniform(seed: str, i: Column) -> Column:
+def _uniform(seed: Column, i: Column) -> Column:
     """The i-th uniform in (0, 1) of a seed, without drawing those before it."""
-    fine = F.element_at("_fine", (i % _TABLE + 1).cast("int"))
-    coarse = F.element_at("_coarse", (F.floor(i / _TABLE) + 1).cast("int"))
-    return (F.col(seed) * fine % _MODULUS * coarse % _MODULUS).cast("double") / float(_MODULUS)
+    fine = F.element_at(_powers(1), (i % _TABLE + 1).cast("int"))
+    coarse = F.element_at(_powers(_TABLE), (F.floor(i / _TABLE) + 1).cast("int"))
+    return (seed * fine % _MODULUS * coarse % _MODULUS).cast("double") / float(_MODULUS)
 
 
 def bootstrap_replicates(panel: DataFrame, keys: Sequence[str] = KEYS, r: str = "net",
@@ -193,10 +193,17 @@ def bootstrap_replicates(panel: DataFrame, keys: Sequence[str] = KEYS, r: str =
     label = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("b").cast("string"))
     digest = F.conv(F.substring(F.md5(label), 1, 12), 16, 10).cast("long") % (_MODULUS - 1) + 1
 
-    def draw(k: Column) -> Column:
-        length = F.lit(1.0) if p == 1.0 else 1 + F.floor(F.ln(_uniform("_seed", 2 * k + 1)) / math.log(1 - p))
-        return F.struct(F.floor(_uniform("_seed", 2 * k) * n).cast("long").alias("start"),
-                        F.when(k == F.col("_most") - 1, F.col("n")).otherwise(F.least(length, n).cast("long")).alias("len"))
+    def start_of(seed: Column, k: Column) -> Column:
+        return F.floor(_uniform(seed, 2 * k) * n).cast("long").alias("start")
+
+    def draws(seed: Column) -> Column:
+        def block(k: Column) -> Column:
+            length = F.lit(1.0) if p == 1.0 else 1 + F.floor(F.ln(_uniform(seed, 2 * k + 1)) / math.log(1 - p))
+            return F.struct(start_of(seed, k), F.least(length, n).cast("long").alias("len"))
+
+        last = F.struct(start_of(seed, most - 1), F.col("n").alias("len"))
+        ks = F.when(most > 1, F.sequence(F.lit(0), most - 2)).otherwise(F.array().cast("array<int>"))
+        return F.concat(F.transform(ks, block), F.array(last))
 
     def add(acc: Column, block: Column) -> Column:
         take = F.least(block["len"], F.col("n") - acc["filled"])
@@ -209,10 +216,10 @@ def bootstrap_replicates(panel: DataFrame, keys: Sequence[str] = KEYS, r: str =
         return F.when(acc["filled"] < F.col("n"), more).otherwise(acc)
 
     start = F.struct(F.lit(0).cast("long").alias("filled"), F.lit(0).alias("blocks"), F.lit(0.0).alias("r1"), F.lit(0.0).alias("r2"))
-    drawn = (batched.select("*", most.alias("_most"), digest.alias("_seed"), _powers(1).alias("_fine"), _powers(_TABLE).alias("_coarse"))
-             .withColumn("_x", F.aggregate(F.transform(F.sequence(F.lit(0), F.col("_most") - 1), draw), start, add)))
-    return drawn.select(*keys, "b", "n", F.col("_x.r1").alias("sum_r"), F.col("_x.r2").alias("sum_r2"),
-                        F.element_at("_c1", (F.col("n") + 1).cast("int")).alias("t1"),
+    # The one-element lambda names the seed, so the digest is taken once.
+    total = F.transform(F.array(digest), lambda seed: F.aggregate(draws(seed), start, add))[0]
+    drawn = batched.select(*keys, "b", "n", total.alias("_x"), F.element_at("_c1", (F.col("n") + 1).cast("int")).alias("t1"))
+    return drawn.select(*keys, "b", "n", F.col("_x.r1").alias("sum_r"), F.col("_x.r2").alias("sum_r2"), "t1",
                         F.col("_x.blocks").alias("blocks"), F.col("_x.filled").alias("rows_drawn"))
 
 

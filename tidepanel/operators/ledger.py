@@ -92,7 +92,8 @@ def covered_trades(trades: DataFrame, keys: Sequence[str] = ACCOUNT, order: Sequ
                 .drop(*LEVELS, "_one", "_buy", "_sell", "_bought", "_sold", "_short", "_worst"))
 
     usual, hot = split_hot(base, keys, hot_rows)
-    return cover(usual, running_plain).unionByName(cover(hot, running_cells))
+    plain = cover(usual, running_plain)
+    return plain if hot is None else plain.unionByName(cover(hot, running_cells))
 
 
 def oversold_accounts(covered: DataFrame, keys: Sequence[str] = ACCOUNT) -> DataFrame:

@@ -15,7 +15,10 @@ from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidepanel.runtime import materialise
+
 HOT_ROWS = 2_000_000
+BROADCAST_KEYS = 100_000
 
 Outs = Mapping[str, tuple[str, str]]  # out column -> (sum | max | min, input column)
 
@@ -34,10 +37,19 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
             .filter(F.col("_rows") > hot_rows).select(*keys))
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(usual rows, rows of hot keys); together exactly the input."""
-    hot = hot_keys(df, keys, hot_rows)
-    return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
+def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """(usual rows, rows of hot keys or None); together exactly the input.
+
+    The hot keys are counted once, up front, from the key columns alone.  Without
+    any, the input comes back untouched and is windowed in a single shuffle.  A
+    short list is broadcast, a long one is joined.
+    """
+    hot = materialise(hot_keys(df, keys, hot_rows))
+    found = hot.count()
+    if not found:
+        return df, None
+    marked = F.broadcast(hot) if found <= BROADCAST_KEYS else hot
+    return df.join(marked, list(keys), "left_anti"), df.join(marked, list(keys), "left_semi")
 
 
 def running_plain(df: DataFrame, keys: Sequence[str], order: Sequence[str], outs: Outs,
@@ -81,5 +93,5 @@ def running_aggregates(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     (a date, an id range); they must not be NULL.
     """
     usual, hot = split_hot(df, keys, hot_rows)
-    return (running_plain(usual, keys, order, outs)
-            .unionByName(running_cells(hot, keys, order, outs, levels)))
+    plain = running_plain(usual, keys, order, outs)
+    return plain if hot is None else plain.unionByName(running_cells(hot, keys, order, outs, levels))
