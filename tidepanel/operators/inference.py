@@ -169,7 +169,7 @@ def bootstrap_replicates(panel: DataFrame, keys: Sequence[str] = KEYS, r: str =
     """
     w = by_series(keys)
     rows = panel.filter(F.col(r).isNotNull())
-    prefix = rows.select(*keys, F.row_number().over(w).alias("pos"),
+    prefix = rows.select(*keys, F.col(r).alias("_r"), F.row_number().over(w).alias("pos"),
                          F.sum(r).over(so_far(w)).alias("s1"),
                          F.sum(F.col(r) * F.col(r)).over(so_far(w)).alias("s2"))
     def wrapped(c: str) -> Column:
@@ -178,8 +178,9 @@ def bootstrap_replicates(panel: DataFrame, keys: Sequence[str] = KEYS, r: str =
         total = F.element_at("_p", -1)[c]
         return F.concat(F.array(F.lit(0.0)), sums, F.transform("_p", lambda x: x[c] + total))
 
-    series = (prefix.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "s1", "s2"))).alias("_p"))
-              .select(*keys, F.size("_p").cast("long").alias("n"), wrapped("s1").alias("_c1"), wrapped("s2").alias("_c2")))
+    series = (prefix.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "s1", "s2"))).alias("_p"),
+                                        sharpe_agg("_r").alias("sharpe"))
+              .select(*keys, "sharpe", F.size("_p").cast("long").alias("n"), wrapped("s1").alias("_c1"), wrapped("s2").alias("_c2")))
     tasks = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = -(-replicates // batches)
     first = F.col("_batch") * size + 1
@@ -218,8 +219,8 @@ def bootstrap_replicates(panel: DataFrame, keys: Sequence[str] = KEYS, r: str =
     start = F.struct(F.lit(0).cast("long").alias("filled"), F.lit(0).alias("blocks"), F.lit(0.0).alias("r1"), F.lit(0.0).alias("r2"))
     # The one-element lambda names the seed, so the digest is taken once.
     total = F.transform(F.array(digest), lambda seed: F.aggregate(draws(seed), start, add))[0]
-    drawn = batched.select(*keys, "b", "n", total.alias("_x"), F.element_at("_c1", (F.col("n") + 1).cast("int")).alias("t1"))
-    return drawn.select(*keys, "b", "n", F.col("_x.r1").alias("sum_r"), F.col("_x.r2").alias("sum_r2"), "t1",
+    drawn = batched.select(*keys, "b", "n", "sharpe", total.alias("_x"), F.element_at("_c1", (F.col("n") + 1).cast("int")).alias("t1"))
+    return drawn.select(*keys, "b", "n", "sharpe", F.col("_x.r1").alias("sum_r"), F.col("_x.r2").alias("sum_r2"), "t1",
                         F.col("_x.blocks").alias("blocks"), F.col("_x.filled").alias("rows_drawn"))
 
 
@@ -230,24 +231,23 @@ def bootstrap_sharpe(panel: DataFrame, keys: Sequence[str] = KEYS, r: str = "net
 
     Under 30 rows only the point estimate is kept; a constant series has none.
     """
-    point = panel.groupBy(*keys).agg(sharpe_agg(r).alias("sharpe"), F.count(r).alias("observations"),
-                                     F.avg(r).alias("_mean"))
     reps = bootstrap_replicates(panel, keys, r, replicates, mean_block, seed)
     n = F.col("n").cast("double")
     mean = F.col("sum_r") / n
     var = (F.col("sum_r2") - n * mean * mean) / (n - 1)
     srep = F.when(var > 1e-20, mean / F.sqrt(var) * math.sqrt(ROWS_PER_YEAR))
-    reps = reps.select(*keys, srep.alias("_s"), mean.alias("_m"), (F.col("t1") / n).alias("_obs"))
+    reps = reps.select(*keys, "n", "sharpe", srep.alias("_s"), mean.alias("_m"), (F.col("t1") / n).alias("_obs"))
     tail = (1 - confidence) / 2
+    # The point estimate rides along with the replicates: the panel is read once.
     bands = reps.groupBy(*keys).agg(
-        F.percentile("_s", F.lit(tail)).alias("ci_low"), F.percentile("_s", F.lit(1 - tail)).alias("ci_high"),
+        F.first("n").alias("observations"), F.first("sharpe").alias("sharpe"),
+        F.percentile("_s", F.lit(tail)).alias("_low"), F.percentile("_s", F.lit(1 - tail)).alias("_high"),
         F.count_if(F.col("_m") - F.col("_obs") >= F.abs(F.col("_obs"))).alias("_hits"))
     usable = (F.col("observations") >= min_rows) & F.col("sharpe").isNotNull()
-    return (point.join(bands, list(keys), "left")
-            .select(*keys, "observations", "sharpe",
-                    F.when(usable, F.col("ci_low")).alias("ci_low"),
-                    F.when(usable, F.col("ci_high")).alias("ci_high"),
-                    F.when(usable, (F.col("_hits") + 1) / (replicates + 1)).alias("p_value")))
+    return bands.select(*keys, "observations", "sharpe",
+                        F.when(usable, F.col("_low")).alias("ci_low"),
+                        F.when(usable, F.col("_high")).alias("ci_high"),
+                        F.when(usable, (F.col("_hits") + 1) / (replicates + 1)).alias("p_value"))
 
 
 # --- combinatorially symmetric cross-validation ---------------------------
