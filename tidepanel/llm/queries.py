@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidepanel.llm import lexicon, packing
+from tidepanel.llm import collisions, density, groups, language, lexicon, packing, rarity, urls
+from tidepanel.llm.common import crc_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,7 +29,45 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.encode_documents(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learned outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", crc_fold(F.col("doc_id")) == 0)
+    model = language.fit(docs.filter(~F.coalesce("held_out", F.lit(True))))
+    return language.identify(docs, model, keep=("held_out",))
+
+
+@_query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's URL."""
+    return urls.judge_urls(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op5_rarity_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return rarity.fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return density.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 @_query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 1024 tokens."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate links of all vectors."""
+    return collisions.link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with similar shingle sets."""
+    return groups.link_documents(_table(spark, sf_dir, "documents"))
