@@ -68,6 +68,7 @@ def parse(page: str) -> Tree:
     """Tree of a page. A tag that the page's end cuts off is dropped."""
     tree = Tree()
     open_ = [0]
+    count = {"html": 1}  # open elements by tag
     at, pattern, size = 0, TOKEN, len(page)
 
     def text(piece: str) -> None:
@@ -76,6 +77,7 @@ def parse(page: str) -> Tree:
 
     def pop_to(depth: int) -> None:
         for node in open_[depth:]:
+            count[tree.tag[node]] -= 1
             if tree.tag[node] in BLOCK:
                 tree.text.append((node, None))
         del open_[depth:]
@@ -100,13 +102,13 @@ def parse(page: str) -> Tree:
             break
         tag = match[2].lower()
         if match[1]:
-            depth = next((d for d in range(len(open_) - 1, 0, -1) if tree.tag[open_[d]] == tag), 0)
+            depth = next((d for d in range(len(open_) - 1, 0, -1) if tree.tag[open_[d]] == tag), 0) if count.get(tag) else 0
             if depth and tag not in ("body", "html"):
                 pop_to(depth)
             continue
-        if tag in ("html", "body") and (tag == "html" or any(tree.tag[n] == "body" for n in open_)):
+        if tag in ("html", "body") and (tag == "html" or count.get("body")):
             continue
-        if tag in CLOSES_PARAGRAPH:
+        if tag in CLOSES_PARAGRAPH and count.get("p"):
             depth = next((d for d in range(len(open_) - 1, 0, -1) if tree.tag[open_[d]] == "p"), 0)
             if depth:
                 pop_to(depth)
@@ -124,7 +126,7 @@ def parse(page: str) -> Tree:
         above = open_[-1]
         tree.tag.append(tag)
         tree.parent.append(above)
-        tree.skip.append(tree.skip[above] or _left_out(tag, match[3], any(tree.tag[n] in ("article", "main") for n in open_)))
+        tree.skip.append(tree.skip[above] or _left_out(tag, match[3], bool(count.get("article") or count.get("main"))))
         if tag in BLOCK:
             tree.text.append((node, None))
         elif tag in SPACED:
@@ -137,6 +139,7 @@ def parse(page: str) -> Tree:
             continue
         if not match[3].endswith("/") or tag in BLOCK:
             open_.append(node)
+            count[tag] = count.get(tag, 0) + 1
     return tree
 
 

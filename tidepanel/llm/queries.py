@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import collisions, density, groups, language, lexicon, packing, rarity, urls
+from tidepanel.llm import collisions, cotraining, density, groups, language, lexicon, packing, rarity, token_trees, urls
 from tidepanel.llm.common import crc_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,22 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def document_edits() -> F.Column:
+    """Three edits of a document: words put in the place of 12 code points at a third, 40 code points taken out at two
+    thirds, and its beginning written once more behind the end."""
+    n = F.length(F.coalesce("text", F.lit("")))
+    label = F.concat_ws(" ", "source", "lang")
+    edit = lambda start, removed, inserted: F.struct(start.cast("long").alias("start"), F.lit(removed).cast("long").alias("removed"), inserted.alias("inserted"))
+    return F.array(edit(F.floor(n / 3), 12, label), edit(F.floor(2 * n / 3), 40, F.lit("")),
+                   edit(2 * n + 64, 0, F.concat(F.lit("\n"), F.substring(F.coalesce("text", F.lit("")), 1, 30))))
+
+
+@_query
+def op4_edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after three edits."""
+    return token_trees.count_edited(_table(spark, sf_dir, "documents").withColumn("edits", document_edits()))
+
+
 @_query
 def op5_rarity_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
@@ -55,6 +71,13 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.extract_pages(_table(spark, sf_dir, "pages"))
 
 
+@_query
+def op7_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return cotraining.score_documents(docs, cotraining.train(docs, _table(spark, sf_dir, "labels")))
+
+
 @_query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 1024 tokens."""
