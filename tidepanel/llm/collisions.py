@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import components, stored
+from tidepanel.llm.common import components, map_arrow, stored
 
 COSINE = 0.9
 RECALL = 0.999
@@ -105,7 +105,7 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
                         names=["nth", "cell", "size", "row", "copies", "vector"])
 
     kind = vectors.schema[embedding].dataType.simpleString()
-    dealt = merged.select("row", "copies", "vector").mapInArrow(deal, f"nth int, cell long, size int, row long, copies long, vector {kind}")
+    dealt = map_arrow(merged.select("row", "copies", "vector"), deal, f"nth int, cell long, size int, row long, copies long, vector {kind}")
     large = dealt.groupBy("nth", "cell", "size").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK_ROWS)
     dealt = (dealt.join(stored(large, "cells"), ["nth", "cell", "size"], "left")
              .withColumn("blocks", F.coalesce(F.ceil(F.col("n") / BLOCK_ROWS), F.lit(1)).cast("int")).withColumn("block", F.pmod("row", "blocks").cast("int"))

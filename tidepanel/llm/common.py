@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import io
 import uuid
-from collections.abc import Iterable, Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import tidepanel
+
 CHUNK_BYTES = 2_000_000
 
 
@@ -31,18 +36,44 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def put_file(spark: SparkSession, name: str, payload: bytes) -> str:
-    """Write one small file to the shared folder through Spark's file system layer and ship it to every executor;
-    workers open it at ``SparkFiles.get(returned name)``."""
-    unique = f"{name}-{uuid.uuid4().hex}"
+def put_file(spark: SparkSession, name: str, payload: bytes, ending: str = "", add: bool = True) -> str:
+    """Write one small file to the shared folder through Spark's file system layer. With ``add`` it is shipped to every
+    executor and the name returned, with which workers open ``SparkFiles.get(name)``; else its path is returned."""
+    unique = f"{name}-{uuid.uuid4().hex}{ending}"
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{unique}")
     out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
     out.write(bytearray(payload))
     out.close()
-    spark.sparkContext.addFile(f"{path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()}")
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if not add:
+        return whole
+    spark.sparkContext.addFile(whole)
     return unique
 
 
+_shipped: set[str] = set()
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` for functions of this package, which is sent along once per application: executors need not have
+    it installed."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
+def ship_package(spark: SparkSession) -> None:
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    root = Path(tidepanel.__file__).parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, f"{root.name}/{file.relative_to(root)}")
+    spark.sparkContext.addPyFile(put_file(spark, "package", packed.getvalue(), ".zip", add=False))
+    _shipped.add(application)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows, without copies; nulls count as empty."""
     column = column.cast(pa.large_string())
@@ -80,11 +111,6 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return running[offsets[1:]] - running[offsets[:-1]]
 
 
-def with_columns(schema_columns: Iterable[str], **arrays) -> pa.RecordBatch:
-    names = list(schema_columns)
-    return pa.RecordBatch.from_arrays([arrays[n] for n in names], names=names)
-
-
 def crc_fold(id_column: Column) -> Column:
     """Fold of a document: crc32 of its id as text, modulo 5."""
     return F.crc32(id_column.cast("string").cast("binary")) % 5

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm import bpe
-from tidepanel.llm.common import chunks, stored, sums, text_buffers
+from tidepanel.llm.common import chunks, map_arrow, stored, sums, text_buffers
 from tidepanel.llm.groups import word_hashes
 
 #: About so many labelled documents are used, chosen by a hash of the id; a fifth of them only calibrates.
@@ -130,7 +130,7 @@ def features(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *lists], names=["doc_id", "words", "about"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", *COLUMNS).mapInArrow(work, f"doc_id {kind}, words array<double>, about array<double>")
+    return map_arrow(docs.select("doc_id", *COLUMNS), work, f"doc_id {kind}, words array<double>, about array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED_DOCUMENTS, rounds: int = ROUNDS) -> Scorer:
@@ -186,4 +186,4 @@ def score_documents(docs: DataFrame, scorer: Scorer, keep: tuple[str, ...] = ("d
                                                  names=[*keep, "quality_score", "accepted"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*columns).mapInArrow(work, f"{kinds}, quality_score double, accepted boolean")
+    return map_arrow(docs.select(*columns), work, f"{kinds}, quality_score double, accepted boolean")

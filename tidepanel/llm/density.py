@@ -242,4 +242,4 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
                                                  names=[page_id, url, "text", "n_chars"])
 
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (page_id, url)}
-    return pages.select(page_id, url, page).mapInArrow(work, f"{page_id} {kinds[page_id]}, {url} {kinds[url]}, text string, n_chars long")
+    return map_arrow(pages.select(page_id, url, page), work, f"{page_id} {kinds[page_id]}, {url} {kinds[url]}, text string, n_chars long")

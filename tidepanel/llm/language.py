@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm import bpe
-from tidepanel.llm.common import chunks, expand, sums, text_buffers
+from tidepanel.llm.common import chunks, expand, map_arrow, sums, text_buffers
 
 GRAM_BITS = 16
 #: The model is fitted on about this many labelled documents of each language, chosen by a hash of the id.
@@ -104,7 +104,7 @@ def fit(docs: DataFrame, most: int = TRAINING_DOCUMENTS, doc_id: str = "doc_id",
         k, place = np.nonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(table[k, place])], names=["k", "place", "n"])
 
-    rows = chosen.select(text, lang).mapInArrow(count, "k int, place int, n long").groupBy("k", "place").agg(F.sum("n").alias("n")).toPandas()
+    rows = map_arrow(chosen.select(text, lang), count, "k int, place int, n long").groupBy("k", "place").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros((2 << GRAM_BITS, len(languages)))
     table[rows["place"], rows["k"]] = rows["n"]
     return Model(languages, table[:1 << GRAM_BITS], table[1 << GRAM_BITS:])
@@ -194,4 +194,4 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
                     names=[*out, "lang_pred", "score", "languages", "shares"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in out)
-    return docs.select(*columns).mapInArrow(work, f"{kinds}, lang_pred string, score double, languages array<string>, shares array<double>")
+    return map_arrow(docs.select(*columns), work, f"{kinds}, lang_pred string, score double, languages array<string>, shares array<double>")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm import bpe
-from tidepanel.llm.common import chunks, expand, stored, text_buffers
+from tidepanel.llm.common import chunks, expand, map_arrow, stored, text_buffers
 
 CAPACITY = 1024
 END_ID = 2
@@ -52,7 +52,7 @@ def cut_documents(docs: DataFrame, vocab_path: str, capacity: int = CAPACITY, do
                     names=[doc_id, "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(work, f"{doc_id} {kind}, piece int, start long, length long, ids_crc32 long")
+    return map_arrow(docs.select(doc_id, text), work, f"{doc_id} {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 class Plan:
@@ -194,4 +194,4 @@ def pack_documents(docs: DataFrame, vocab_path: str | None = None, capacity: int
     ranked = (pieces.join(cells.drop("n"), ["length", "block"])
               .select(doc_id, "piece", "start", "length", "ids_crc32", (F.col("before") + nth - 1).alias("rank")))
     kind = docs.schema[doc_id].dataType.simpleString()
-    return ranked.mapInArrow(place, f"{doc_id} {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return map_arrow(ranked, place, f"{doc_id} {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

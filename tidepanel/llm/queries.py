@@ -94,3 +94,25 @@ def op9_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with similar shingle sets."""
     return groups.link_documents(_table(spark, sf_dir, "documents"))
+
+
+#: Links and their closure in DuckDB, over the whole tables.
+_CLOSURE = """reach AS (SELECT node, node AS root FROM nodes UNION SELECT link.b, reach.root FROM reach JOIN link ON link.a = reach.node),
+component AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)"""
+
+SQL["op9_vector_links"] = f"""WITH RECURSIVE nodes AS (SELECT vec_id AS node FROM embeddings),
+v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.9),
+{_CLOSURE}
+SELECT vec_id, (SELECT count(*) FROM link WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN component ON node = vec_id"""
+
+SQL["op10_jaccard_join"] = rf"""WITH RECURSIVE nodes AS (SELECT doc_id AS node FROM documents),
+words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM words),
+runs AS (SELECT doc_id, n, pos, concat_ws(' ', word, lead(word) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS token FROM places WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+sets AS (SELECT DISTINCT doc_id, token FROM runs WHERE pos <= greatest(n - 4, 1)),
+tokens AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM sets),
+link AS (SELECT x.doc_id AS a, y.doc_id AS b FROM tokens x JOIN tokens y ON x.token = y.token AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+{_CLOSURE}
+SELECT doc_id, (SELECT count(*) FROM sets WHERE sets.doc_id = documents.doc_id) AS n_shingles, component_id FROM documents JOIN component ON node = doc_id"""

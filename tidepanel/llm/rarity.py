@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import expand, text_buffers
+from tidepanel.llm.common import expand, map_arrow, text_buffers
 
 WINDOW = 64
 POPULARITY = 16
@@ -240,4 +240,4 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
             yield compare(ids, texts, following)
 
     rows = _with_next(docs, doc_id, text)
-    return rows.mapInArrow(work, f"{doc_id} {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return map_arrow(rows, work, f"{doc_id} {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidepanel.llm import bpe
-from tidepanel.llm.common import chunks, text_buffers
+from tidepanel.llm.common import chunks, map_arrow, text_buffers
 
 LEAF_BYTES = 256
 
@@ -161,4 +161,4 @@ def count_edited(docs: DataFrame, vocab_path: str | None = None, doc_id: str = "
                                                  names=[doc_id, "n_tokens_before", "n_tokens", "n_chars", "n_edits", "n_reencoded"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text, edits).mapInArrow(work, f"{doc_id} {kind}, n_tokens_before long, n_tokens long, n_chars long, n_edits long, n_reencoded long")
+    return map_arrow(docs.select(doc_id, text, edits), work, f"{doc_id} {kind}, n_tokens_before long, n_tokens long, n_chars long, n_edits long, n_reencoded long")
