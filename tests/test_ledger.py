@@ -12,7 +12,7 @@ SCHEMA = ("account string, d date, order_id long, line_no int, part_id long, kin
 
 
 def make(spark, trades):
-    days = business_days(400)
+    days = business_days(max(400, len(trades) // 3 + 1))
     rows = [(a, days[i // 3], i, 1, 1, kind, float(q), float(q * p), float(p)) for i, (a, kind, q, p) in enumerate(trades)]
     return spark.createDataFrame(rows, SCHEMA)
 
@@ -37,14 +37,14 @@ def brute(trades):
     return costs, {a: sum(x[0] for x in q) for a, q in lots.items()}
 
 
-@pytest.mark.parametrize("hot_rows,stretch", [(2_000_000, 5_000), (100, 7), (100, 1)])
-def test_fifo_equals_queues_even_when_oversold(spark, hot_rows, stretch):
+@pytest.mark.parametrize("stretch", [5_000, 20])
+def test_fifo_equals_queues_even_when_oversold(spark, stretch):
     rng = random.Random(4)
     trades = [(rng.choice("aaab"), rng.choice(["BUY", "SELL"]), rng.randrange(1, 60), rng.randrange(10, 99)) for _ in range(900)]
     trades.append(("b", "BUY", 5000, 11))
     trades.append(("b", "SELL", 4000, 12))
     costs, left = brute(trades)
-    covered = lg.covered_trades(make(spark, trades), hot_rows=hot_rows)
+    covered = lg.covered_trades(make(spark, trades))
     gains = lg.realized_gains(covered, lg.fifo_match(covered, stretch_rows=stretch), 0.15).collect()
     assert len(gains) == len(costs)
     for r in gains:
@@ -55,6 +55,26 @@ def test_fifo_equals_queues_even_when_oversold(spark, hot_rows, stretch):
     assert got == pytest.approx(left)
 
 
+def test_stretches_follow_rows_not_quantity(spark):
+    trades = [("a", "BUY", 10 ** 9, 10)] + [("a", "SELL" if k % 2 else "BUY", 1 + k % 7, 11) for k in range(3000)] + [("a", "SELL", 10 ** 9, 12)]
+    covered = lg.covered_trades(make(spark, trades))
+    per_cell = lg.stretches(covered, ["account"], 100).groupBy("_cell").count().collect()
+    assert len(per_cell) > 10 and max(r["count"] for r in per_cell) <= 200
+    whole = {(r.sale_seq, r.lot_seq): r.matched_qty for r in lg.fifo_match(covered).collect()}
+    assert whole == {(r.sale_seq, r.lot_seq): r.matched_qty for r in lg.fifo_match(covered, stretch_rows=100).collect()}
+
+
+def test_balances_are_the_same_for_any_cells(spark, monkeypatch):
+    rng = random.Random(8)
+    trades = [("a", rng.choice(["BUY", "SELL"]), rng.randrange(1, 999) / 8, rng.randrange(1000, 9999) / 97) for _ in range(800)]
+    entries = lg.ledger_entries(make(spark, trades), 0.00137)
+    runs = []
+    for block in (1 << 20, 50, 7):
+        monkeypatch.setattr(lg, "ID_BLOCK", block)
+        runs += [sorted((r.order_id, r.cash_after, r.shares_after) for r in lg.running_balance(entries.repartition(n)).collect()) for n in (1, 5)]
+    assert all(run == runs[0] for run in runs)
+
+
 def test_two_lots(spark):
     covered = lg.covered_trades(make(spark, [("a", "BUY", 100, 10), ("a", "BUY", 100, 20), ("a", "SELL", 100, 30)]))
     r = lg.realized_gains(covered, lg.fifo_match(covered)).first()
@@ -62,11 +82,10 @@ def test_two_lots(spark):
     assert lg.oversold_accounts(covered).isEmpty()
 
 
-@pytest.mark.parametrize("hot_rows", [2_000_000, 10])
-def test_balances_follow_the_ledger(spark, hot_rows):
+def test_balances_follow_the_ledger(spark):
     rng = random.Random(6)
     trades = [("a", rng.choice(["BUY", "SELL"]), rng.randrange(1, 9), rng.randrange(10, 99)) for _ in range(300)]
-    out = sorted(lg.running_balance(lg.ledger_entries(make(spark, trades), 0.001), hot_rows=hot_rows).collect(), key=lambda r: r.order_id)
+    out = sorted(lg.running_balance(lg.ledger_entries(make(spark, trades), 0.001)).collect(), key=lambda r: r.order_id)
     cash = shares = 0.0
     for r, (_, kind, q, p) in zip(out, trades):
         sign = -1 if kind == "BUY" else 1

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tidepanel.functions.numeric import (
     ROWS_PER_MONTH, ROWS_PER_YEAR, at_least, by_series, ratio, so_far, trailing)
-from tidepanel.operators.running import running_cells
+from tidepanel.operators.running import running_aggregates
 
 KEYS = ("ticker",)
 
@@ -124,7 +124,7 @@ def momentum_rank(df: DataFrame, keys: Sequence[str] = KEYS, price: str = "close
               .filter("momentum IS NOT NULL"))
     counts = (scored.groupBy("d", "momentum").agg(F.count(F.lit(1)).alias("_n"))
               .withColumn("_band", F.floor(F.col("momentum") / width)))
-    ranked = running_cells(counts, ["d"], ["momentum"], {"_upto": ("sum", "_n")}, levels=["_band"])
+    ranked = running_aggregates(counts, ["d"], ["momentum"], {"_upto": ("sum", "_n")}, levels=["_band"])
     totals = scored.groupBy("d").agg(F.count(F.lit(1)).alias("_total"))
     place = (F.col("_upto") - (F.col("_n") - 1) / 2) / F.col("_total")
     ranks = ranked.join(totals, "d").select("d", "momentum", place.alias("momentum_rank"))

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidepanel.functions.numeric import by_series, ratio
 from tidepanel.operators.indicators import KEYS, extremes_cols
-from tidepanel.operators.running import (
-    HOT_ROWS, running_aggregates, running_cells, running_plain, split_hot)
+from tidepanel.operators.running import from_units, running_aggregates, units
+from tidepanel.runtime import materialise
 
 ACCOUNT = ("account",)
 ORDER = ("d", "order_id", "line_no", "part_id", "amount", "qty", "kind")
@@ -18,7 +18,7 @@ ID_BLOCK = 1 << 20
 
 
 def with_levels(df: DataFrame, order_id: str = "order_id") -> DataFrame:
-    """Coarse columns along the ledger order, used to cut up hot accounts."""
+    """Coarse columns along the ledger order, used to cut up accounts."""
     return df.withColumn("_day", F.col("d")).withColumn("_ids", F.floor(F.col(order_id) / ID_BLOCK))
 
 
@@ -32,11 +32,14 @@ def ledger_entries(trades: DataFrame, cost: float = 0.0005) -> DataFrame:
             .withColumn("signed_qty", -sign * F.col("qty")))
 
 
-def running_balance(entries: DataFrame, keys: Sequence[str] = ACCOUNT, order: Sequence[str] = ORDER,
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Holdings and cash after every entry, rebuilt from the ledger alone."""
-    outs = {"shares_after": ("sum", "signed_qty"), "cash_after": ("sum", "net")}
-    return running_aggregates(with_levels(entries), keys, order, outs, LEVELS, hot_rows).drop(*LEVELS)
+def running_balance(entries: DataFrame, keys: Sequence[str] = ACCOUNT, order: Sequence[str] = ORDER) -> DataFrame:
+    """Holdings and cash after every entry, rebuilt from the ledger alone.  Both are
+    summed in whole millionths, so no order of summation changes a digit."""
+    rows = with_levels(entries).withColumn("_shares", units("signed_qty")).withColumn("_cash", units("net"))
+    outs = {"_shares_sum": ("sum", "_shares"), "_cash_sum": ("sum", "_cash")}
+    return (running_aggregates(rows, keys, order, outs, LEVELS)
+            .withColumn("shares_after", from_units("_shares_sum")).withColumn("cash_after", from_units("_cash_sum"))
+            .drop(*LEVELS, "_shares", "_cash", "_shares_sum", "_cash_sum"))
 
 
 def ledger_mismatches(balances: DataFrame, recorded_cash: str, recorded_shares: str,
@@ -50,92 +53,108 @@ def ledger_totals(balances: DataFrame, keys: Sequence[str] = ACCOUNT) -> DataFra
     """Counts and sums per account, and whether outside money was ever needed."""
 
     def total(kind: str, column: str) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(column))), F.lit(0.0))
+        return from_units(F.coalesce(F.sum(F.when(F.col("kind") == kind, units(column))), F.lit(0)))
 
     return balances.groupBy(*keys).agg(
         F.count_if(F.col("kind") == "BUY").alias("buys"), F.count_if(F.col("kind") == "SELL").alias("sells"),
         total("BUY", "gross").alias("bought"), total("SELL", "gross").alias("sold"),
         total("DIVIDEND", "net").alias("dividends"),
-        F.sum("costs").alias("total_costs"), F.sum("net").alias("final_cash"),
+        from_units(F.sum(units("costs"))).alias("total_costs"), from_units(F.sum(units("net"))).alias("final_cash"),
         F.bool_or(F.col("cash_after") < -1e-6).alias("needed_outside_money"),
         (F.count_if(F.col("kind").isin("BUY", "SELL")) == 0).alias("never_traded"))
 
 
 # --- first in, first out ---------------------------------------------------
 
-def covered_trades(trades: DataFrame, keys: Sequence[str] = ACCOUNT, order: Sequence[str] = ORDER,
-                   hot_rows: int = HOT_ROWS) -> DataFrame:
+def covered_trades(trades: DataFrame, keys: Sequence[str] = ACCOUNT, order: Sequence[str] = ORDER) -> DataFrame:
     """Every trade as an interval ``(lo, hi]`` of the cumulative quantity line.
 
     Buys tile the line by quantity bought, sales by quantity actually covered.
     A sale beyond the holdings is covered only as far as there are shares; the
     rest has no cost and later buys stay untouched.  The uncovered total up to a
-    row is the running maximum of sold minus bought, floored at zero.
+    row is the running maximum of sold minus bought, floored at zero.  ``lo``,
+    ``hi`` and ``uncovered`` are whole millionths of a share.
     """
     base = (with_levels(trades)
-            .withColumn("_one", F.lit(1))
-            .withColumn("_buy", F.when(F.col("kind") == "BUY", F.col("qty")).otherwise(0.0))
-            .withColumn("_sell", F.when(F.col("kind") == "SELL", F.col("qty")).otherwise(0.0)))
+            .withColumn("_one", F.lit(1).cast("long"))
+            .withColumn("_buy", F.when(F.col("kind") == "BUY", units("qty")).otherwise(0))
+            .withColumn("_sell", F.when(F.col("kind") == "SELL", units("qty")).otherwise(0)))
     sums = {"seq": ("sum", "_one"), "_bought": ("sum", "_buy"), "_sold": ("sum", "_sell")}
-
-    def cover(part: DataFrame, running) -> DataFrame:
-        done = running(part, keys, order, sums, LEVELS).withColumn("_short", F.col("_sold") - F.col("_bought"))
-        done = running(done, keys, order, {"_worst": ("max", "_short")}, LEVELS, inclusive=False)
-        zero = F.lit(0.0)
-        before = F.greatest(zero, F.coalesce("_worst", zero))
-        now = F.greatest(before, F.col("_short"))
-        is_buy = F.col("kind") == "BUY"
-        return (done.withColumn("lo", F.when(is_buy, F.col("_bought") - F.col("qty"))
-                                .otherwise(F.col("_sold") - F.col("_sell") - before))
-                .withColumn("hi", F.when(is_buy, F.col("_bought")).otherwise(F.col("_sold") - now))
-                .withColumn("uncovered", F.when(is_buy, zero).otherwise(now - before))
-                .drop(*LEVELS, "_one", "_buy", "_sell", "_bought", "_sold", "_short", "_worst"))
-
-    usual, hot = split_hot(base, keys, hot_rows)
-    plain = cover(usual, running_plain)
-    return plain if hot is None else plain.unionByName(cover(hot, running_cells))
+    done = running_aggregates(base, keys, order, sums, LEVELS).withColumn("_short", F.col("_sold") - F.col("_bought"))
+    done = running_aggregates(done, keys, order, {"_worst": ("max", "_short")}, LEVELS, inclusive=False)
+    zero = F.lit(0).cast("long")
+    before = F.greatest(zero, F.coalesce("_worst", zero))
+    now = F.greatest(before, F.col("_short"))
+    is_buy = F.col("kind") == "BUY"
+    return (done.withColumn("lo", F.when(is_buy, F.col("_bought") - F.col("_buy"))
+                            .otherwise(F.col("_sold") - F.col("_sell") - before))
+            .withColumn("hi", F.when(is_buy, F.col("_bought")).otherwise(F.col("_sold") - now))
+            .withColumn("uncovered", F.when(is_buy, zero).otherwise(now - before))
+            .drop(*LEVELS, "_one", "_buy", "_sell", "_bought", "_sold", "_short", "_worst"))
 
 
 def oversold_accounts(covered: DataFrame, keys: Sequence[str] = ACCOUNT) -> DataFrame:
     """Gate: accounts that sold more than they held at some point."""
-    return (covered.groupBy(*keys).agg(F.sum("uncovered").alias("oversold_qty"),
-                                       F.count_if(F.col("uncovered") > 1e-9).alias("oversold_sales"))
+    return (covered.groupBy(*keys).agg(from_units(F.sum("uncovered")).alias("oversold_qty"),
+                                       F.count_if(F.col("uncovered") > 0).alias("oversold_sales"))
             .filter("oversold_sales > 0"))
 
 
+CUTS = 16  # a stretch that is too long is cut into so many parts of about equal row counts
+
+
+def stretches(covered: DataFrame, keys: Sequence[str], stretch_rows: int) -> DataFrame:
+    """The intervals, cut into stretches of the quantity line with at most twice
+    ``stretch_rows`` of them each: columns ``_cell``, ``_from``, ``_to``.
+
+    Cuts follow the rows, not the quantity: a stretch with too many intervals is
+    cut at quantiles of where they begin, and again until none has too many.  One
+    buy and one sale at most begin at the same place, so this ends.
+    """
+    keys = list(keys)
+    pieces = (covered.filter(F.col("hi") > F.col("lo"))
+              .withColumn("_cell", F.lit("")).withColumn("_from", F.col("lo")).withColumn("_to", F.col("hi")))
+    while True:
+        cuts = F.percentile_approx("_from", [k / CUTS for k in range(1, CUTS)], 10_000)
+        full = (pieces.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_rows"), F.array_distinct(cuts).alias("_cuts"))
+                .filter(F.col("_rows") > 2 * max(stretch_rows, 1)).drop("_rows"))
+        full = materialise(full)
+        if full.isEmpty():
+            return pieces
+        first = F.size(F.filter("_cuts", lambda x: x <= F.col("_from")))
+        last = F.size(F.filter("_cuts", lambda x: x < F.col("_to")))
+        parts = F.when(F.col("_cuts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(first, last))
+        start, stop = F.get("_cuts", F.col("_part") - 1), F.get("_cuts", F.col("_part"))
+        pieces = materialise(
+            pieces.join(full, [*keys, "_cell"], "left").withColumn("_part", F.explode(parts))
+            .withColumn("_from", F.greatest("_from", start)).withColumn("_to", F.least("_to", stop))
+            .withColumn("_cell", F.when(F.col("_cuts").isNull(), F.col("_cell")).otherwise(F.concat_ws(".", "_cell", "_part")))
+            .drop("_cuts", "_part"))
+
+
 def fifo_match(covered: DataFrame, keys: Sequence[str] = ACCOUNT, stretch_rows: int = 5_000) -> DataFrame:
     """(sale, lot) pairs with the matched quantity.
 
     Lots and covered sales tile the same quantity line, so the matches are the
     segments between neighbouring boundaries.  The line of an account is cut
-    into stretches of about ``stretch_rows`` trades; intervals are clipped to
-    the stretches they touch and, inside one, the current lot and the current
-    sale are carried from boundary to boundary.  Only true matches are formed,
-    and a hot account is spread over as many stretches as it needs.
+    into stretches of a bounded number of trades; intervals are clipped to the
+    stretches they touch and, inside one, the current lot and the current sale
+    are carried from boundary to boundary.  Only true matches are formed.
     """
     keys = list(keys)
-    size = covered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.max("hi").alias("_length"))
-    width = F.greatest(F.ceil(F.col("_length") / F.ceil(F.col("_rows") / stretch_rows)).cast("double"), F.lit(1.0))
-    pieces = (covered.filter(F.col("hi") > F.col("lo")).join(size, keys).withColumn("_w", width)
-              .withColumn("_k", F.explode(F.sequence(F.floor(F.col("lo") / F.col("_w")),
-                                                     F.greatest(F.ceil(F.col("hi") / F.col("_w")) - 1,
-                                                                F.floor(F.col("lo") / F.col("_w"))))))
-              .withColumn("_from", F.greatest("lo", F.col("_k") * F.col("_w")))
-              .withColumn("_to", F.least("hi", (F.col("_k") + 1) * F.col("_w")))
-              .filter(F.col("_to") > F.col("_from")))
-    order = Window.partitionBy(*keys, "_k").orderBy("_from")
+    order = Window.partitionBy(*keys, "_cell").orderBy("_from")
     w = order.rowsBetween(Window.unboundedPreceding, 0)
     entry = F.struct("seq", "price", "d", F.col("_to").alias("to"))
 
     def current(kind: str) -> Column:
         return F.last(F.when(F.col("kind") == kind, entry), ignorenulls=True).over(w)
 
-    segments = (pieces.withColumn("_lot", current("BUY")).withColumn("_sale", current("SELL"))
+    segments = (stretches(covered, keys, stretch_rows).withColumn("_lot", current("BUY")).withColumn("_sale", current("SELL"))
                 .withColumn("_next", F.lead("_from").over(order))
-                .withColumn("qty", F.least(F.col("_next"), F.col("_lot.to"), F.col("_sale.to")) - F.col("_from"))
-                .filter((F.col("qty") > 1e-9) & F.col("_lot").isNotNull() & F.col("_sale").isNotNull()))
+                .withColumn("_units", F.least(F.col("_next"), F.col("_lot.to"), F.col("_sale.to")) - F.col("_from"))
+                .filter((F.col("_units") > 0) & F.col("_lot").isNotNull() & F.col("_sale").isNotNull()))
     return (segments.groupBy(*keys, F.col("_sale.seq").alias("sale_seq"), F.col("_lot.seq").alias("lot_seq"))
-            .agg(F.sum("qty").alias("matched_qty"), F.first("_lot.price").alias("lot_price"),
+            .agg(from_units(F.sum("_units")).alias("matched_qty"), F.first("_lot.price").alias("lot_price"),
                  F.first("_lot.d").alias("lot_d")))
 
 
@@ -156,10 +175,10 @@ def realized_gains(covered: DataFrame, matches: DataFrame, tax_rate: Column | fl
 def open_lots(covered: DataFrame, keys: Sequence[str] = ACCOUNT) -> DataFrame:
     """What is left of every lot after all sales."""
     sold = (covered.groupBy(*keys).agg(
-        F.coalesce(F.max(F.when(F.col("kind") == "SELL", F.col("hi"))), F.lit(0.0)).alias("_sold")))
+        F.coalesce(F.max(F.when(F.col("kind") == "SELL", F.col("hi"))), F.lit(0).cast("long")).alias("_sold")))
     left = F.col("hi") - F.greatest("lo", "_sold")
-    return (covered.filter("kind = 'BUY'").join(sold, list(keys))
-            .withColumn("remaining_qty", left).filter("remaining_qty > 1e-9").drop("_sold"))
+    return (covered.filter("kind = 'BUY'").join(sold, list(keys)).filter(left > 0)
+            .withColumn("remaining_qty", from_units(left)).drop("_sold"))
 
 
 def unrealized_gains(covered: DataFrame, keys: Sequence[str] = ACCOUNT) -> DataFrame:

@@ -1,11 +1,12 @@
 """Running sums and extremes that do not need a whole group in one task.
 
-A plain running window puts every row of a key into one task.  That is right
-for most keys, but one account may hold a large share of the table.  Keys above
-``hot_rows`` are therefore split along the sort order: rows are cut into cells
-by coarse ``levels`` that follow the order, the cells are aggregated on the map
-side, each cell gets the total of everything before it, and only the rows of
-one cell are sorted together.
+A running window puts every row of a key into one task, and one account may hold
+a large share of the table.  Rows are therefore cut into cells along the sort
+order, by coarse ``levels`` that follow it: the cells are aggregated on the map
+side, each cell gets the total of everything before it, and only the rows of one
+cell are sorted together.  All keys take this way, so a result never depends on
+how many rows a key has; sums are exact as long as the summed columns are whole
+numbers (see ``units``).
 """
 
 from __future__ import annotations
@@ -15,10 +16,7 @@ from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidepanel.runtime import materialise
-
-HOT_ROWS = 2_000_000
-BROADCAST_KEYS = 100_000
+UNIT = 1_000_000  # money and quantities are summed in whole millionths
 
 Outs = Mapping[str, tuple[str, str]]  # out column -> (sum | max | min, input column)
 
@@ -31,38 +29,23 @@ def _merge(kind: str, parts: Sequence[Column]) -> Column:
     return (F.greatest if kind == "max" else F.least)(*parts)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows: at most ``rows / hot_rows`` of them."""
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-            .filter(F.col("_rows") > hot_rows).select(*keys))
+def units(c: Column | str) -> Column:
+    """A quantity or an amount as a whole number of millionths.  A sum beyond the
+    range of BIGINT raises (ANSI mode) instead of losing digits."""
+    return F.round((F.col(c) if isinstance(c, str) else c) * UNIT).cast("long")
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
-    """(usual rows, rows of hot keys or None); together exactly the input.
+def from_units(c: Column | str) -> Column:
+    return (F.col(c) if isinstance(c, str) else c) / float(UNIT)
 
-    The hot keys are counted once, up front, from the key columns alone.  Without
-    any, the input comes back untouched and is windowed in a single shuffle.  A
-    short list is broadcast, a long one is joined.
-    """
-    hot = materialise(hot_keys(df, keys, hot_rows))
-    found = hot.count()
-    if not found:
-        return df, None
-    marked = F.broadcast(hot) if found <= BROADCAST_KEYS else hot
-    return df.join(marked, list(keys), "left_anti"), df.join(marked, list(keys), "left_semi")
-
-
-def running_plain(df: DataFrame, keys: Sequence[str], order: Sequence[str], outs: Outs,
-                  levels: Sequence[str] = (), inclusive: bool = True) -> DataFrame:
-    """One window per key, for keys of ordinary size."""
-    w = (Window.partitionBy(*keys).orderBy(*order)
-         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    return df.select("*", *[_FOLD[kind](col).over(w).alias(out) for out, (kind, col) in outs.items()])
 
+def running_aggregates(df: DataFrame, keys: Sequence[str], order: Sequence[str], outs: Outs,
+                       levels: Sequence[str], inclusive: bool = True) -> DataFrame:
+    """Adds running aggregates ``{out: (sum|max|min, column)}``.
 
-def running_cells(df: DataFrame, keys: Sequence[str], order: Sequence[str], outs: Outs,
-                  levels: Sequence[str], inclusive: bool = True) -> DataFrame:
-    """The same result for hot keys, cell by cell."""
+    ``levels`` are columns that never decrease along ``order`` within a key
+    (a date, an id range); they must not be NULL.
+    """
     cell = [*keys, *levels]
     totals = df.groupBy(*cell).agg(*[_FOLD[k](c).alias(f"_t_{o}") for o, (k, c) in outs.items()])
     offsets = totals.select(*cell)
@@ -83,15 +66,3 @@ def running_cells(df: DataFrame, keys: Sequence[str], order: Sequence[str], outs
 
     return df.join(offsets, cell).select(
         *df.columns, *[value(o, k, c).alias(o) for o, (k, c) in outs.items()])
-
-
-def running_aggregates(df: DataFrame, keys: Sequence[str], order: Sequence[str], outs: Outs,
-                       levels: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Adds inclusive running aggregates ``{out: (sum|max|min, column)}``.
-
-    ``levels`` are columns that never decrease along ``order`` within a key
-    (a date, an id range); they must not be NULL.
-    """
-    usual, hot = split_hot(df, keys, hot_rows)
-    plain = running_plain(usual, keys, order, outs)
-    return plain if hot is None else plain.unionByName(running_cells(hot, keys, order, outs, levels))
