@@ -130,3 +130,11 @@ def test_pbo_drops_incomplete_dates(spark):
     assert blocks.filter("strategy = 't000'").agg(F.sum("n")).first()[0] == dates
     with pytest.raises(ValueError):
         inf.cscv_splits(5)
+
+
+def test_splits_of_any_even_number(spark):
+    table = inf.split_table(spark, 8).filter("in_sample").groupBy("combo").agg(F.sort_array(F.collect_list("block")).alias("b")).orderBy("combo").collect()
+    assert [(r.combo, r.b) for r in table] == inf.cscv_splits(8)
+    assert inf.split_table(spark, 18).select("combo").distinct().count() == 48_620
+    m = np.random.default_rng(3).normal(0, 0.01, (200, 2))
+    assert inf.pbo(trials_frame(spark, m), n_splits=18).first().n_combinations == 48_620

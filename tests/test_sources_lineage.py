@@ -131,8 +131,17 @@ def test_ancestors_with_shared_paths_and_sink(spark, tmp_path):
     path = str(tmp_path / "out")
     sinks.write_lineage(closure, n, path)
     assert spark.read.json(path).count() == closure.count()
-    with pytest.raises(RuntimeError):
-        ln.ancestors(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "child string, parent string"), max_depth=2)
+
+
+def test_deep_chains_and_cycles(spark):
+    edges = lambda pairs: spark.createDataFrame(pairs, "child string, parent string")
+    chain = [(f"n{k}", f"n{k + 1}") for k in range(150)]
+    closure = ln.ancestors(edges(chain))
+    assert closure.count() == 150 * 151 // 2
+    assert closure.filter("dataset_id = 'n0' AND ancestor = 'n150'").first().depth == 150
+    for cycle in ([("a", "a")], [("a", "b"), ("b", "a")], [*chain, ("n150", "n0")]):
+        with pytest.raises(ln.CyclicLineageError):
+            ln.ancestors(edges(cycle))
 
 
 def test_fingerprint_ignores_order_but_not_values(spark):

@@ -44,6 +44,9 @@ SECONDARY_SYMBOLS = {
 }
 
 
+_BORDER = 1_000  # no keyword is nearly as long
+
+
 def _words(alternatives: str, stems: bool) -> str:
     if stems:
         parts = [f"{a}\\w*" if a in _STEMS else a for a in alternatives.split("|")]
@@ -65,14 +68,24 @@ def keyword_category(text: Column, stems: bool = False) -> Column:
     return out
 
 
-def classify_filing(form: Column, title: Column, stems: bool = False) -> Column:
+def classify_filing(form: Column, title: Column, stems: bool = False, by_title: Column | None = None) -> Column:
     """Category by form; relevant facts are refined by the title, unknown forms
-    are searched in form and title together."""
+    are searched in form and title together.
+
+    ``by_title``: the title's ``keyword_category``, if it is known already; a
+    title under several forms is then searched once.  Without a keyword in the
+    title, one can only lie in the form or across their border.
+    """
     title = F.coalesce(title, F.lit(""))
     known = F.create_map(*[F.lit(x) for pair in FORM_CATEGORIES.items() for x in pair])
     base = F.try_element_at(known, F.upper(F.trim(form)))
-    by_title = keyword_category(title, stems)
     by_both = keyword_category(F.concat_ws(" ", form, title), stems)
+    if by_title is None:
+        by_title = keyword_category(title, stems)
+    else:
+        every = "|".join(words for words, _ in KEYWORD_CATEGORIES)
+        border = F.concat_ws(" ", form, F.substring(title, 1, _BORDER))
+        by_both = F.when(by_title.isNotNull() | border.rlike(_words(every, stems)), by_both)
     return (F.when(base == RELEVANT_FACT, F.coalesce(by_title, base))
             .when(base.isNotNull(), base)
             .otherwise(F.coalesce(by_both, F.lit(UNCLASSIFIED))))

@@ -24,13 +24,11 @@ def ratio_asof(df: DataFrame, history: DataFrame, keys: Sequence[str] = KEYS,
     Changes and rows are merged by date and the last change is carried forward:
     no range join, and a series stays bounded by the calendar.
     """
-    changes = history.select(*keys, F.col("valid_from").alias("_at"), "ratio").withColumn("_row", F.lit(0))
-    days = df.select(*keys, F.col(date).alias("_at")).distinct().withColumn("_row", F.lit(1))
-    w = (Window.partitionBy(*keys).orderBy("_at", "_row").rowsBetween(Window.unboundedPreceding, 0))
-    looked_up = (changes.unionByName(days, allowMissingColumns=True)
-                 .withColumn("ratio", F.last(F.when(F.col("_row") == 0, F.col("ratio")), ignorenulls=True).over(w))
-                 .filter("_row = 1").select(*keys, F.col("_at").alias(date), "ratio"))
-    return df.join(looked_up, [*keys, date], "left")
+    changes = history.select(*keys, F.col("valid_from").alias(date), F.col("ratio").alias("_ratio"), F.lit(0).alias("_row"))
+    w = Window.partitionBy(*keys).orderBy(date, "_row").rowsBetween(Window.unboundedPreceding, 0)
+    return (df.withColumn("_row", F.lit(1)).unionByName(changes, allowMissingColumns=True)
+            .withColumn("ratio", F.last(F.when(F.col("_row") == 0, F.col("_ratio")), ignorenulls=True).over(w))
+            .filter("_row = 1").select(*[F.col(c) for c in df.columns if c != "ratio"], "ratio"))
 
 
 def ratio_latest(history: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -86,10 +84,9 @@ def rate_level_gap(rates: DataFrame, official: DataFrame, max_gap_pct: float = 2
                    min_overlap: int = 20, keys: Sequence[str] = KEYS) -> DataFrame:
     """Median gap to the official rate and what it means."""
     gap = (ratio("rate", "official_rate") - 1) * 100
-    both = rates.join(official, [*keys, "d"]).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("common_days"), F.percentile(gap, F.lit(0.5)).alias("_gap"))
-    out = rates.select(*keys).distinct().join(both, list(keys), "left").withColumn(
-        "common_days", F.coalesce("common_days", F.lit(0)))
+    marked = official.select(*keys, "d", "official_rate", F.lit(True).alias("_both"))
+    out = rates.join(marked, [*keys, "d"], "left").groupBy(*keys).agg(
+        F.count("_both").alias("common_days"), F.percentile(gap, F.lit(0.5)).alias("_gap"))
     enough = F.col("common_days") >= min_overlap
     return (out.withColumn("median_gap_pct", F.when(enough, F.col("_gap")))
             .withColumn("level", F.when(~enough, "NOT_VALIDATED")

@@ -6,7 +6,7 @@ import math
 from itertools import combinations
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidepanel.functions.numeric import ROWS_PER_YEAR, as_col, by_series, so_far
 from tidepanel.functions.probability import norm_cdf, norm_ppf, norm_ppf_value
@@ -81,15 +81,20 @@ def min_track_record(confidence: float = 0.95, benchmark: float = 0.0) -> Column
             .otherwise(need))
 
 
-def sharpe_assessment(panel: DataFrame, trials: int = 1, trial_variance: DataFrame | None = None,
+def sharpe_assessment(panel: DataFrame, trials: int = 1, trial_variance: DataFrame | Sequence[str] | None = None,
                       keys: Sequence[str] = KEYS, r: str = "net") -> DataFrame:
     """One row per series with every Sharpe statistic.
 
-    ``trial_variance``: optional table with some of the keys and ``trial_var``
-    (variance of the per-row Sharpe across trials).
+    ``trial_variance``: the variance of the per-row Sharpe across trials, as a table
+    with some of the keys and ``trial_var``, or as the keys of the group whose
+    members are the trials: it then comes from the rows at hand.
     """
     out = panel.groupBy(*keys).agg(*moment_aggs(r))
     variance = default_variance()
+    if isinstance(trial_variance, (list, tuple)):
+        out = out.withColumn("trial_var", F.var_samp("sharpe_row").over(Window.partitionBy(*trial_variance)))
+        variance = F.coalesce(F.col("trial_var"), variance)
+        trial_variance = None
     if trial_variance is not None:
         on = [k for k in keys if k in trial_variance.columns]
         out = out.join(trial_variance, on, "left")
@@ -135,7 +140,7 @@ def interval_includes_zero(low: str = "ci_low", high: str = "ci_high") -> Column
 
 # Modulus and multiplier of the Park-Miller generator.
 _MODULUS, _MULTIPLIER = 2 ** 31 - 1, 48271
-_TABLE = 256  # powers are tabulated in two levels: up to 256 * 256 / 2 blocks
+_TABLE = 256  # powers are tabulated in four levels, more than the generator's period
 
 
 def _powers(step: int) -> Column:
@@ -145,9 +150,14 @@ def _powers(step: int) -> Column:
 
 def _uniform(seed: Column, i: Column) -> Column:
     """The i-th uniform in (0, 1) of a seed, without drawing those before it."""
-    fine = F.element_at(_powers(1), (i % _TABLE + 1).cast("int"))
-    coarse = F.element_at(_powers(_TABLE), (F.floor(i / _TABLE) + 1).cast("int"))
-    return (seed * fine % _MODULUS * coarse % _MODULUS).cast("double") / float(_MODULUS)
+    i = i.cast("long") % (_MODULUS - 1)
+
+    def level(k: int) -> Column:
+        return F.element_at(_powers(_TABLE ** k), (F.shiftright(i, 8 * k) % _TABLE + 1).cast("int"))
+
+    near = seed * level(0) % _MODULUS * level(1) % _MODULUS
+    value = F.when(i < _TABLE ** 2, near).otherwise(near * level(2) % _MODULUS * level(3) % _MODULUS)
+    return value.cast("double") / float(_MODULUS)
 
 
 def bootstrap_replicates(panel: DataFrame, keys: Sequence[str] = KEYS, r: str = "net",
@@ -164,8 +174,8 @@ def bootstrap_replicates(panel: DataFrame, keys: Sequence[str] = KEYS, r: str =
     exploded and folded in place.
 
     The generator is seeded by a digest of (seed, series, replicate), so any task
-    can repeat a draw.  The number of blocks leaves six
-    standard deviations of room; should they fall short, the last one runs on.
+    can repeat a draw.  Blocks are drawn until the replicate is full: usually a
+    number with six standard deviations of room does it, and the others go on.
     """
     w = by_series(keys)
     rows = panel.filter(F.col(r).isNotNull())
@@ -190,21 +200,26 @@ def bootstrap_replicates(panel: DataFrame, keys: Sequence[str] = KEYS, r: str =
 
     p = 1.0 / max(mean_block, 1.0)
     n = F.col("n").cast("double")
-    most = F.least(n, F.ceil(n * p + 6 * F.sqrt(n * p * (1 - p)) + 10)).cast("int")
+    usual = F.least(n, F.ceil(n * p + 6 * F.sqrt(n * p * (1 - p)) + 10)).cast("int")
     label = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("b").cast("string"))
     digest = F.conv(F.substring(F.md5(label), 1, 12), 16, 10).cast("long") % (_MODULUS - 1) + 1
 
     def start_of(seed: Column, k: Column) -> Column:
         return F.floor(_uniform(seed, 2 * k) * n).cast("long").alias("start")
 
-    def draws(seed: Column) -> Column:
+    def draws(seed: Column, first: Column, last: Column) -> Column:
         def block(k: Column) -> Column:
             length = F.lit(1.0) if p == 1.0 else 1 + F.floor(F.ln(_uniform(seed, 2 * k + 1)) / math.log(1 - p))
             return F.struct(start_of(seed, k), F.least(length, n).cast("long").alias("len"))
 
-        last = F.struct(start_of(seed, most - 1), F.col("n").alias("len"))
-        ks = F.when(most > 1, F.sequence(F.lit(0), most - 2)).otherwise(F.array().cast("array<int>"))
-        return F.concat(F.transform(ks, block), F.array(last))
+        return F.transform(F.sequence(first, last), block)
+
+    def replicate(seed: Column) -> Column:
+        # A block has one row at least, so n blocks always fill a replicate.
+        drawn = F.aggregate(draws(seed, F.lit(0), usual - 1), start, add)
+        rest = F.transform(F.array(drawn), lambda acc: F.when(
+            acc["filled"] < F.col("n"), F.aggregate(draws(seed, usual, F.col("n").cast("int")), acc, add)).otherwise(acc))
+        return rest[0]
 
     def add(acc: Column, block: Column) -> Column:
         take = F.least(block["len"], F.col("n") - acc["filled"])
@@ -218,7 +233,7 @@ def bootstrap_replicates(panel: DataFrame, keys: Sequence[str] = KEYS, r: str =
 
     start = F.struct(F.lit(0).cast("long").alias("filled"), F.lit(0).alias("blocks"), F.lit(0.0).alias("r1"), F.lit(0.0).alias("r2"))
     # The one-element lambda names the seed, so the digest is taken once.
-    total = F.transform(F.array(digest), lambda seed: F.aggregate(draws(seed), start, add))[0]
+    total = F.transform(F.array(digest), replicate)[0]
     drawn = batched.select(*keys, "b", "n", "sharpe", total.alias("_x"), F.element_at("_c1", (F.col("n") + 1).cast("int")).alias("t1"))
     return drawn.select(*keys, "b", "n", "sharpe", F.col("_x.r1").alias("sum_r"), F.col("_x.r2").alias("sum_r2"), "t1",
                         F.col("_x.blocks").alias("blocks"), F.col("_x.filled").alias("rows_drawn"))
@@ -256,11 +271,21 @@ def cscv_splits(n_splits: int) -> list[tuple[int, list[int]]]:
     """All ways to take half of the blocks as in-sample (252 for ten blocks)."""
     if n_splits % 2:
         raise ValueError("n_splits must be even")
-    if n_splits > 16:
-        raise ValueError("more than 16 blocks means more than 12,870 splits")
     return list(enumerate(list(c) for c in combinations(range(n_splits), n_splits // 2)))
 
 
+def split_table(spark: SparkSession, n_splits: int) -> DataFrame:
+    """The same splits as rows (combo, block, in_sample), made by the executors: halves
+    are the numbers with half of their bits set, the first block being the highest bit."""
+    if n_splits % 2:
+        raise ValueError("n_splits must be even")
+    halves = spark.range(1 << n_splits).filter(F.bit_count("id") == n_splits // 2)
+    numbered = halves.withColumn("combo", F.row_number().over(Window.orderBy(F.desc("id"))) - 1)
+    table = numbered.select("combo", "id", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))).alias("block"))
+    bit = F.expr(f"shiftright(id, {n_splits - 1} - block)").bitwiseAND(F.lit(1))
+    return table.select("combo", "block", (bit == 1).alias("in_sample"))
+
+
 def cscv_blocks(trials: DataFrame, group: Sequence[str], trial: str = "strategy", r: str = "net",
                 n_splits: int = 10) -> DataFrame:
     """Mergeable moments of every (block, trial), using only complete dates.
@@ -292,10 +317,9 @@ def pbo_logits(trials: DataFrame, group: Sequence[str] = ("ticker",), trial: str
     """One row per split: the in-sample winner and the logit of its out-of-sample rank."""
     group = list(group)
     blocks = cscv_blocks(trials, group, trial, r, n_splits)
-    spark = trials.sparkSession
-    pieces = [(c, b, b in chosen) for c, chosen in cscv_splits(n_splits) for b in range(n_splits)]
-    # Fixed size: splits x blocks, at most 2,520 rows for ten blocks.
-    splits = F.broadcast(spark.createDataFrame(pieces, "combo int, block int, in_sample boolean"))
+    splits = split_table(trials.sparkSession, n_splits)
+    if n_splits <= 16:  # 205,920 small rows at most; more are joined by shuffle
+        splits = F.broadcast(splits)
 
     def side(flag: bool) -> list[Column]:
         pick = F.col("in_sample") == flag
@@ -324,11 +348,12 @@ def pbo_logits(trials: DataFrame, group: Sequence[str] = ("ticker",), trial: str
 
 def pbo(trials: DataFrame, group: Sequence[str] = ("ticker",), trial: str = "strategy",
         r: str = "net", n_splits: int = 10) -> DataFrame:
-    """Share of splits whose in-sample winner falls below the out-of-sample median."""
+    """Share of splits whose in-sample winner falls below the out-of-sample median.
+    A group that cannot be computed stays, without a share and NOT_COMPUTABLE."""
     logits = pbo_logits(trials, group, trial, r, n_splits)
-    return (logits.groupBy(*group)
-            .agg(F.avg(F.coalesce((F.col("logit") < 0).cast("double"), F.lit(0.0))).alias("pbo"),
-                 F.count(F.lit(1)).alias("n_combinations"),
-                 F.percentile("logit", F.lit(0.5)).alias("median_logit"))
+    shares = logits.groupBy(*group).agg(
+        F.avg(F.coalesce((F.col("logit") < 0).cast("double"), F.lit(0.0))).alias("pbo"),
+        F.count(F.lit(1)).alias("n_combinations"), F.percentile("logit", F.lit(0.5)).alias("median_logit"))
+    return (trials.select(*group).distinct().join(shares, list(group), "left")
+            .withColumn("n_combinations", F.coalesce("n_combinations", F.lit(0)))
             .withColumn("pbo_verdict", pbo_verdict()))
-

@@ -52,46 +52,51 @@ def edges_of(provenance_table: DataFrame) -> DataFrame:
     return provenance_table.select(F.col("dataset_id").alias("child"), F.explode("parents").alias("parent"))
 
 
-def ancestors(edges: DataFrame, max_depth: int = 100) -> DataFrame:
-    """All (dataset, ancestor) pairs with the shortest distance.
+class CyclicLineageError(RuntimeError):
+    """A dataset is its own ancestor."""
 
-    Breadth first: each round joins the newest pairs to the edges and keeps only
-    unseen pairs.  Rounds are checkpointed, so the plan stays small and a lost
-    executor does not repeat earlier rounds.
+
+def ancestors(edges: DataFrame) -> DataFrame:
+    """All (dataset, ancestor) pairs with the shortest distance, for chains of any depth.
+
+    Each round joins the known pairs with themselves, so the distance that is
+    covered doubles; after it, every pair within that distance has its shortest
+    one.  It ends when a round finds no new pair.  Rounds are checkpointed, so
+    the plan stays small and a lost executor does not repeat earlier rounds.
+    Ancestors without parents of their own drop out of the join at once.
     """
-    edges = materialise(edges.distinct())
-    frontier = materialise(edges.select(F.col("child").alias("dataset_id"), F.col("parent").alias("ancestor"),
-                                        F.lit(1).alias("depth")))
-    seen = frontier
-    for depth in range(2, max_depth + 1):
-        step = (frontier.join(edges, frontier.ancestor == edges.child)
-                .select("dataset_id", F.col("parent").alias("ancestor")).distinct()
-                .join(seen.select("dataset_id", "ancestor"), ["dataset_id", "ancestor"], "left_anti"))
-        frontier = materialise(step.withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
-    raise RuntimeError(f"lineage deeper than {max_depth}: is there a cycle?")
-
-
-def tainted(nodes: DataFrame, edges: DataFrame, max_depth: int = 100) -> DataFrame:
+    pairs = materialise(edges.select(F.col("child").alias("dataset_id"), F.col("parent").alias("ancestor"),
+                                     F.lit(1).alias("depth")).distinct())
+    known = pairs.count()
+    while True:
+        own = [r[0] for r in pairs.filter("dataset_id = ancestor").select("dataset_id").take(10)]
+        if own:
+            raise CyclicLineageError("their own ancestors: " + ", ".join(map(str, own)))
+        further = pairs.select(F.col("dataset_id").alias("ancestor"), F.col("ancestor").alias("_above"), F.col("depth").alias("_more"))
+        step = pairs.join(further, "ancestor").select("dataset_id", F.col("_above").alias("ancestor"), (F.col("depth") + F.col("_more")).alias("depth"))
+        pairs = materialise(pairs.unionByName(step).groupBy("dataset_id", "ancestor").agg(F.min("depth").alias("depth")))
+        found, known = known, pairs.count()
+        if found == known:
+            return pairs
+
+
+def tainted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Datasets that are synthetic or have a synthetic ancestor.
 
     Only the set of tainted ids travels from parents to children, one level per
-    round; no pair of dataset and ancestor is built.
+    round; no pair of dataset and ancestor is built.  Known ids never travel
+    again, so the rounds end at any depth.
     """
     edges = materialise(edges.distinct())
     frontier = materialise(nodes.filter(F.col("kind") == SYNTHETIC).select("dataset_id").distinct())
     found = frontier
-    for _ in range(max_depth):
+    while not frontier.isEmpty():
         step = (edges.join(frontier, edges.parent == frontier.dataset_id, "left_semi")
                 .select(F.col("child").alias("dataset_id")).distinct()
                 .join(found, "dataset_id", "left_anti"))
         frontier = materialise(step)
-        if frontier.isEmpty():
-            return found
         found = found.unionByName(frontier)
-    raise RuntimeError(f"lineage deeper than {max_depth}: is there a cycle?")
+    return found
 
 
 def derived_kind(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -35,22 +35,17 @@ def reconcile(primary: DataFrame, secondary: DataFrame, tolerance_pct: float = 1
 
     A series without a second source is reported as such and is never clean.
     """
-    common = (primary.select(*keys, "d", F.col("close").alias("_a"))
-              .join(secondary.select(*keys, "d", F.col("close").alias("_b")), [*keys, "d"])
-              .withColumn("_diff", F.abs(ratio(F.col("_a") - F.col("_b"), "_b") * 100)))
+    second = secondary.select(*keys, "d", F.col("close").alias("_b"), F.lit(True).alias("_both"))
+    days = (primary.select(*keys, "d", F.col("close").alias("_a")).join(second, [*keys, "d"], "left")
+            .withColumn("_diff", F.abs(ratio(F.col("_a") - F.col("_b"), "_b") * 100)))
     over = F.col("_diff") > tolerance_pct
-    report = common.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("compared_days"), F.max("_diff").alias("max_abs_pct_diff"),
+    found = F.count("_both")
+    return days.groupBy(*keys).agg(
+        found.alias("compared_days"), F.max("_diff").alias("max_abs_pct_diff"),
         F.percentile("_diff", F.lit(0.5)).alias("median_abs_pct_diff"),
         F.count_if(over).alias("days_over_tolerance"),
-        F.array_join(F.sort_array(F.collect_list(F.when(over, F.date_format("d", "yyyy-MM-dd")))), ",")
-        .alias("days"))
-    out = primary.select(*keys).distinct().join(report, list(keys), "left")
-    available = F.col("compared_days").isNotNull()
-    return (out.withColumn("secondary_available", available)
-            .withColumn("compared_days", F.coalesce("compared_days", F.lit(0)))
-            .withColumn("days_over_tolerance", F.coalesce("days_over_tolerance", F.lit(0)))
-            .withColumn("clean", F.col("secondary_available") & (F.col("days_over_tolerance") == 0)))
+        F.when(found > 0, F.array_join(F.sort_array(F.collect_list(F.when(over, F.date_format("d", "yyyy-MM-dd")))), ","))
+        .alias("days"), (found > 0).alias("secondary_available"), ((found > 0) & (F.count_if(over) == 0)).alias("clean"))
 
 
 def duplicate_dates(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -54,9 +54,8 @@ def build_signals(df: DataFrame, params: SignalParams = SignalParams(),
 def latest_signal(signals: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Last fully defined row of each series with readable votes."""
     cols = ["momentum", "vote_momentum", "vote_trend", "near_high", "vote_high", "score", "flag"]
-    seen = signals.filter("score IS NOT NULL").groupBy(*keys).agg(
-        F.max_by(F.struct("d", *cols), "d").alias("s"))
-    out = signals.select(*keys).distinct().join(seen, list(keys), "left")
+    out = signals.groupBy(*keys).agg(
+        F.max_by(F.struct("d", *cols), F.when(F.col("score").isNotNull(), F.col("d"))).alias("s"))
     return (out.select(*keys, "s.*")
             .withColumn("momentum_vote", vote_label("vote_momentum"))
             .withColumn("trend_vote", vote_label("vote_trend"))

@@ -9,14 +9,17 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidepanel.operators import backtest as bt
 from tidepanel.operators import event_study as ev
 from tidepanel.operators import inference as inf
+from tidepanel.operators import quality as ql
+from tidepanel.operators import rejects as rj
 from tidepanel.operators import signals as sg
 from tidepanel.operators.states import atr_stop
 from tidepanel.runtime import materialise
+from tidepanel.sources import dimensions as dm
 from tidepanel.sources.readers import accepted_only, drop_null_prices, history_gate
 
 
@@ -28,7 +31,7 @@ class AnalysisParams:
     rebalance: str = "W-FRI"
     folds: int = 4
     min_rows: int = 260
-    one_way_cost: float = 0.0005
+    one_way_cost: float | None = None  # None: by market
     replicates: int = 2000
     signals: sg.SignalParams = field(default_factory=sg.SignalParams)
     events: ev.EventParams = field(default_factory=ev.EventParams)
@@ -43,7 +46,7 @@ def compare_strategies(panel: DataFrame, strategies: Sequence[sg.Strategy] | Non
     """
     chosen = strategies if strategies is not None else sg.catalog()
     grid = sg.strategy_grid(drop_null_prices(panel), chosen)
-    daily = materialise(bt.run_backtest(grid, params.one_way_cost, params.rebalance)
+    daily = materialise(bt.run_backtest(grid, dm.US_EQUITY.one_way if params.one_way_cost is None else params.one_way_cost, params.rebalance)
                         .select("ticker", "strategy", "passive", "d", "executed", "turnover", "cost",
                                 "gross", "net", "equity", "bench_equity", "asset_r"))
     keys = ["ticker", "strategy"]
@@ -60,11 +63,15 @@ def compare_strategies(panel: DataFrame, strategies: Sequence[sg.Strategy] | Non
 
 
 def comparison_verdict(comparison: DataFrame, passive: str = "buy_and_hold") -> DataFrame:
-    """One row per series: who survives, the best active strategy, and warnings."""
+    """One row per series: who survives, the best active strategy, and warnings.  Of
+    strategies with equal returns the first of the catalogue is the best."""
     active = F.col("strategy") != passive
+    names = [s.name for s in sg.catalog()]
+    place = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(x) for x in names]), F.col("strategy")), F.lit(0)), F.lit(len(names) + 1))
+    rank = F.struct(F.col("net_return").alias("r"), (-place).alias("p"), F.col("strategy").alias("s"))
     agg = comparison.groupBy("ticker").agg(
         F.count_if(F.col("deflated_sharpe") >= 0.95).alias("survivors"),
-        F.max_by(F.when(active, F.col("strategy")), F.when(active, F.col("net_return"))).alias("best_active"),
+        F.max_by("strategy", F.when(active & F.col("net_return").isNotNull(), rank)).alias("best_active"),
         F.max(F.when(active, F.col("net_return"))).alias("_best"),
         F.max(F.when(~active, F.col("net_return"))).alias("_passive"),
         F.count_if("never_traded").alias("idle_strategies"),
@@ -79,9 +86,13 @@ def comparison_verdict(comparison: DataFrame, passive: str = "buy_and_hold") ->
 
 
 def analyze_panel(panel: DataFrame, market: DataFrame, events: DataFrame,
-                  params: AnalysisParams = AnalysisParams()) -> dict[str, DataFrame]:
+                  params: AnalysisParams = AnalysisParams(), secondary: DataFrame | None = None) -> dict[str, DataFrame]:
     """Gate, signals, stop, sizing, backtest, tests, folds and events, for all
     series at once.  Returns one table per report section.
+
+    Costs are those of each series' market unless ``params.one_way_cost`` is set.
+    Every series is searched for anomalies and, with a ``secondary`` source,
+    reconciled; what cannot be computed is in ``rejects``.
     """
     closes = drop_null_prices(panel)
     gate = history_gate(closes, params.min_rows)
@@ -92,7 +103,10 @@ def analyze_panel(panel: DataFrame, market: DataFrame, events: DataFrame,
     runs = stopped.select("ticker", "d", "close", "weight", F.inline(F.array(
         F.struct(F.lit("main").alias("strategy"), F.col("position").alias("flag")),
         F.struct(F.lit("folds").alias("strategy"), F.col("flag").alias("flag")))))
-    cost: Column = F.lit(params.one_way_cost)
+    if params.one_way_cost is None:
+        runs, cost = dm.with_costs(runs), F.col("one_way")
+    else:
+        cost = F.lit(params.one_way_cost)
     daily = materialise(bt.run_backtest(runs, cost, params.rebalance, weight="weight"))
     main = daily.filter("strategy = 'main'")
     folds, walk = bt.walk_forward(daily.filter("strategy = 'folds'"), params.folds)
@@ -108,6 +122,9 @@ def analyze_panel(panel: DataFrame, market: DataFrame, events: DataFrame,
         "walk_forward": walk.drop("strategy"),
         "events": effects,
         "event_classes": ev.caar_by_category(effects),
+        "anomalies": ql.data_anomalies(closes),
+        "reconciliation": ql.reconcile(closes, secondary if secondary is not None else closes.limit(0)),
+        "rejects": rj.fold_rejects(daily.filter("strategy = 'folds'"), params.folds, keys=("ticker",)),
     }
 
 
@@ -122,4 +139,7 @@ def analysis_overview(sections: dict[str, DataFrame]) -> DataFrame:
             .join(sections["validity"].select("ticker", "sharpe_annual", "psr", "deflated_sharpe", "verdict"), "ticker", "left")
             .join(sections["intervals"].select("ticker", "ci_low", "ci_high", "p_value"), "ticker", "left")
             .join(sections["walk_forward"].select("ticker", "oos_sharpe", "degradation", "reading"), "ticker", "left")
-            .join(counted, "ticker", "left"))
+            .join(counted, "ticker", "left")
+            .join(sections["reconciliation"].select("ticker", "compared_days", "days_over_tolerance", "clean"), "ticker", "left")
+            .join(sections["anomalies"].groupBy("ticker").agg(F.count(F.lit(1)).alias("anomalies")), "ticker", "left")
+            .withColumn("anomalies", F.coalesce("anomalies", F.lit(0))))

@@ -160,8 +160,13 @@ CTES["account_sums"] = f"""SELECT *, row_number() OVER w AS seq, sum(CASE WHEN k
 CTES["cover"] = f"""SELECT *, CASE WHEN kind = 'BUY' THEN bought - qty ELSE sold - qty - short0 END AS lo, CASE WHEN kind = 'BUY' THEN bought ELSE sold - short1 END AS hi,
   CASE WHEN kind = 'BUY' THEN 0 ELSE short1 - short0 END AS uncovered FROM (SELECT *, greatest(short0, sold - bought) AS short1 FROM (SELECT *,
   greatest(0, coalesce(max(sold - bought) OVER (PARTITION BY account ORDER BY seq {BEFORE}), 0)) AS short0 FROM account_sums))"""
-CTES["fifo"] = """SELECT s.account, s.seq AS sale_seq, b.seq AS lot_seq, least(s.hi, b.hi) - greatest(s.lo, b.lo) AS matched_qty, b.price AS lot_price, b.d AS lot_d
-  FROM cover s JOIN cover b ON s.account = b.account AND s.kind = 'SELL' AND b.kind = 'BUY' AND b.lo < s.hi AND s.lo < b.hi"""
+# The walk along the quantity line: at every place where a lot or a sale begins, both that are open then.
+CTES["fifo_walk"] = f"""SELECT account, lo AS place, lead(lo) OVER o AS next_place,
+  last_value(CASE WHEN kind = 'BUY' THEN {{'seq': seq, 'price': price, 'd': d, 'hi': hi}} END IGNORE NULLS) OVER (o {SO_FAR}) AS lot,
+  last_value(CASE WHEN kind = 'SELL' THEN {{'seq': seq, 'hi': hi}} END IGNORE NULLS) OVER (o {SO_FAR}) AS sale
+  FROM cover WHERE hi > lo WINDOW o AS (PARTITION BY account ORDER BY lo)"""
+CTES["fifo"] = """SELECT account, sale.seq AS sale_seq, lot.seq AS lot_seq, sum(least(coalesce(next_place, lot.hi), lot.hi, sale.hi) - place) AS matched_qty, first(lot.price) AS lot_price, first(lot.d) AS lot_d
+  FROM fifo_walk WHERE lot IS NOT NULL AND sale IS NOT NULL AND least(coalesce(next_place, lot.hi), lot.hi, sale.hi) - place > 1e-9 GROUP BY ALL"""
 ORACLES["fifo_match"] = pick("fifo", "account", "sale_seq", "lot_seq", "~matched_qty", "~8:lot_price", "lot_d")
 
 # --- signals and backtest ------------------------------------------------------------
@@ -451,12 +456,19 @@ ORACLES["duplicate_dates"] = "SELECT ticker, d, count(*) - 1 AS extra_rows FROM
 CTES["dirty_one"] = f"""SELECT ticker, d, firstq, CASE WHEN firstq AND month(d) = 1 THEN -1 ELSE 1 END * CASE WHEN d >= DATE '1998-01-01' THEN 10 ELSE 1 END * close AS close FROM (
   SELECT *, coalesce(lag(date_trunc('quarter', d)) OVER ({BY}) <> date_trunc('quarter', d), true) AS firstq FROM coarse)"""
 CTES["dirty"] = "SELECT ticker, d, close FROM dirty_one UNION ALL SELECT ticker, d, close FROM dirty_one WHERE firstq AND month(d) = 7"
-CTES["dirty_ret"] = f"SELECT * FROM (SELECT ticker, d, CASE WHEN q > 0 THEN ln(q) END AS log_r FROM (SELECT ticker, d, close / lag(close) OVER ({BY}) AS q FROM dirty)) WHERE log_r IS NOT NULL"
-CTES["dirty_frozen"] = frozen_cte("dirty")
-CTES["anomaly"] = """SELECT ticker, 'NON_POSITIVE_PRICE' AS kind, d, close AS detail FROM dirty WHERE close <= 0
-  UNION ALL SELECT ticker, 'DUPLICATE_DATE', d, count(*) - 1 FROM dirty GROUP BY ticker, d HAVING count(*) > 1
-  UNION ALL SELECT ticker, 'EXTREME_JUMP', d, log_r FROM dirty_ret JOIN (SELECT ticker, stddev_samp(log_r) AS sd FROM dirty_ret GROUP BY ticker HAVING count(*) > 30) USING (ticker) WHERE abs(log_r) > 8 * sd
-  UNION ALL SELECT ticker, 'FROZEN_PRICE', CASE WHEN open_run THEN run_end ELSE reported_d END, run_days FROM dirty_frozen"""
+
+
+def anomaly_ctes(name: str, source: str) -> None:
+    CTES[f"{name}_ret"] = f"SELECT * FROM (SELECT ticker, d, CASE WHEN q > 0 THEN ln(q) END AS log_r FROM (SELECT ticker, d, close / lag(close) OVER ({BY}) AS q FROM {source})) WHERE log_r IS NOT NULL"
+    CTES[f"{name}_frozen"] = frozen_cte(source)
+    CTES[name] = f"""SELECT ticker, 'NON_POSITIVE_PRICE' AS kind, d, close AS detail FROM {source} WHERE close <= 0
+  UNION ALL SELECT ticker, 'DUPLICATE_DATE', d, count(*) - 1 FROM {source} GROUP BY ticker, d HAVING count(*) > 1
+  UNION ALL SELECT ticker, 'EXTREME_JUMP', d, log_r FROM {name}_ret JOIN (SELECT ticker, stddev_samp(log_r) AS sd FROM {name}_ret GROUP BY ticker HAVING count(*) > 30) USING (ticker) WHERE abs(log_r) > 8 * sd
+  UNION ALL SELECT ticker, 'FROZEN_PRICE', CASE WHEN open_run THEN run_end ELSE reported_d END, run_days FROM {name}_frozen"""
+
+
+anomaly_ctes("anomaly", "dirty")
+anomaly_ctes("bar_anomaly", "bar")
 ORACLES["data_anomalies"] = pick("anomaly", "ticker", "kind", "d", "~detail=CAST(detail AS DOUBLE)")
 ORACLES["anomaly_union"] = "SELECT ticker, kind, count(*) AS n FROM anomaly GROUP BY ticker, kind"
 ORACLES["implied_fx"] = pick("pair", "ticker", "d", "~rate=local_raw * CASE WHEN d < DATE '1998-01-01' THEN 1 ELSE 10 END / adr")
@@ -575,8 +587,8 @@ ORACLES["write_lineage"] = """SELECT dataset_id, ancestor, CAST(depth AS INTEGER
   FROM closure LEFT JOIN customer ON ancestor = 'customer:' || c_custkey"""
 ORACLES["lineage_union"] = "SELECT DISTINCT 'book' AS dataset_id, ancestor FROM closure WHERE dataset_id LIKE 'customer:%' OR dataset_id LIKE 'supplier:%'"
 ORACLES["contamination_gate"] = "SELECT 'order:' || o_orderkey AS dataset_id FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal < 0"
-ORACLES["series_fingerprint"] = """SELECT ticker, count(*) AS rows, min(d) AS first_obs, max(d) AS last_obs, CAST(sum(CAST(('0x' || substr(md5(concat_ws('|', CAST(d AS VARCHAR), CAST(CAST(round(close * 10000) AS BIGINT) AS VARCHAR),
-  CAST(CAST(volume AS BIGINT) AS VARCHAR))), 1, 15))::UBIGINT AS HUGEINT)) AS VARCHAR) AS content_hash FROM bar GROUP BY ticker"""
+ORACLES["series_fingerprint"] = """SELECT ticker, count(*) AS rows, min(d) AS first_obs, max(d) AS last_obs, CAST(sum(CAST(('0x' || substr(md5(concat_ws('|', CAST(d AS VARCHAR), CAST(CAST(round(open * 10000) AS BIGINT) AS VARCHAR), CAST(CAST(round(high * 10000) AS BIGINT) AS VARCHAR),
+  CAST(CAST(round(low * 10000) AS BIGINT) AS VARCHAR), CAST(CAST(round(close * 10000) AS BIGINT) AS VARCHAR), CAST(CAST(volume AS BIGINT) AS VARCHAR))), 1, 15))::UBIGINT AS HUGEINT)) AS VARCHAR) AS content_hash FROM bar GROUP BY ticker"""
 
 # --- scalar functions and sets ----------------------------------------------------------------------------------------
 
@@ -609,7 +621,7 @@ ORACLES["compare_strategies"] = pick("comparison", "ticker", "strategy", "n_rows
 ORACLES["comparison_verdict"] = """SELECT ticker, survivors, best_active, idle_strategies, intervals_with_zero, observations, round(delta, 6) + 0.0 AS best_active_delta,
   CASE WHEN survivors = 0 THEN 'NO_STRATEGY_SURVIVES' ELSE 'SOME_SURVIVE' END AS evidence, CASE WHEN delta > 0 THEN 'ACTIVE_WINS' ELSE 'PASSIVE_WINS' END AS against_passive,
   CASE WHEN observations < 504 THEN 'SMALL_SAMPLE' ELSE 'ADEQUATE_SAMPLE' END AS sample FROM (SELECT ticker, count(*) FILTER (deflated_sharpe >= 0.95) AS survivors,
-  arg_max(strategy, net_return) FILTER (strategy <> 'buy_and_hold') AS best_active, count(*) FILTER (never_traded) AS idle_strategies, count(*) FILTER (ci_includes_zero) AS intervals_with_zero,
+  arg_max(strategy, {'r': net_return, 'p': -list_position(['momentum_trend', 'mean_reversion'], strategy)}) FILTER (strategy <> 'buy_and_hold' AND net_return IS NOT NULL) AS best_active, count(*) FILTER (never_traded) AS idle_strategies, count(*) FILTER (ci_includes_zero) AS intervals_with_zero,
   max(n_rows) AS observations, max(net_return) FILTER (strategy <> 'buy_and_hold') - max(net_return) FILTER (strategy = 'buy_and_hold') AS delta FROM comparison GROUP BY ticker)"""
 CTES["plain_grid"] = "SELECT s.ticker, s.d, s.close, s.flag, weight FROM sig s JOIN weighted USING (ticker, d)"
 backtest_ctes("plain", "plain_grid", "ticker", weight="weight")
@@ -619,12 +631,25 @@ CTES["sized_mom"] = """SELECT *, sr * sqrt(observations - 1) / sqrt(greatest(1 -
 CTES["sized_assessed"] = f"SELECT *, {pr.norm_cdf_sql('z')} AS psr FROM sized_mom"
 CTES["event_count"] = "SELECT ticker, count(car) AS events_measured, count(*) FILTER (car_p < 0.05) AS events_significant FROM result GROUP BY ticker"
 ORACLES["analyze_panel"] = pick("""(SELECT ticker, count(*) AS n_rows FROM bar GROUP BY ticker) JOIN (SELECT ticker, score, flag FROM last_sig) USING (ticker) JOIN sized_sum USING (ticker, n_rows) JOIN sized_assessed USING (ticker)
-  JOIN boot_sized_ci USING (ticker) JOIN pf_walk USING (ticker) JOIN event_count USING (ticker)""", "ticker", "n_rows", "accepted=n_rows >= 260", "~score",
+  JOIN boot_sized_ci USING (ticker) JOIN pf_walk USING (ticker) JOIN event_count USING (ticker)
+  LEFT JOIN (SELECT ticker, count(diff) AS compared, count(*) FILTER (diff > 1) AS off FROM vendor_diff GROUP BY ticker) USING (ticker)
+  LEFT JOIN (SELECT ticker, count(*) AS odd FROM bar_anomaly GROUP BY ticker) USING (ticker)""", "ticker", "n_rows", "accepted=n_rows >= 260", "~score",
                                 "decision=CASE WHEN flag > 0 THEN 'BUY_HOLD' ELSE 'CASH' END", "trades", "~net_return", "~max_drawdown", "~time_in_market", "~benchmark_return",
                                 "~sharpe_annual=sr * sqrt(252)", "~psr", "~deflated_sharpe=psr",
                                 "verdict=CASE WHEN observations < 252 THEN 'INSUFFICIENT_SAMPLE' WHEN psr >= 0.95 THEN 'SURVIVES_95' WHEN psr >= 0.9 THEN 'MODERATE_90' ELSE 'NO_EVIDENCE' END",
-                                "~ci_low", "~ci_high", "~p_value", "~oos_sharpe", "~degradation", "reading", "events_measured", "events_significant")
-
+                                "~ci_low", "~ci_high", "~p_value", "~oos_sharpe", "~degradation", "reading", "events_measured", "events_significant",
+                                "compared_days=coalesce(compared, 0)", "days_over_tolerance=coalesce(off, 0)", "clean=coalesce(compared > 0 AND off = 0, false)", "anomalies=coalesce(odd, 0)")
+
+
+# --- what could not be computed ---------------------------------------------------------------
+CTES["month_dates"] = """SELECT m, any_value(t) AS t, count(*) FILTER (have = t) AS dates FROM (SELECT m, d, count(r) AS have FROM (SELECT *, CAST(date_trunc('month', d) AS DATE) AS m FROM ret) GROUP BY m, d)
+  JOIN (SELECT CAST(date_trunc('month', d) AS DATE) AS m, count(DISTINCT ticker) AS t FROM ret GROUP BY 1) USING (m) GROUP BY m"""
+ORACLES["rejects"] = """SELECT 'cross_validation' AS stage, CAST(m AS VARCHAR) AS series, CASE WHEN t < 2 THEN 'FEWER_THAN_TWO_TRIALS' ELSE 'TOO_FEW_DATES' END AS reason, dates AS rows FROM month_dates WHERE t < 2 OR dates < 24
+  UNION ALL SELECT 'folds', ticker || '/' || year(d), 'HISTORY_TOO_SHORT', count(*) FROM bar GROUP BY ticker, year(d) HAVING count(*) < 284
+  UNION ALL SELECT 'conversion', ticker, 'NO_COMMON_DATES', 0 FROM bar WHERE ticker = '5-LOW' GROUP BY ticker
+  UNION ALL SELECT 'alignment', ticker, 'OVERLAP_TOO_SHORT', count(*) FILTER (volume >= 120) FROM bar GROUP BY ticker HAVING count(*) FILTER (volume >= 120) < 20
+  UNION ALL SELECT 'deflation', CAST(year(d) AS VARCHAR), 'NO_INDEX_LEVEL', 0 FROM bar WHERE year(d) NOT IN (SELECT year(b.d) FROM bar b JOIN cpi ON cpi.month = date_trunc('month', b.d) WHERE cpi.month < DATE '1997-01-01' AND level IS NOT NULL) GROUP BY year(d)"""
+ORACLES["ledger_mismatches"] = pick("balance WHERE order_id % 97 = 0", "account", "order_id", "line_no", "part_id", "kind", "~cash_after", "~cash_noted=cash_after + 1")
 
 def _needed(sql: str) -> list[str]:
     """Building blocks used by a statement, in definition order."""

@@ -20,6 +20,7 @@ from tidepanel.operators import indicators as ind
 from tidepanel.operators import inference as inf
 from tidepanel.operators import ledger as lg
 from tidepanel.operators import lineage as ln
+from tidepanel.operators import rejects as rj
 from tidepanel.operators import quality as ql
 from tidepanel.operators import signals as sg
 from tidepanel.operators import states as st
@@ -399,7 +400,7 @@ def expected_max_sharpe(b):
 @on_bars("dsr")
 def dsr(b):
     p = strategy_panel(b)
-    return tidy(inf.sharpe_assessment(p, 3, inf.trial_variance(p)), "ticker", "strategy", "deflated_sharpe")
+    return tidy(inf.sharpe_assessment(p, 3, ("ticker",)), "ticker", "strategy", "deflated_sharpe")
 
 
 @on_bars("min_trl")
@@ -467,7 +468,8 @@ def ccl_level_gap(b):
 
 
 def _bar_digest():
-    return [F.col("d"), F.round(F.col("close") * 10000).cast("long"), F.col("volume").cast("long")]
+    prices = [F.round(F.col(c) * 10000).cast("long") for c in ("open", "high", "low", "close")]
+    return [F.col("d"), *prices, F.col("volume").cast("long")]
 
 
 @on_bars("series_fingerprint")
@@ -680,8 +682,7 @@ def intersect_dates(b):
 def complement_blocks(b):
     """Out-of-sample sums of every split: blocks that are not in-sample."""
     blocks = inf.cscv_blocks(strategy_panel(b), ["ticker"], n_splits=6)
-    pieces = [(c, x) for c, chosen in inf.cscv_splits(6) for x in range(6) if x not in chosen]
-    outside = F.broadcast(b.sparkSession.createDataFrame(pieces, "combo int, block int"))  # 60 rows
+    outside = F.broadcast(inf.split_table(b.sparkSession, 6).filter("NOT in_sample").drop("in_sample"))  # 60 rows
     return tidy(blocks.join(outside, "block").groupBy("ticker", "strategy", "combo").agg(
         F.sum("n").alias("n"), F.sum("s1").alias("sum_r")))
 
@@ -750,8 +751,9 @@ def date_functions(spark, sf_dir):
 def classify_filing(spark, sf_dir):
     """Whole texts as titles, under three forms."""
     forms = F.explode(F.array(F.lit(" 6-k "), F.lit("10-Q"), F.lit("NT 10-K")))
-    d = pn.table(spark, sf_dir, "documents").select("doc_id", "text", forms.alias("form"))
-    return d.select("doc_id", "form", tx.classify_filing(F.col("form"), F.col("text")).alias("category"))
+    d = pn.table(spark, sf_dir, "documents").select("doc_id", "text", tx.keyword_category(F.col("text")).alias("by_title"))
+    d = d.select("*", forms.alias("form"))
+    return d.select("doc_id", "form", tx.classify_filing(F.col("form"), F.col("text"), by_title=F.col("by_title")).alias("category"))
 
 
 @query("string_functions")
@@ -765,7 +767,7 @@ def string_functions(spark, sf_dir):
 
 @query("json_functions")
 def json_functions(spark, sf_dir):
-    e = pn.table(spark, sf_dir, "events").withColumn("p", F.from_json("props", "map<string, string>"))
+    e = pn.table(spark, sf_dir, "events").withColumn("p", rd.once(F.from_json("props", "map<string, string>")))
     return e.select("event_id", F.explode("p").alias("name", "value")).withColumn("value", F.col("value").try_cast("bigint"))
 
 
@@ -967,7 +969,8 @@ def comparison_verdict(b):
 @query("analyze_panel")
 def analyze_panel(spark, sf_dir):
     b = pn.bars(spark, sf_dir)
-    sections = an.analyze_panel(b, pn.market_returns(b), pn.corporate_events(spark, sf_dir))
+    sections = an.analyze_panel(b, pn.market_returns(b), pn.corporate_events(spark, sf_dir),
+                                secondary=pn.secondary_close(b.filter("ticker <> '5-LOW'")))
     return tidy(an.analysis_overview(sections))
 
 
@@ -1023,3 +1026,29 @@ def write_results(spark, sf_dir):
     path = scratch_path(spark, "results")
     sk.write_results({"signals": sg.latest_signal(sg.build_signals(b)), "performance": bt.strategy_summary(strategy_panel(b))}, path)
     return tidy(spark.read.parquet(f"{path}/performance"), "ticker", "strategy", "trades", "net_return", "sharpe")
+
+
+# --- what could not be computed ---------------------------------------------------------------
+
+@query("rejects")
+def rejects(spark, sf_dir):
+    """Months and years that are too short, series without a rate or a partner."""
+    b = pn.bars(spark, sf_dir)
+    monthly = ind.simple_returns(b).withColumn("m", F.to_date(F.trunc("d", "MM")))
+    yearly = b.withColumn("y", F.year("d"))
+    index = pn.monthly_index(spark, sf_dir).filter("month < DATE'1997-01-01'")
+    rates = b.filter("ticker <> '5-LOW'").select("ticker", "d", F.col("close").alias("rate"))
+    return (rj.cross_validation_rejects(monthly, ["m"], "ticker", "r", 12)
+            .unionByName(rj.fold_rejects(yearly, 4, 200, ["ticker", "y"]))
+            .unionByName(rj.conversion_rejects(b, rates))
+            .unionByName(rj.alignment_rejects(b, b.filter("volume >= 120")))
+            .unionByName(rj.deflation_rejects(yearly, index, ["y"])))
+
+
+@query("ledger_mismatches")
+def ledger_mismatches(spark, sf_dir):
+    """Recorded balances, of which some are off by one, against the rebuilt ones."""
+    out = lg.running_balance(lg.ledger_entries(pn.ledger_trades(spark, sf_dir)))
+    noted = out.withColumn("cash_noted", F.col("cash_after") + (F.col("order_id") % 97 == 0).cast("double"))
+    return tidy(lg.ledger_mismatches(noted, "cash_noted", "shares_after"),
+                "account", "order_id", "line_no", "part_id", "kind", "cash_after", "cash_noted")

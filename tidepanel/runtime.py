@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "*", app: str = "tidepanel", memory: str = "16g") -> SparkSession:
-    """Session for tests and the bench; a cluster brings its own."""
+def local_session(cores: str = "*", app: str = "tidepanel", memory: str = "16g", shared: str | None = None) -> SparkSession:
+    """Session for tests and the bench; a cluster brings its own.  ``shared``: folder
+    for checkpoints and the warehouse."""
+    shared = shared or tempfile.mkdtemp(prefix="tidepanel-")
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -17,6 +19,9 @@ def local_session(cores: str = "*", app: str = "tidepanel", memory: str = "16g")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config("spark.checkpoint.dir", f"{shared}/checkpoints")
+        .config("spark.sql.warehouse.dir", f"{shared}/warehouse")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -27,16 +32,15 @@ def local_session(cores: str = "*", app: str = "tidepanel", memory: str = "16g")
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder, in the order: already set on the context,
-    ``spark.checkpoint.dir`` of the session, a fresh folder (local mode only)."""
+    ``spark.checkpoint.dir`` of the session, a folder below the warehouse, which
+    all executors share too."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="tidepanel-ckpt-")
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     sc.setCheckpointDir(configured)
     return configured
 

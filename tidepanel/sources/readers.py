@@ -133,6 +133,12 @@ def read_monthly_index(spark: SparkSession, path: str, strict: bool = True) -> D
 
 # --- filings and issuers ---------------------------------------------------------
 
+def once(value: Column) -> Column:
+    """A costly value, computed once per row: the optimiser does not copy it into
+    the filters and projections above, as it does with a plain column."""
+    return F.explode(F.array(value))
+
+
 def parse_filings(payloads: DataFrame, since: str, forms: Sequence[str] = ("8-K", "6-K"),
                   body: str = "body") -> DataFrame:
     """Parallel arrays to one row per filing of the wanted forms.
@@ -140,9 +146,9 @@ def parse_filings(payloads: DataFrame, since: str, forms: Sequence[str] = ("8-K"
     ``payloads``: ticker, cik and the JSON body.  Arrays are zipped to the
     shortest of the required ones; missing items are empty.
     """
-    recent = F.from_json(body, schemas.FILINGS)["filings"]["recent"]
+    recent = once(F.from_json(body, schemas.FILINGS)["filings"]["recent"])
     named = ("form", "filingDate", "accessionNumber", "primaryDocument")
-    opened = payloads.withColumn("_f", recent).filter("_f IS NOT NULL")
+    opened = payloads.withColumn("_f", recent)
     shortest = F.least(*[F.size(F.coalesce(F.col(f"_f.{c}"), F.array().cast("array<string>"))) for c in named])
     items = F.coalesce(F.col("_f.items"), F.transform(F.col("_f.form"), lambda _: F.lit("")))
     shortest = F.least(shortest, F.size(items))
