@@ -50,22 +50,36 @@ def implied_rate(local: DataFrame, foreign: DataFrame, history: DataFrame, adjus
     return with_ratio.select(*keys, "d", ratio(F.col("local") * F.col("ratio"), "adr").alias("rate"))
 
 
+def rows_around(df: DataFrame, marks: DataFrame, at: str = "valid_from", window: int = 5,
+                keys: Sequence[str] = KEYS) -> DataFrame:
+    """The ``window`` rows of a series before each mark and from it on, with
+    ``after`` and the distance ``k`` in rows.
+
+    Rows are numbered, each mark is anchored to a number, and the two meet in an
+    equi-join on it: only the rows that are kept are formed.
+    """
+    numbered = df.withColumn("_pos", F.row_number().over(Window.partitionBy(*keys).orderBy("d")))
+    w = Window.partitionBy(*keys).orderBy("_at", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    dates = df.select(*keys, F.col("d").alias("_at"), F.lit(1).alias("_row"))
+    anchors = (marks.select(*keys, F.col(at).alias("_at"), F.lit(0).alias("_row")).distinct().unionByName(dates)
+               .withColumn("_before", F.sum("_row").over(w)).filter("_row = 0"))
+    step = F.explode(F.sequence(F.lit(1 - window), F.lit(window)))
+    wanted = (anchors.select(*keys, F.col("_at").alias(at), "_before", step.alias("_step"))
+              .withColumn("_pos", F.col("_before") + F.col("_step")))
+    return (wanted.join(numbered, [*keys, "_pos"]).withColumn("after", F.col("_step") > 0)
+            .withColumn("k", F.when(F.col("_step") > 0, F.col("_step")).otherwise(1 - F.col("_step")))
+            .drop("_pos", "_before", "_step"))
+
+
 def rate_continuity(rates: DataFrame, history: DataFrame, window: int = 5, max_step_pct: float = 25.0,
                     keys: Sequence[str] = KEYS) -> DataFrame:
     """Median level before and after each ratio change; a jump there is a split
     applied to one side only.
-
-    Rows are ranked by distance on both sides of a change; changes per series
-    are few, rows are bounded by the calendar.
     """
-    near = rates.join(history.select(*keys, "valid_from"), list(keys))
-    after = F.col("d") >= F.col("valid_from")
-    side = near.withColumn("_after", after).withColumn("_gap", F.abs(F.datediff("d", "valid_from")))
-    w = Window.partitionBy(*keys, "valid_from", "_after").orderBy("_gap")
-    side = side.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= window)
+    side = rows_around(rates, history, "valid_from", window, keys)
 
     def part(flag: bool) -> tuple[Column, Column]:
-        pick = F.when(F.col("_after") == flag, F.col("rate"))
+        pick = F.when(F.col("after") == flag, F.col("rate"))
         return F.percentile(pick, F.lit(0.5)), F.count(pick)
 
     (m0, n0), (m1, n1) = part(False), part(True)

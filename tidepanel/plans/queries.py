@@ -652,10 +652,8 @@ def events_recent_30(spark, sf_dir):
 @on_bars("head_tail_k")
 def head_tail_k(b):
     """Five rows on each side of every ratio change."""
-    near = b.select("ticker", "d", "close").join(_ratio_history(b).select("ticker", "valid_from"), "ticker")
-    near = near.withColumn("after", F.col("d") >= F.col("valid_from")).withColumn("gap", F.abs(F.datediff("d", "valid_from")))
-    w = Window.partitionBy("ticker", "valid_from", "after").orderBy("gap")
-    return tidy(near.withColumn("k", F.row_number().over(w)).filter("k <= 5"), "ticker", "valid_from", "after", "k", "d", "close")
+    near = fx.rows_around(b.select("ticker", "d", "close"), _ratio_history(b))
+    return tidy(near, "ticker", "valid_from", "after", "k", "d", "close")
 
 
 @query("sort_by_date")
