@@ -234,6 +234,14 @@ def test_jaccard_join_by_brute_force(spark):
     assert {i: r["component_id"] for i, r in found.items()} == component
 
 
+def test_bound_between_sizes_holds_for_every_size(spark):
+    sizes = spark.range(1, 400).select(F.col("id").alias("x"))
+    ends = sizes.withColumn("low", F.ceil(F.col("x") * 4 / 5)).withColumn("high", F.floor(F.col("x") * 5 / 4))
+    rows = ends.withColumn("y", F.explode(F.sequence("low", "high"))).select("x", "y", "high")
+    bound = groups._wanted_between(F.col("x"), F.ceil(F.col("x") * 4 / 5), F.col("high"))
+    assert rows.filter(bound > groups._wanted(F.col("x"), F.col("y"))).isEmpty()
+
+
 def test_jaccard_join_without_first_groups(spark, monkeypatch):
     """The matrix alone finds every link, also when no min-hash has joined anything before."""
     monkeypatch.setattr(groups, "verify", lambda pairs, *rest, real=groups.verify, calls=[]: real(pairs.limit(0) if not calls and not calls.append(1) else pairs, *rest))
