@@ -125,6 +125,8 @@ def components(edges: DataFrame) -> DataFrame:
     one row per task. Each round is written to the shared folder; it ends when no label changes.
     """
     both = edges.select("a", "b").filter("a <> b")
+    if both.isEmpty():
+        return both.select(F.col("a").alias("node"), F.col("b").alias("component"))
     both = stored(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")), "labels")
     while True:

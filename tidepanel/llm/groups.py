@@ -1,8 +1,9 @@
 """Exact Jaccard join on word shingles with a token-group matrix.
 
 1. Every text becomes its set of 5-word shingles; equal sets are one node from here on.
-2. Nodes with an equal min-hash are compared with the smallest of them; verified links join nodes to groups, so a large
-   group of near copies is one group and costs one comparison a node, not all pairs.
+2. Nodes with an equal min-hash are compared with the one of them that has the fewest rare tokens, which among edited
+   copies is the text closest to the original; verified links join nodes to groups, so a large group of near copies is one
+   group and costs a few comparisons a node, not all pairs.
 3. The matrix holds, for each group, the union of its members' leading tokens: of a set's tokens, rare ones first, the
    fifth and a few that two sets cannot miss each other in. How common a token is comes from counts over all texts; any
    order that all sets share keeps the join exact.
@@ -19,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import chunks, components, expand, stored, text_buffers
+from tidepanel.llm.common import chunks, components, expand, map_arrow, stored, text_buffers
 
 WORDS = 5
 #: Similarity of a link, in fifths: 4 / 5.
@@ -32,6 +33,8 @@ MARKS = 6
 DEPTH = 4
 SLOT_BITS = 22
 LOCAL_TOKENS = 4_000_000
+#: Times that nodes are compared with a head of their min-hash before the matrix.
+HEADS = 1
 #: A table of ids up to this size is sent to all executors, a larger one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -141,7 +144,7 @@ def sketch(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             yield common(kind)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), text).mapInArrow(work, f"doc_id {kind}, n_shingles long, node long, marks array<long>, token long, times long")
+    return map_arrow(docs.select(F.col(doc_id).alias("doc_id"), text), work, f"doc_id {kind}, n_shingles long, node long, marks array<long>, token long, times long")
 
 
 def commonness(rows: DataFrame) -> np.ndarray:
@@ -188,11 +191,12 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text: str) -> Da
                     keep.append((FIFTHS + 5) * shared >= FIFTHS * (len(x) + len(y)) and _node(x) == left[i + k] and _node(y) == right[i + k])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(work, "a long, b long")
+    return map_arrow(both, work, "a long, b long")
 
 
 def leading_tokens(docs: DataFrame, levels: np.ndarray, text: str) -> DataFrame:
-    """Rows (node, need, tokens): the leading tokens of every non-empty text and how many of them a linked set shares."""
+    """Rows (node, need, size, rare, tokens): the leading tokens of every non-empty text, how many of them a linked set
+    shares, and the share of rare ones among all its tokens, per mille."""
     shipped = docs.sparkSession.sparkContext.broadcast(levels)  # 2 ** SLOT_BITS bytes
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,16 +216,69 @@ def leading_tokens(docs: DataFrame, levels: np.ndarray, text: str) -> DataFrame:
                 order = np.argsort(owner * 256 + level, kind="stable")
                 chosen = tokens[order][expand(at[:-1][filled], kept)].view(np.int64)
                 node = [_node(tokens[a:b]) for a, b in zip(at[filled].tolist(), at[filled + 1].tolist())]
+                rare = np.bincount(owner, weights=level == 0, minlength=len(filled)) * 1000 // size
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(kept))).astype(np.int32)), pa.array(chosen))
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(need.astype(np.int32)), pa.array(size), lists], names=["node", "need", "size", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(need.astype(np.int32)), pa.array(size), pa.array(rare.astype(np.int32)), lists], names=["node", "need", "size", "rare", "tokens"])
 
-    return docs.select(text).mapInArrow(work, "node long, need int, size long, tokens array<long>")
+    return map_arrow(docs.select(text), work, "node long, need int, size long, rare int, tokens array<long>")
 
 
 def _sizes_fit(a: str, b: str) -> F.Column:
     return (F.col(a) * 5 >= F.col(b) * FIFTHS) & (F.col(b) * 5 >= F.col(a) * FIFTHS)
 
 
+def _rest(size: F.Column) -> F.Column:
+    """Tokens of a set that are not among its leading ones."""
+    least = F.ceil(size * FIFTHS / 5)
+    return least - F.least(least, F.lit(DEPTH))
+
+
+def _wanted(size: F.Column, other: F.Column) -> F.Column:
+    """Leading tokens that linked sets of these sizes share at least.
+
+    A link needs 4 / 9 of both sizes in common. Of the set whose leading tokens end first in the common order, only the
+    rest can add to what the leading tokens share.
+    """
+    common = F.ceil((size + other) * FIFTHS / (FIFTHS + 5))
+    both = F.least(F.ceil(size * FIFTHS / 5), F.ceil(other * FIFTHS / 5), F.lit(DEPTH))
+    return F.greatest(common - F.greatest(_rest(size), _rest(other)), both)
+
+
+def _wanted_between(size: F.Column, low: F.Column, high: F.Column) -> F.Column:
+    """A bound of the same for any size between two: it rises up to equal sizes and falls behind them, and rounding moves
+    each of both values by less than one."""
+    return F.least(_wanted(size, low), _wanted(size, high)) - 2
+
+
+def star_links(ranked: DataFrame, source: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) of nodes with heads, and the groups that they make.
+
+    Nodes of like size with an equal min-hash share a key. Its head is the node with the fewest rare tokens that was not
+    a head before; nodes outside the head's group are compared with it. A key with a large part of all nodes is counted
+    with partial minima and is a skewed key of the nodes' side of the join only.
+    """
+    band = F.floor(F.log("size") / F.log(F.lit(1.25)) + F.col("nth") / MARKS)
+    key = ["nth", "mark", "band"]
+    spread = stored(ranked.select("node", "size", "rare", F.posexplode("marks").alias("nth", "mark")).withColumn("band", band), "spread")
+    links = groups = used = None
+    for _ in range(HEADS):
+        open_ = spread if used is None else spread.join(used, [*key, "node"], "left_anti")
+        if groups is None:
+            open_ = open_.withColumn("group", F.col("node"))
+        else:
+            open_ = open_.join(_small(groups), "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+        heads = open_.groupBy(*key).agg(F.min(F.struct("rare", "node", "size", "group")).alias("head"), F.min("group").alias("low"), F.max("group").alias("high"))
+        heads = stored(heads.filter("low <> high").select(*key, "head.*").withColumnRenamed("node", "b").withColumnRenamed("size", "other").withColumnRenamed("group", "into").drop("rare"), "heads")
+        pairs = open_.join(heads, key).filter(F.col("group") != F.col("into")).filter(_sizes_fit("size", "other"))
+        pairs = stored(pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "pairs")
+        found = stored(verify(pairs, source, nodes, "text"), "links")
+        links = found if links is None else links.union(found)
+        groups = components(links)
+        fresh = heads.select(*key, F.col("b").alias("node"))
+        used = fresh if used is None else used.union(fresh)
+    return links, groups
+
+
 def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Shingle counts and components of all documents: (doc_id, n_shingles, component_id).
 
@@ -236,38 +293,46 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     base = rows.filter("times is null").select("doc_id", "n_shingles", "node", "marks")
     nodes = stored(base.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size"), F.min("marks").alias("marks")), "nodes")
 
-    # groups: nodes of like size with an equal min-hash, against the smallest of them
-    band = F.floor(F.log("size") / F.log(F.lit(1.25)) + F.col("nth") / MARKS)
-    spread = nodes.select("node", "size", F.posexplode("marks").alias("nth", "mark")).withColumn("band", band)
-    heads = spread.groupBy("nth", "mark", "band").agg(F.min(F.struct("node", "size")).alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    first = (spread.join(heads, ["nth", "mark", "band"]).filter("node <> head.node").withColumn("other", F.col("head.size")).filter(_sizes_fit("size", "other"))
-             .select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct())
-    first = stored(first, "pairs")
-    links = stored(verify(first, source, nodes, "text"), "links")
-    groups = components(links)
-
-    # the matrix: leading tokens by group, of tokens that two groups hold
     levels = commonness(rows)
     lead = stored(leading_tokens(source, levels, "text"), "leading")
+    ranked = stored(nodes.join(lead.select("node", "rare").distinct(), "node"), "ranked")
+    links, groups = star_links(ranked, source, nodes)
+
+    # the matrix: leading tokens by group, of tokens that two groups hold
     lead = lead.join(_small(groups), "node", "left").withColumn("group", F.coalesce("component", "node"))
-    cells = lead.select("node", "group", "need", "size", F.explode("tokens").alias("token"))
+    cells = lead.select("node", "group", "size", F.explode("tokens").alias("token"))
     several = cells.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("token")
-    several = stored(several, "tokens")
-    queries = stored(cells.join(_small(several), "token", "left_semi").distinct(), "cells")
-    matrix = queries.groupBy("token", "group").agg(F.min("need").alias("least"), F.min("size").alias("smallest"), F.max("size").alias("largest"))
-    # bound of the overlap of a node and a group; sizes no member can have close a group too
+    queries = cells.join(_small(stored(several, "tokens")), "token", "left_semi").distinct()
+    queries = stored(queries, "cells")
+    sizes = queries.groupBy("token").agg(F.min("size").alias("smallest"), F.max("size").alias("largest"))
+    queries = queries.join(_small(stored(sizes, "sizes")), "token")
+    # sizes that a partner can have, by the node's own size and by the sets that hold its tokens
+    queries = (queries.withColumn("smallest", F.greatest("smallest", F.ceil(F.col("size") * FIFTHS / 5)))
+               .withColumn("largest", F.least("largest", F.floor(F.col("size") * 5 / FIFTHS))).filter("smallest <= largest"))
+    own = Window.partitionBy("node")
+    queries = (queries.withColumn("held", F.count("*").over(own))
+               .withColumn("wanted", _wanted_between(F.col("size"), F.min("smallest").over(own), F.max("largest").over(own)))
+               .filter("held >= wanted").select("node", "group", "size", "token"))
+    queries = stored(queries, "cells")
+    matrix = queries.groupBy("token", "group").agg(F.min("size").alias("smallest"), F.max("size").alias("largest"))
+    # bound of the overlap of a node and a group; a group without a member of a fitting size stays closed too
     seen = (queries.join(matrix.withColumnRenamed("group", "other"), "token").filter("group <> other")
-            .groupBy("node", "other").agg(F.count("*").alias("shared"), F.min("least").alias("least"), F.min("smallest").alias("smallest"), F.max("largest").alias("largest"),
-                                          F.first("need").alias("need"), F.first("size").alias("size")))
-    opened = seen.filter((F.col("shared") >= F.least("need", "least")) & (F.col("size") * 5 >= F.col("smallest") * FIFTHS) & (F.col("largest") * 5 >= F.col("size") * FIFTHS))
+            .groupBy("node", "other", "size").agg(F.count("*").alias("shared"), F.min("smallest").alias("smallest"), F.max("largest").alias("largest"))
+            .withColumn("smallest", F.greatest("smallest", F.ceil(F.col("size") * FIFTHS / 5)))
+            .withColumn("largest", F.least("largest", F.floor(F.col("size") * 5 / FIFTHS))).filter("smallest <= largest"))
+    opened = seen.filter(F.col("shared") >= _wanted_between(F.col("size"), F.col("smallest"), F.col("largest")))
     opened = stored(opened.select("node", "other"), "opened")
-    inside = queries.select("token", F.col("node").alias("b"), F.col("group").alias("other"), F.col("need").alias("need_b"), F.col("size").alias("size_b"))
-    second = (queries.join(opened, "node").join(inside, ["token", "other"]).filter("node < b").filter(_sizes_fit("size", "size_b"))
-              .groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("shared"), F.first(F.least("need", "need_b")).alias("least"))
-              .filter("shared >= least").select("a", "b"))
+    # both ends have to open each other's group
+    sides = queries.join(opened, "node")
+    first = sides.select("token", F.col("node").alias("a"), "size", F.col("group").alias("of_a"), F.col("other").alias("of_b"))
+    last = sides.select("token", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("group").alias("of_b"), F.col("other").alias("of_a"))
+    second = (first.join(last, ["token", "of_a", "of_b"]).filter("a < b").filter(_sizes_fit("size", "size_b"))
+              .groupBy("a", "b", "size", "size_b").agg(F.count("*").alias("shared"))
+              .filter(F.col("shared") >= _wanted(F.col("size"), F.col("size_b"))).select("a", "b"))
     second = stored(second, "pairs")
     more = stored(verify(second, source, nodes, "text"), "links")
-    groups = components(links.union(more))
+    if not more.isEmpty():
+        groups = components(links.union(more))
 
     named = nodes.select("node", "rep").join(groups, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
