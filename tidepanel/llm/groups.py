@@ -312,7 +312,7 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     own = Window.partitionBy("node")
     queries = (queries.withColumn("held", F.count("*").over(own))
                .withColumn("wanted", _wanted_between(F.col("size"), F.min("smallest").over(own), F.max("largest").over(own)))
-               .filter("held >= wanted").select("node", "group", "size", "token"))
+               .filter("held >= wanted").select("node", "group", "size", "token", "wanted"))
     queries = stored(queries, "cells")
     matrix = queries.groupBy("token", "group").agg(F.min("size").alias("smallest"), F.max("size").alias("largest"))
     # bound of the overlap of a node and a group; a group without a member of a fitting size stays closed too
@@ -322,13 +322,16 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             .withColumn("largest", F.least("largest", F.floor(F.col("size") * 5 / FIFTHS))).filter("smallest <= largest"))
     opened = seen.filter(F.col("shared") >= _wanted_between(F.col("size"), F.col("smallest"), F.col("largest")))
     opened = stored(opened.select("node", "other"), "opened")
-    # both ends have to open each other's group
-    sides = queries.join(opened, "node")
+    # both ends have to open each other's group; sets that share that many tokens also share one of the first few
+    lists = stored(queries.groupBy("node", "group", "size", "wanted").agg(F.sort_array(F.collect_list("token")).alias("tokens")), "lists")
+    few = F.slice("tokens", F.lit(1), F.size("tokens") - F.greatest("wanted", F.lit(1)).cast("int") + 1)
+    sides = lists.select("node", "group", "size", F.explode(few).alias("token")).join(opened, "node")
     first = sides.select("token", F.col("node").alias("a"), "size", F.col("group").alias("of_a"), F.col("other").alias("of_b"))
     last = sides.select("token", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("group").alias("of_b"), F.col("other").alias("of_a"))
-    second = (first.join(last, ["token", "of_a", "of_b"]).filter("a < b").filter(_sizes_fit("size", "size_b"))
-              .groupBy("a", "b", "size", "size_b").agg(F.count("*").alias("shared"))
-              .filter(F.col("shared") >= _wanted(F.col("size"), F.col("size_b"))).select("a", "b"))
+    second = first.join(last, ["token", "of_a", "of_b"]).filter("a < b").filter(_sizes_fit("size", "size_b")).select("a", "b").distinct()
+    own, partner = lists.select(F.col("node").alias("a"), "size", "tokens"), lists.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("tokens").alias("tokens_b"))
+    second = (second.join(own, "a").join(partner, "b")
+              .filter(F.size(F.array_intersect("tokens", "tokens_b")) >= _wanted(F.col("size"), F.col("size_b"))).select("a", "b"))
     second = stored(second, "pairs")
     more = stored(verify(second, source, nodes, "text"), "links")
     if not more.isEmpty():
