@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm import bpe
-from tidepanel.llm.common import chunks, expand, put_file, text_buffers
+from tidepanel.llm.common import chunks, expand, map_arrow, put_file, stored, text_buffers
 
 #: Bound of the lexicon in words, and the distinct words that a task holds before it hands its counts on.
 LEXICON_WORDS = 65_536
@@ -50,7 +50,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                     yield flush()
         yield flush()
 
-    return docs.select(text).mapInArrow(local, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select(text), local, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Transducer:
@@ -194,9 +194,17 @@ def _worker_lexicon(name: str) -> Transducer:
 
 
 def build_lexicon(docs: DataFrame, vocab_path: str, words: int = LEXICON_WORDS, text: str = "text") -> str:
-    """Compile the most frequent words of ``docs`` and ship them; the name opens the lexicon in a task. The driver gets
-    ``words`` rows at most."""
-    rows = word_counts(docs, text).orderBy(F.desc("n"), "word").limit(words).collect()
+    """Compile the most frequent words of ``docs`` and ship them; the name opens the lexicon in a task. Words are as
+    frequent as the least count that leaves no more than ``words`` of them; only those come to the driver."""
+    counts = stored(word_counts(docs, text), "words")
+    step = F.floor(F.log2("n") * 16)  # counts in steps of about four per cent: a few hundred rows for any corpus
+    sizes = {r["step"]: r["words"] for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()}
+    room, least = words, None
+    for s in sorted(sizes, reverse=True):
+        if sizes[s] > room:
+            break
+        room, least = room - sizes[s], s
+    rows = counts.filter(step >= least).select("word").collect() if least is not None else []
     vocab = bpe.vocabulary(vocab_path)
     frequent = [bytes(r["word"]) for r in rows]
     flat, at = vocab.merge(pa.array(frequent, pa.large_binary()))
@@ -241,4 +249,4 @@ def encode_documents(docs: DataFrame, vocab_path: str | None = None, words: int
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(work, f"{doc_id} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
+    return map_arrow(docs.select(doc_id, text), work, f"{doc_id} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
