@@ -56,7 +56,7 @@ def test_scan_reads_only_needed_columns(spark, sf_dir):
 
 
 @pytest.mark.parametrize("key, scans", [("latest_signal", 2), ("dsr", 2), ("ratio_asof", 4), ("reconcile_sources", 4),
-                                        ("ccl_level_gap", 6), ("load_filings", 1)])
+                                        ("ccl_level_gap", 8), ("load_filings", 1)])
 def test_facts_are_read_once(spark, sf_dir, key, scans):
     """A panel of bars is two files (trades and orders); each side of a comparison is one panel."""
     assert plan_of(QUERIES[key](spark, sf_dir)).count("FileScan") <= scans

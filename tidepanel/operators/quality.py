@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidepanel.functions.numeric import by_series, ratio
 from tidepanel.operators.indicators import KEYS, log_return_col
@@ -16,9 +16,9 @@ def align_inner(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS, min_over
     both = a.join(b, [*keys, "d"])
     if not min_overlap:
         return both
-    enough = (both.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-              .filter(F.col("_n") >= min_overlap).select(*keys))
-    return both.join(enough, list(keys), "left_semi")
+    # a series is bounded by the calendar; counting it in place reads both sides once
+    enough = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    return both.withColumn("_n", enough).filter(F.col("_n") >= min_overlap).drop("_n")
 
 
 def overlap_rejects(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS, min_overlap: int = 20) -> DataFrame:
