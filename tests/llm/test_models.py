@@ -75,6 +75,21 @@ def test_mixture_finds_the_best_set():
         assert not found[1].any()
 
 
+def test_mixture_does_not_depend_on_the_texts_before():
+    rng = np.random.default_rng(3)
+    mixed = rng.normal(-10, 0.3, (400, 3))
+    mixed[np.arange(400), rng.choice(3, 400, p=[0.6, 0.4, 0])] += 4
+    before = np.full((50, 3), -10.0)
+    before[:49, 0] += 10
+    before[49, 1] += 60  # one word that another language likes by 60 nats more
+    alone = language.mixtures(mixed, np.array([0, 400]))[0]
+    behind = language.mixtures(np.concatenate((before, mixed)), np.array([0, 50, 50, 450]))
+    assert np.count_nonzero(alone) == 2 == np.count_nonzero(behind[2])
+    assert (behind[2] == alone).all() and not behind[1].any()
+    huge = common.sums(np.array([1e300, 1.0, 2.0, 1e17, 1.0]), np.array([0, 1, 1, 3, 4, 5, 5]))
+    assert huge.tolist() == [1e300, 0.0, 3.0, 1e17, 1.0, 0.0]
+
+
 def test_language_of_odd_rows(spark):
     docs = documents(spark)
     model = language.fit(docs)

@@ -106,9 +106,13 @@ def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sum of each range between neighbouring offsets; empty ranges give 0."""
-    running = np.concatenate(([0], np.cumsum(values)))
-    return running[offsets[1:]] - running[offsets[:-1]]
+    """Sum of each range between neighbouring offsets; empty ranges give 0. Every range is summed by itself, so a large
+    value never takes digits from the ranges behind it."""
+    out = np.zeros(len(offsets) - 1, np.result_type(values, np.int64))
+    filled = np.flatnonzero(offsets[1:] > offsets[:-1])
+    if filled.size:
+        out[filled] = np.add.reduceat(values[:offsets[-1]], offsets[:-1][filled])
+    return out
 
 
 def crc_fold(id_column: Column) -> Column:
