@@ -78,6 +78,19 @@ def test_main_text(page, text):
     assert density.main_text(page) == text
 
 
+@pytest.mark.parametrize("attributes, stays", [
+    ('style="overflow:hidden"', True), ('title="Hidden costs"', True), ("title='a hidden gem'", True), ('href="/guides/hidden-gems"', True), ("href=/p?hidden", True),
+    ('data-hidden="false"', True), ('data-id="share-7"', True), ('href="/p?id=related"', True), ('alt="class=menu"', True), ('aria-label = "role=menu id=nav"', True),
+    ('class="text" class="menu"', True), ('title="', True), ("title", True), ("hidden", False), ("HIDDEN", False), ('hidden=""', False), ('title="x"hidden', False),
+    ('aria-hidden = "true"', False), ('aria-hidden="false"', True), ('style="a"class="menu"', False), ("ID=related", False), ("role='Menu'", False),
+])
+def test_attributes_count_by_their_whole_name(attributes, stays):
+    for tag in ("div", "span"):
+        page = f"<p>before</p><{tag} {attributes}>inside</{tag}><p>behind</p>"
+        assert density.main_text(page).split() == (["before", "inside", "behind"] if stays else ["before", "behind"])
+    assert density.main_text("<p " + "a " * 200_000 + " " * 200_000 + "hidden>x</p><p>y") == "y"
+
+
 def test_pages_with_odd_rows(spark):
     rows = [(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (None, None, None, None), (2, None, "", "x"), (3, "u", "<p>" + "word " * 200_000, "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

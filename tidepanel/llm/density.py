@@ -39,7 +39,7 @@ NO_TEXT_WORDS = set("ad ads advert advertisement adverts advertising banner spon
 
 TOKEN = re.compile(r"<!--(?:.*?--!?>|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>\"[^\"]*\"|'[^']*'|[^>\"'])*+)>", re.S)
 LENIENT = re.compile(r"<!--(?:.*?--!?>|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s/][^\s/=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|(\S*+)))?", re.S)
 OPENING = re.compile(r"<[a-zA-Z/]")
 
 
@@ -52,18 +52,25 @@ class Tree:
         self.text: list[tuple[int, str | None]] = []
 
 
+def _attributes(source: str) -> dict[str, str]:
+    """Attributes of a tag by name, in small letters: name by name, each with its value, the first of equal names. A quote
+    that never ends runs to the end."""
+    found: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(source):
+        found.setdefault(name.lower(), "".join(values).lower())
+    return found
+
+
 def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in NO_TEXT_TAGS or tag == "header" and not in_article:
         return True
-    if "=" not in attributes and "hidden" not in attributes:
+    if "=" not in attributes and "hidden" not in attributes.lower():
         return False
-    for name, *values in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), "".join(values).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in NO_TEXT_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and NO_TEXT_WORDS & set(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+    held = _attributes(attributes)
+    if "hidden" in held or held.get("aria-hidden") == "true" or held.get("role") in NO_TEXT_ROLES:
+        return True
+    words = set(re.split(r"[^a-z0-9]+", f"{held.get('class', '')} {held.get('id', '')}"))
+    return tag not in ("html", "body", "article", "main") and not NO_TEXT_WORDS.isdisjoint(words)
 
 
 def parse(page: str) -> Tree:
