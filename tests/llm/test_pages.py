@@ -91,6 +91,43 @@ def test_attributes_count_by_their_whole_name(attributes, stays):
     assert density.main_text("<p " + "a " * 200_000 + " " * 200_000 + "hidden>x</p><p>y") == "y"
 
 
+LINES = ["The title of it", *(f"Paragraph {k} tells a bit more of the long story that this page is about." for k in range(6))]
+BODY = "<h1>" + LINES[0] + "</h1>" + "".join(f"<p>{x}</p>" for x in LINES[1:])
+MENU = '<nav><a href="/">Start</a></nav><div class="menu"><a href="/a">One</a> <a href="/b">Two</a></div>'
+SIDE = '<div class="sidebar"><p>Look at this and at that, and do not forget the other one.</p></div>'
+COMMENTS = '<section class="comments"><h2>Comments</h2>' + "<p>I have so much to say about this that it is longer than the page itself.</p>" * 12 + "</section>"
+
+
+@pytest.mark.parametrize("around", [
+    '<div class="site has-sidebar">{}</div>', '<div class="no-sidebar">{}</div>', '<div class="content with-nav">{}</div>', '<div id="share-page">{}</div>',
+    '<form id="aspnetForm" action="/"><input name="state"><select><option>de</select>{}<button>Send</button></form>', '<div class="widget"><div role="form"><div id="social">{}</div></div></div>',
+    '<p>Skip to content</p><div class="page no-banner">{}</div>', "<div>{}</div>",
+])
+@pytest.mark.parametrize("inner", [f"<article>{BODY}</article>", f"<main>{BODY}</main>", f"<div>{BODY}</div>", f'<main><div class="row with-nav"><article>{BODY}</article></div></main>'])
+def test_wrappers_never_take_the_text_along(around, inner):
+    for page in (around.format(MENU + inner + SIDE), MENU + around.format(inner) + SIDE, around.format(inner + COMMENTS), around.format(inner) + COMMENTS):
+        assert density.main_text(f"<body>{page}<footer>Imprint</footer></body>").removeprefix("Skip to content\n") == "\n".join(LINES)
+
+
+@pytest.mark.parametrize("page, text", [
+    (f'<div>{BODY}</div><aside class="related"><article><p>Teaser of another page</p></article></aside>', LINES),
+    (f'<article>{BODY}<aside><article><p>Teaser of another page</p></article></aside></article>', LINES),
+    (f'<article>{BODY}</article><div class="related"><article><p>Teaser one</p></article><article><p>Teaser two</p></article></div>', LINES),
+    (f'<div>{BODY}</div><ol class="comments"><li><article class="comment-body"><p>{"so much to say " * 60}</p></article></ol>', LINES),
+    (f'<div class="with-nav"><article>{BODY}</article></div><div><article><p>Teaser</p></article></div>', LINES),
+    (f'<div hidden><article>{BODY}</article></div><p>seen</p>', ["seen"]),
+    ('<div class="menu"><a href="/">Start</a></div><nav>menu</nav><p>text</p>', ["text"]),
+])
+def test_marks_stay_beside_the_text(page, text):
+    assert density.main_text(page) == "\n".join(text)
+
+
+def test_marks_on_deep_pages_take_linear_time():
+    page = '<div class="with-nav">' * 20_000 + "<p>end"
+    assert density.main_text(page) == "end"
+    assert density.main_text('<div class="with-nav"><article>a' * 5_000) == "a"
+
+
 def test_pages_with_odd_rows(spark):
     rows = [(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (None, None, None, None), (2, None, "", "x"), (3, "u", "<p>" + "word " * 200_000, "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

@@ -1,7 +1,8 @@
 """Main text of HTML pages by composite text density.
 
 Every page is parsed into a tree that forgives unclosed and crossed tags. Subtrees that are no running text by their tag
-or role (menus, footers, adverts, forms, reader comments ...) are left out. Every remaining block node gets its
+or role (menus, footers, adverts, forms, reader comments ...) are left out, unless they stand around the page's article or
+most of its text. Every remaining block node gets its
 link-adjusted number of characters per tag; the path from the body to the densest node gives the threshold, and among
 the nodes that reach it the one with the largest sum over its children holds the text.
 """
@@ -30,9 +31,9 @@ CLOSED_BY_SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr":
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"},
           "tbody": {"table"}, "tfoot": {"table"}}
 # Elements, roles and words of class or id that mark what is no article text.
-NO_TEXT_TAGS = set("head script style noscript template nav aside footer form button select textarea input iframe object svg math canvas audio video dialog menu "
-                   "search title xmp noembed noframes".split())
-NO_TEXT_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
+NEVER_TAGS = set("head script style noscript template button select textarea input iframe object svg math canvas audio video title xmp noembed noframes".split())
+NO_TEXT_TAGS = set("nav aside footer dialog menu search".split())
+NO_TEXT_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar tablist".split())
 NO_TEXT_WORDS = set("ad ads advert advertisement adverts advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal "
                     "overlay newsletter subscribe signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar sidenav footer masthead topbar toolbar "
                     "pagination pager share sharing social comment comments disqus respond replies related recommended widget".split())
@@ -40,6 +41,9 @@ NO_TEXT_WORDS = set("ad ads advert advertisement adverts advertising banner spon
 TOKEN = re.compile(r"<!--(?:.*?--!?>|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>\"[^\"]*\"|'[^']*'|[^>\"'])*+)>", re.S)
 LENIENT = re.compile(r"<!--(?:.*?--!?>|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s/][^\s/=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|(\S*+)))?", re.S)
+#: Marks of a node: a word of class or id at an article, which only counts where articles are compared; a form or such a
+#: word elsewhere; a tag or role that is no article text; what is never text.
+OWN_WORD, WORD, PART, NEVER = 1, 2, 3, 4
 OPENING = re.compile(r"<[a-zA-Z/]")
 
 
@@ -47,7 +51,7 @@ class Tree:
     """Nodes by number; parents come before their children."""
 
     def __init__(self) -> None:
-        self.tag, self.parent, self.skip = ["html"], [-1], [False]
+        self.tag, self.parent, self.mark = ["html"], [-1], [0]
         #: text pieces in page order: (node, text); None stands for the edge of a block
         self.text: list[tuple[int, str | None]] = []
 
@@ -61,16 +65,94 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
-def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in NO_TEXT_TAGS or tag == "header" and not in_article:
-        return True
-    if "=" not in attributes and "hidden" not in attributes.lower():
-        return False
-    held = _attributes(attributes)
-    if "hidden" in held or held.get("aria-hidden") == "true" or held.get("role") in NO_TEXT_ROLES:
-        return True
-    words = set(re.split(r"[^a-z0-9]+", f"{held.get('class', '')} {held.get('id', '')}"))
-    return tag not in ("html", "body", "article", "main") and not NO_TEXT_WORDS.isdisjoint(words)
+def _mark(tag: str, attributes: str, in_article: bool) -> int:
+    if tag in NEVER_TAGS:
+        return NEVER
+    held = _attributes(attributes) if "=" in attributes or "hidden" in attributes.lower() else {}
+    if "hidden" in held or held.get("aria-hidden") == "true":
+        return NEVER
+    if tag in NO_TEXT_TAGS or tag == "header" and not in_article or held.get("role") in NO_TEXT_ROLES:
+        return PART
+    if tag == "form" or held.get("role") == "form":
+        return WORD
+    words = re.split(r"[^a-z0-9]+", f"{held.get('class', '')} {held.get('id', '')}") if held else ()
+    if tag in ("html", "body") or NO_TEXT_WORDS.isdisjoint(words):
+        return 0
+    return OWN_WORD if tag in ("article", "main") else WORD
+
+
+def left_out(tree: Tree) -> list[bool]:
+    """Nodes whose text is left out: those with a mark and all below them.
+
+    A mark is lifted where it would take the page's text along. That is above a ``main``, above an article that holds
+    most of the text outside menus and the like, and above the least marked articles if no unmarked one is there and they
+    hold more than stands open. A page without any article has its forms and class or id words lifted above most of its
+    text, or above a heading of the first level with a quarter of it, as long as less than a quarter stands open and such
+    headings are not elsewhere only.
+    """
+    count, mark, parent = len(tree.tag), tree.mark, tree.parent
+    lifted = [False] * count
+
+    def skipped() -> list[bool]:
+        skip = [False] * count
+        for n in range(1, count):
+            skip[n] = skip[parent[n]] or mark[n] == NEVER or mark[n] in (WORD, PART) and not lifted[n]
+        return skip
+
+    skip = skipped()
+    if WORD not in mark and PART not in mark:
+        return skip
+    whole, depth, under = [0] * count, [0] * count, [0] * count  # marks above and at a node: how many, and the strongest
+    for n, piece in tree.text:
+        if piece:
+            whole[n] += sum(map(len, piece.split()))
+    open_ = whole[:]
+    for n in range(count - 1, 0, -1):
+        if mark[n] < PART:
+            whole[parent[n]] += whole[n]
+        if mark[n] < WORD:
+            open_[parent[n]] += open_[n]
+    for n in range(1, count):
+        depth[n] = depth[parent[n]] + (mark[n] in (WORD, PART))
+        under[n] = max(under[parent[n]], mark[n])
+
+    def lift(nodes: list[int]) -> None:
+        for n in nodes:
+            while n > 0 and not lifted[n]:
+                lifted[n] = True
+                n = parent[n]
+
+    articles = [n for n in range(1, count) if tree.tag[n] in ("article", "main") and under[n] < NEVER and open_[n] and (mark[n] != OWN_WORD or tree.tag[n] == "main")]
+    if articles:
+        least = min(depth[n] for n in articles)
+        first = [n for n in articles if depth[n] == least]
+        if not least or sum(open_[n] for n in first) <= open_[0]:
+            first = []
+        lift(first + [n for n in articles if tree.tag[n] == "main" or under[n] < PART and 2 * open_[n] > whole[0]])
+        return skipped()
+    above = [0] * count  # nearest marked node above
+    below: dict[int, list[int]] = {}
+    heads: dict[int, int] = {}  # headings of the first level by the nearest marked node
+    for n in range(1, count):
+        above[n] = parent[n] if mark[parent[n]] in (WORD, PART, NEVER) else above[parent[n]]
+        if mark[n] == WORD:
+            below.setdefault(above[n], []).append(n)
+        if tree.tag[n] == "h1" and whole[n] and mark[n] < WORD:
+            heads[above[n]] = heads.get(above[n], 0) + 1
+    headed = [False] * count
+    for n in heads:
+        while n > 0 and not headed[n]:
+            headed[n] = True
+            n = parent[n]
+    at, shown, outside = 0, open_[0], bool(heads.get(0))
+    while at in below:
+        titled = [n for n in below[at] if headed[n] and 4 * whole[n] > whole[0]]
+        at = max(titled or below[at], key=lambda n: (whole[n], -n))
+        if shown and (2 * whole[at] <= whole[0] and not titled or 4 * shown >= whole[0] or outside and not headed[at]):
+            break
+        lifted[at] = True
+        shown, outside = shown + open_[at], outside or bool(heads.get(at))
+    return skipped()
 
 
 def parse(page: str) -> Tree:
@@ -135,7 +217,7 @@ def parse(page: str) -> Tree:
         above = open_[-1]
         tree.tag.append(tag)
         tree.parent.append(above)
-        tree.skip.append(tree.skip[above] or _left_out(tag, match[3], bool(count.get("article") or count.get("main"))))
+        tree.mark.append(_mark(tag, match[3], bool(count.get("article") or count.get("main"))))
         if tag in BLOCK:
             tree.text.append((node, None))
         elif tag in SPACED:
@@ -157,8 +239,8 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     tree = parse(page)
-    count = len(tree.tag)
-    block = [tree.tag[n] in BLOCK and not tree.skip[n] for n in range(count)]
+    count, skip = len(tree.tag), left_out(tree)
+    block = [tree.tag[n] in BLOCK and not skip[n] for n in range(count)]
     block[0] = True
     home = [0] * count  # nearest block
     link = [False] * count
@@ -168,14 +250,14 @@ def main_text(page: str | None) -> str:
     chars, tags, link_chars, link_tags = [0] * count, [0] * count, [0] * count, [0] * count
     own = [0] * count
     for n, piece in tree.text:
-        if piece and not tree.skip[n]:
+        if piece and not skip[n]:
             size = sum(map(len, piece.split()))
             chars[n] += size
             link_chars[n] += size * link[n]
             own[home[n]] += size
     for n in range(count - 1, 0, -1):
         above = tree.parent[n]
-        if not tree.skip[n]:
+        if not skip[n]:
             chars[above] += chars[n]
             link_chars[above] += link_chars[n]
             tags[above] += tags[n] + 1
@@ -222,7 +304,7 @@ def main_text(page: str | None) -> str:
     chosen = [False] * count
     chosen[best] = True
     for n in range(best + 1, count):
-        chosen[n] = chosen[tree.parent[n]] and not tree.skip[n]
+        chosen[n] = chosen[tree.parent[n]] and not skip[n]
     lines: list[str] = []
     held: list[str] = []
     for n, piece in [*tree.text, (0, None)]:
