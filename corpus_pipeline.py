@@ -6,7 +6,7 @@ folder before the next one reads it. All but the last return the columns of thei
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.llm import cotraining, groups, language, packing
@@ -30,21 +30,26 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near-duplicates.
+    """One row of every group of near-duplicates: the one with the smallest id, a null id being the largest, and of equal
+    ids the first by a hash of the text.
 
-    Rows that repeat an id are one document, of which the first row by text stays. Rows without an id stay, unless they
-    are in a group with a named document.
+    Every row is judged by its own text, so an id that stands at several texts is in the group of each. Texts without a
+    word are in no group; of rows that repeat such a text and an id one stays.
     """
-    found = stored(groups.link_documents(docs), "components")
-    ids = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays"))
-    ids = stored(ids.filter("doc_id is not null and (stays = 0 or rows > 1)"), "ids")
-    gone, repeated = ids.filter("stays = 0").select("doc_id"), ids.filter("stays = 1").select("doc_id")
-    if ids.count() <= groups.BROADCAST_ROWS:
+    found = groups.link_rows(docs).groupBy(F.col("doc_id").alias("an id"), F.col("text_key").alias("a text"))
+    found = stored(found.agg(F.count("*").alias("rows"), F.max("component").alias("component")), "components")
+    first = found.filter("component is not null").groupBy("component").agg(F.min(F.struct(F.col("an id").isNull(), "an id", "a text")).alias("row"))
+    first = first.select(F.col("row.an id").alias("first id"), F.col("row.a text").alias("first text"), F.lit(True).alias("stays"))
+    same = F.col("an id").eqNullSafe(F.col("first id")) & (F.col("a text") == F.col("first text"))
+    found = found.join(first, same, "left").withColumn("stays", F.col("stays").isNotNull() | F.col("component").isNull())
+    found = stored(found.filter("not stays or rows > 1 and (component is not null or `an id` is not null)").select("an id", "a text", "stays"), "ids")
+    gone, repeated = found.filter("not stays").drop("stays"), found.filter("stays").drop("stays")
+    if found.count() <= groups.BROADCAST_ROWS:
         gone, repeated = F.broadcast(gone), F.broadcast(repeated)
-    left = docs.join(gone, "doc_id", "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    again = left.join(repeated, "doc_id", "left_semi").withColumn("nth row", first).filter("`nth row` = 1").drop("nth row")
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(again.select(*docs.columns))
+    own = F.col("doc_id").eqNullSafe(F.col("an id")) & (F.xxhash64("text") == F.col("a text"))
+    left = docs.join(gone, own, "left_anti")
+    again = left.join(repeated, own, "left_semi").withColumn("text key", F.xxhash64("text")).dropDuplicates(["doc_id", "text key"])
+    return left.join(repeated, own, "left_anti").select(*docs.columns).union(again.select(*docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

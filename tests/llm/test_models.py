@@ -297,6 +297,18 @@ def test_pipeline_by_stages(spark):
     assert len(set(clean) - {r["doc_id"] for r in kept}) <= 0.03 * len(clean)
 
 
+def test_one_row_of_each_group_whatever_its_id(spark):
+    import corpus_pipeline
+
+    texts = {k: prose(k, 60) for k in range(1, 8)}
+    near = texts[4].replace("fox", "cat", 1)
+    rows = [(3, texts[1]), (5, texts[1]), (5, texts[2]), (None, texts[3]), (None, texts[3]), (None, texts[1]), (None, texts[4]), (9, near), (7, texts[5]), (7, texts[5]), (7, texts[6]),
+            (None, texts[7]), (8, ""), (8, ""), (8, texts[1].upper()), (None, None), (None, None)]
+    kept = corpus_pipeline.one_of_each_group(spark, documents(spark, [(*r, "en", "a", 1, "x", None) for r in rows]), "").collect()
+    wanted = [(3, texts[1]), (5, texts[2]), (None, texts[3]), (9, near), (7, texts[5]), (7, texts[6]), (None, texts[7]), (8, ""), (None, None), (None, None)]
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter(wanted)
+
+
 def test_pipeline_stages_bear_odd_rows(spark, tmp_path):
     import corpus_pipeline
 

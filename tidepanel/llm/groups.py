@@ -104,22 +104,22 @@ def _node(tokens: np.ndarray) -> int:
 
 
 def sketch(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows of two kinds: (doc_id, n_shingles, node, marks) per document, and (token, times) for tokens that a task has met
+    """Rows of two kinds: (doc_id, text_key, n_shingles, node, marks) per document, and (token, times) for tokens that a task has met
     in two or more of its texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def row(ids: pa.Array, size, node, marks, token, times) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(token, pa.int64()), pa.array(times, pa.int64())],
-                                              names=["doc_id", "n_shingles", "node", "marks", "token", "times"])
+        def row(ids: pa.Array, keys: pa.Array, size, node, marks, token, times) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids, keys, pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(token, pa.int64()), pa.array(times, pa.int64())],
+                                              names=["doc_id", "text_key", "n_shingles", "node", "marks", "token", "times"])
 
         def common(kind: pa.DataType) -> pa.RecordBatch:
             token, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
             held.clear()
             token, times = token[times > 1].view(np.int64), times[times > 1]
             none = [None] * len(token)
-            return row(pa.nulls(len(token), kind), none, none, none, token, times)
+            return row(pa.nulls(len(token), kind), pa.nulls(len(token), pa.int64()), none, none, none, token, times)
 
         kind = None
         for batch in batches:
@@ -136,7 +136,7 @@ def sketch(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                         marks[f] = low
                 node = [_node(tokens[a:b]) if b > a else None for a, b in zip(at.tolist(), at[1:].tolist())]
                 none = [None] * (j - i)
-                yield row(batch.column(0).slice(i, j - i), size, node, marks, none, none)
+                yield row(batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), size, node, marks, none, none)
                 held.append(tokens)
                 if sum(map(len, held)) > LOCAL_TOKENS:
                     yield common(kind)
@@ -144,7 +144,7 @@ def sketch(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             yield common(kind)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return map_arrow(docs.select(F.col(doc_id).alias("doc_id"), text), work, f"doc_id {kind}, n_shingles long, node long, marks array<long>, token long, times long")
+    return map_arrow(docs.select(F.col(doc_id).alias("doc_id"), text, F.xxhash64(text)), work, f"doc_id {kind}, text_key long, n_shingles long, node long, marks array<long>, token long, times long")
 
 
 def commonness(rows: DataFrame) -> np.ndarray:
@@ -288,9 +288,16 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     counts; rows that repeat an id join the texts' nodes each. A null id is a row, but no component's name unless nothing
     else is in it. Other columns are not read. An empty table gives an empty one.
     """
+    rows = link_rows(docs, doc_id, text)
+    return rows.select(F.col("doc_id").alias(doc_id), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def link_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same row by row, whatever its id: (doc_id, text_key, n_shingles, component, component_id). ``text_key`` is the
+    ``xxhash64`` of the row's text, ``component`` a number of its component, null for an empty set."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = stored(sketch(source, "doc_id", "text"), "sketch")
-    base = rows.filter("times is null").select("doc_id", "n_shingles", "node", "marks")
+    base = rows.filter("times is null").select("doc_id", "text_key", "n_shingles", "node", "marks")
     nodes = stored(base.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size"), F.min("marks").alias("marks")), "nodes")
 
     levels = commonness(rows)
@@ -339,6 +346,6 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     named = nodes.select("node", "rep").join(groups, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_node = named.join(smallest, "component").select("node", "component_id")
-    return (base.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
-            .select(F.col("doc_id").alias(doc_id), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+    of_node = named.join(smallest, "component").select("node", "component", "component_id")
+    return (base.select("doc_id", "text_key", "n_shingles", "node").join(of_node, "node", "left")
+            .select("doc_id", "text_key", "n_shingles", "component", "component_id"))
