@@ -186,3 +186,21 @@ def test_dominance_never_costs_a_sequence(seed):
     plan = packing.solve(counts, 20)
     assert sum(r[2] for r in plan.rows) == len(lengths)
     assert plan.sequences <= optimum(lengths, 20) + 1
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_reduction_of_every_length_never_costs_a_sequence(seed):
+    rnd = random.Random(seed)
+    lengths = [rnd.randint(1, 20) for _ in range(rnd.randint(1, 9))]
+    plan = packing.Plan({x: lengths.count(x) for x in lengths}, 20)
+    plan.reduce()
+    assert all(plan.dominating(x) is None for x in plan.left)
+    rest = [x for x, n in plan.left.items() for _ in range(n)]
+    assert plan.sequences + (optimum(rest, 20) if rest else 0) == optimum(lengths, 20)
+
+
+def test_exact_pairs_of_shorter_lengths_are_fixed():
+    # nothing dominates for 70, 3 + 5 + 8 fit beside it; 60 and 40 fill a sequence
+    counts = {70: 1, 60: 4, 40: 4, 8: 1, 5: 1, 3: 1}
+    assert packing.Plan(counts, 100).dominating() is None
+    assert packing.solve(counts, 100).reduced >= 4

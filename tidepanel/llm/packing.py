@@ -2,7 +2,7 @@
 
 Lengths are whole numbers from 1 to the capacity, so the whole instance is a histogram of at most ``capacity`` classes,
 whatever the corpus. The driver solves that histogram: sets of one to three pieces that dominate every alternative for
-the longest open piece are fixed, many sequences at a time; the rest is packed best-fit, longest first. Runs of equal
+an open piece, longest first, are fixed, many sequences at a time; the rest is packed best-fit, longest first. Runs of equal
 sequences are kept as ranges, so the plan has a few thousand rows. Pieces find their place by their rank within their
 length class, which is counted in parallel over hashed blocks of documents; a hot class is spread over all blocks.
 """
@@ -82,10 +82,11 @@ class Plan:
         self.sequences += many
         self.reduced += many
 
-    def dominating(self) -> tuple[int, ...] | None:
-        """A set with the longest open piece that dominates all others: alone, in a pair or in a triple."""
+    def dominating(self, top: int | None = None) -> tuple[int, ...] | None:
+        """A set with this open length, else the longest, that dominates all others with it: alone, in a pair or in a
+        triple."""
         sizes = sorted(self.left)
-        top = sizes[-1]
+        top = sizes[-1] if top is None else top
         room = self.capacity - top
 
         def open_(x: int, *taken: int) -> bool:
@@ -119,6 +120,16 @@ class Plan:
             return (top, greater, less)  # no two pieces above the lesser one fit, so every pair can take their places
         return None
 
+    def reduce(self) -> None:
+        """Fix dominating sets, longest first; a length without one is passed over, and looked at again as long as any
+        other was fixed."""
+        before = -1
+        while before < self.reduced:
+            before = self.reduced
+            for length in sorted(self.left, reverse=True):
+                while length in self.left and (fixed := self.dominating(length)):
+                    self.fix(fixed)
+
     def best_fit(self) -> None:
         """Longest first into the fullest sequence with room; sequences of equal room are kept as ranges."""
         rooms: dict[int, list[tuple[int, int]]] = {}
@@ -153,10 +164,9 @@ class Plan:
 
 
 def solve(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """Reduce by dominance until no set dominates, then pack the remainder best-fit."""
+    """Reduce by dominance until no length has a dominating set, then pack the remainder best-fit."""
     plan = Plan(counts, capacity)
-    while plan.left and (fixed := plan.dominating()):
-        plan.fix(fixed)
+    plan.reduce()
     plan.best_fit()
     return plan
 
