@@ -115,6 +115,51 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def words_of(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths of the longest runs of bytes that ``inside`` (one flag per byte value) marks, and the offsets of
+    the texts in them; a word never crosses texts."""
+    n = len(data)
+    flag = np.zeros(n + 2, bool)
+    flag[1:-1] = inside[data]
+    fence = np.zeros(n + 1, bool)
+    fence[offsets] = True
+    start = np.flatnonzero(flag[1:-1] & (~flag[:-2] | fence[:-1]))
+    end = np.flatnonzero(flag[1:-1] & (~flag[2:] | fence[1:])) + 1
+    return start, end - start, np.searchsorted(start, offsets)
+
+
+def joined_words(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words one behind the other, each with a space behind it, and their offsets."""
+    at = np.concatenate(([0], np.cumsum(length + 1)))
+    out = np.full(int(at[-1]), 0x20, np.uint8)
+    out[expand(at[:-1], length)] = data[expand(start, length)]
+    return out, at
+
+
+def binaries(data: np.ndarray, at: np.ndarray) -> pa.LargeBinaryArray:
+    """The ranges between neighbouring offsets as Arrow values, without copies."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """The rows of a small-column table numbered 1, 2, 3... in an order, without a window over all rows.
+
+    Rows are dealt by ranges of the order and sorted within; their place is written with them, and the counts of the
+    ranges (one number each) give every range its first number. Rows that are equal in the order must not be many.
+    """
+    spark = df.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = stored(df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()), name)
+    counts = {r["part"]: r["count"] for r in placed.groupBy(F.shiftright(name, 33).alias("part")).count().collect()}  # one row a range
+    first, rows = 1, []
+    for part in sorted(counts):
+        rows.append((part, first))
+        first += counts[part]
+    ahead = spark.createDataFrame(rows, "part long, first long")
+    placed = placed.withColumn("part", F.shiftright(name, 33)).join(F.broadcast(ahead), "part")
+    return placed.withColumn(name, F.col(name).bitwiseAND(F.lit((1 << 33) - 1)) + F.col("first")).select(*df.columns, name)
+
+
 def crc_fold(id_column: Column) -> Column:
     """Fold of a document: crc32 of its id as text, modulo 5."""
     return F.crc32(id_column.cast("string").cast("binary")) % 5
