@@ -126,6 +126,118 @@ def test_quality_of_odd_rows(spark):
     assert none.constant == 1.0
 
 
+def plain_regression(x, y, regularisation=1e-4):
+    """Newton's method on the mean log loss with the penalty on standardised weights; constant columns have weight 0."""
+    spread = x.std(0, ddof=1)
+    used = np.flatnonzero(spread > 0)
+    z = np.column_stack([x[:, used], np.ones(len(x))])
+    penalty = np.diag(np.append(regularisation * spread[used] ** 2, 0))
+    w = np.zeros(z.shape[1])
+
+    def loss(w):
+        return np.logaddexp(0, np.where(y > 0, -1, 1) * (z @ w)).mean() + w @ penalty @ w / 2
+
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-z @ w))
+        curve = z.T @ (z * (p * (1 - p))[:, None]) / len(z) + penalty
+        step = np.linalg.lstsq(curve, z.T @ (p - y) / len(z) + penalty @ w, rcond=1e-14)[0]
+        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-10:
+            step /= 2
+        w -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    out = np.zeros(x.shape[1] + 1)
+    out[used], out[-1] = w[:-1], w[-1]
+    return out
+
+
+def plain_cotraining(views, label, held, rounds):
+    """The rounds as a loop over arrays: (weights, scale, pseudo-labels by round and judging view)."""
+    known, seeds = ~np.isnan(label), ~np.isnan(label) & ~held
+    examples = {v: (views[v][seeds], label[seeds]) for v in views}
+    given, weights, scale, margin = [], {}, {}, {}
+    for step in range(rounds + 1):
+        for v in views:
+            weights[v] = plain_regression(*examples[v])
+            margin[v] = views[v] @ weights[v][:-1] + weights[v][-1]
+            scale[v] = plain_regression(margin[v][known & held][:, None], label[known & held])
+        if step < rounds:
+            for v, judge in (("words", "about"), ("about", "words")):
+                chance = 1 / (1 + np.exp(-(margin[judge] * scale[judge][0] + scale[judge][1])))
+                sure = ~known & ((chance >= cotraining.SURE) | (chance <= 1 - cotraining.SURE))
+                given.append((judge, {int(k): float(chance[k] > 0.5) for k in np.flatnonzero(sure)}, chance))
+                examples[v] = (np.concatenate([views[v][seeds], views[v][sure]]), np.concatenate([label[seeds], (chance[sure] > 0.5).astype(float)]))
+    return weights, scale, given
+
+
+def test_cotraining_follows_the_plain_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    truth = rng.integers(0, 2, 900)
+    rows = []
+    for k, y in enumerate(truth.tolist()):
+        words = prose(k, 30).replace(".", "").split()
+        for at in rng.integers(0, 30, rng.poisson(5 - 4 * y)):
+            words[at] += "!"
+        rows.append((k, " ".join(words), "en", "abcd"[rng.choice(4, p=[0.02, 0.28, 0.3, 0.4] if y else [0.4, 0.3, 0.28, 0.02])], int(rng.lognormal(5 + y, 0.5)), "x", 1))
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(k, int(truth[k]), 0) for k in range(400)], "doc_id long, quality int, toxic int")
+    calls = []
+    real = cotraining.sure_examples
+
+    def noted(others, judge, weights, scale):
+        found = real(others, judge, weights, scale)
+        calls.append((judge, {r["doc_id"]: r["label"] for r in found.collect()}))
+        return found
+
+    monkeypatch.setattr(cotraining, "sure_examples", noted)
+    scorer = cotraining.train(docs, labels, rounds=2)
+    held = {r["doc_id"] for r in labels.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0).collect()}
+    data, offsets = common.text_buffers(pa.array([r[1] for r in rows], pa.large_string()))
+    views = {"words": cotraining.text_view(data, offsets), "about": cotraining.metadata_view([r[3] for r in rows], [r[2] for r in rows], [r[4] for r in rows])}
+    label = np.where(np.arange(900) < 400, truth, np.nan)
+    weights, scale, given = plain_cotraining(views, label, np.isin(np.arange(900), list(held)), 2)
+    assert [judge for judge, _ in calls] == [judge for judge, *_ in given]
+    for (judge, found), (_, expected, chance) in zip(calls, given):
+        clear = {k for k in range(400, 900) if min(abs(chance[k] - cotraining.SURE), abs(1 - chance[k] - cotraining.SURE)) > 0.002}
+        assert {k: v for k, v in found.items() if k in clear} == {k: v for k, v in expected.items() if k in clear}
+        assert len(found) > 20  # both views are sure of some
+    calibrated = np.column_stack([(views[v] @ weights[v][:-1] + weights[v][-1]) * scale[v][0] + scale[v][1] for v in ("words", "about")])
+    known = np.isin(np.arange(900), list(held))
+    both = plain_regression(calibrated[known], truth[known])
+    wanted = 1 / (1 + np.exp(-(calibrated @ both[:-1] + both[-1])))
+    assert np.abs(scorer.score(views["words"], views["about"]) - wanted).max() < 0.03
+
+
+def test_exchanged_labels_teach_the_other_view(spark):
+    """Labels only know sources s0 and s1 and exclamation marks. Sources s2 and s3 are learned from texts, sevens and
+    semicolons in place of the marks from sources; documents that show nothing but these are right after the exchange only."""
+    def text(k, mark):
+        return " ".join(w + mark * (n % 4 == 0) for n, w in enumerate(prose(k, 24).replace(".", "").split()))
+
+    rows, truth = [], {}
+
+    def add(count, sources, marks):
+        for k in range(count):
+            good = k % 2
+            truth[len(rows)] = good
+            rows.append((len(rows), text(k, marks[good]), "en", sources[good], 100, "x", 1))
+
+    add(200, ("s1", "s0"), ("!", ""))
+    add(300, ("s3", "s2"), ("!", ""))
+    add(300, ("s1", "s0"), ("7", ";"))
+    by_source, by_text = range(800, 900), range(900, 1000)
+    add(100, ("s3", "s2"), ("=", "="))
+    add(100, ("s9", "s9"), ("7", ";"))
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(k, truth[k], 0) for k in range(200)], "doc_id long, quality int, toxic int")
+    right = {}
+    for rounds in (0, 2):
+        found = {r["doc_id"]: r["accepted"] for r in cotraining.score_documents(docs, cotraining.train(docs, labels, rounds=rounds)).collect()}
+        right[rounds] = [np.mean([found[k] == bool(truth[k]) for k in part]) for part in (range(200), by_source, by_text)]
+    assert right[0][0] == right[2][0] == 1.0
+    assert max(right[0][1:]) < 0.8 and min(right[2][1:]) > 0.95
+
+
 def plain_features(raw):
     """Features of one text by the definition, window by window."""
     if len(raw) < rarity.WINDOW:
@@ -149,12 +261,37 @@ def test_features_by_definition(monkeypatch):
     whole = rarity.features(data, offsets)
     for text, found in zip(texts, whole):
         raw = text.encode()
-        chosen = plain_features(raw)
-        assert len(found) == max(len({raw[k:k + rarity.WINDOW] for k in chosen}), 1)
+        windows = {raw[k:k + rarity.WINDOW] for k in plain_features(raw)}
+        if len(raw) < rarity.SHORT:
+            windows |= {raw[k:k + rarity.SMALL] for k in range(len(raw) - rarity.SMALL + 1)}
+        assert len(found) == max(len(windows), 1)
     monkeypatch.setattr(rarity, "SEGMENT", 150)  # long texts in segments have the same features
     assert all((a == b).all() for a, b in zip(whole, rarity.features(data, offsets)))
 
 
+def test_short_texts_are_compared_by_small_windows():
+    one = "A short line about a brown fox that jumps over a lazy dog."
+    texts = [one, one.replace("brown", "brawn"), "Nothing of that kind is said in this other line of words.", one[:29] + "quite another second half of it", "tiny", "tiny", "tine"]
+    chain = rarity.chains(texts)
+    assert rarity.likeness(chain[0], chain[1]) > 0.5 > 0.05 > rarity.likeness(chain[0], chain[2])
+    assert rarity.likeness(chain[0], chain[3]) > 0.3
+    assert rarity.likeness(chain[4], chain[5]) == 1.0 and rarity.likeness(chain[4], chain[6]) < 0.5
+    for size in (100, 150, 190):  # an edited text has its first half
+        whole = prose(3, 60)[:size]
+        first, second = rarity.chains([whole, whole[:size // 2 + size % 2] + prose(11, 60)[:size // 2]])
+        assert rarity.likeness(first, second) > 0.3
+
+
+@pytest.mark.parametrize("ids", [[*range(2000), 10 ** 12], [None] * 700 + [*range(1301)], [5] * 1000 + [k * 10 ** 9 for k in range(1000)], [-(1 << 63), (1 << 63) - 1, *range(-1000, 1000)]])
+def test_buckets_of_ids_are_even(spark, ids):
+    docs = spark.createDataFrame([(i, f"text {k} of the table") for k, i in enumerate(ids)], "doc_id long, text string")
+    rows = rarity._with_next(docs, "doc_id", "text").filter("extra = 0").groupBy("bucket").count().collect()
+    assert sum(r["count"] for r in rows) == len(ids)
+    assert max(r["count"] for r in rows) < 4 * len(ids) / 32 and len(rows) > 24
+    order = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in rarity._with_next(docs, "doc_id", "text").filter("extra = 0").orderBy("bucket", F.asc_nulls_first("doc_id")).collect()]
+    assert order == sorted(order)
+
+
 def test_likeness():
     a, b, c = rarity.chains([prose(1, 900), prose(1, 800) + prose(2, 100), "".join(f"{k * 7919 % 10007:x} " for k in range(900))])
     assert rarity.likeness(a, a) == 1 and rarity.likeness(a, b) == rarity.likeness(b, a) > 0.6 > 0.4 > rarity.likeness(a, c) >= 0
@@ -257,6 +394,30 @@ def test_bound_between_sizes_holds_for_every_size(spark):
     assert rows.filter(bound > groups._wanted(F.col("x"), F.col("y"))).isEmpty()
 
 
+def test_near_copies_that_do_not_link_form_few_pairs(spark):
+    """Copies of one text of 60 words, two words changed in each: most do not link, and all hold the same passages. The
+    passages' places let none of them in; what meets are the few copies whose changes touch hardly a shingle."""
+    counts = []
+    for copies in (300, 1200):
+        rng = np.random.default_rng(copies)
+        texts = []
+        for k in range(copies):
+            words = [f"w{n}" for n in range(60)]
+            for at in rng.choice(60, 2, replace=False):
+                words[at] = f"own{k}x{at}"
+            texts.append((k, " ".join(words)))
+        docs = spark.createDataFrame(texts, "doc_id long, text string")
+        levels = groups.commonness(groups.sketch(docs, "doc_id", "text"))
+        lead = groups.leading_tokens(docs, levels, "text").withColumn("group", F.col("node"))
+        cells = common.stored(groups.matrix_cells(lead), "cells")
+        few = sum(len({k for k, w in enumerate(t.split()) if w.startswith("own")} & set(range(4, 56))) == 0
+                  or len({max(0, min(55, k - d)) for k, w in enumerate(t.split()) if w.startswith("own") for d in range(5)}) <= 7 for _, t in texts)
+        counts.append((cells.select("node").distinct().count(), groups.open_groups(cells).count()))
+        assert counts[-1][0] <= 2 * few + 10
+    assert counts[1][1] < 12_000  # 69,486 when places did not count
+    assert {r["component_id"] for r in groups.link_documents(docs).collect()} == set(brute_components(texts)[1].values())
+
+
 def test_jaccard_join_without_first_groups(spark, monkeypatch):
     """The matrix alone finds every link, also when no min-hash has joined anything before."""
     monkeypatch.setattr(groups, "verify", lambda pairs, *rest, real=groups.verify, calls=[]: real(pairs.limit(0) if not calls and not calls.append(1) else pairs, *rest))
@@ -320,3 +481,24 @@ def test_pipeline_stages_bear_odd_rows(spark, tmp_path):
             if name == "quality":
                 assert docs.count() == len(rows)
         assert docs.filter(F.col("length").isNull()).isEmpty()
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    names = ["score", "accepted", "lang_pred", "shares", "languages", "quality_score", "stays", "an id", "text key", "row", "further 7"]
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = documents(spark)
+    for name in names:
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    held = docs
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        held = common.stored(stage(spark, held, str(tmp_path)), name)
+        assert held.columns == docs.columns
+    assert held.count() > 3
+    for row in held.filter("doc_id is not null").collect():
+        assert all(row[name] == f"{name}{row['doc_id']}" for name in names)
+    with pytest.raises(ValueError, match="score"):
+        language.identify(docs, language.Model([], np.zeros((1, 0)), np.zeros((1, 0))), keep=("score",))
+    with pytest.raises(ValueError, match="accepted"):
+        cotraining.score_documents(docs, cotraining.Scorer(constant=1.0), keep=("accepted",))

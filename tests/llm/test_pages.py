@@ -50,6 +50,16 @@ def test_rules_and_model_by_brute_force(spark):
     assert urls.judge_urls(pages.limit(0)).collect() == []
 
 
+def test_very_long_urls_take_linear_time(spark):
+    import time
+
+    rows = [(1, "https://example.com/" + "a1-é😀" * 200_000), (2, "https://" + "h.x" * 300_000 + "/p")]
+    start = time.monotonic()
+    found = {r["page_id"]: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert len(found[1]["path"]) == 1_000_001 and len(found[2]["host"]) == 900_000
+    assert time.monotonic() - start < 90
+
+
 def test_model_separates_its_examples(spark):
     pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(urls.LABELLED)], "page_id long, url string")
     rows = {r["page_id"]: r["verdict"] for r in urls.judge_urls(pages, rules=()).collect()}
@@ -137,14 +147,34 @@ def test_pages_with_odd_rows(spark):
     assert density.extract_pages(pages.limit(0)).collect() == []
 
 
-def test_all_pages_give_their_article(spark, sf_dir):
+def test_a_long_paragraph_with_markup_is_no_better_than_what_holds_it():
+    long = "<p>" + " ".join(f"word{k}" + "<b>x</b>" * (k % 60 == 0) for k in range(280)) + "</p>"
+    for tag in ("div", "article", "section"):
+        found = density.main_text(f"<{tag}><h1>A heading</h1>{long}<p>A short closing paragraph.</p><p>One more here.</p></{tag}>").split("\n")
+        assert len(found) == 4 and found[0] == "A heading" and found[2:] == ["A short closing paragraph.", "One more here."]
+
+
+@pytest.mark.parametrize("tag", ["div", "article", "section"])
+def test_parts_of_a_text_stay_together(tag):
+    parts = "".join(f"<section><h2>Part {k}</h2>{BODY}</section>" for k in range(3))
+    text = [line for k in range(3) for line in (f"Part {k}", *LINES)]
+    links = "<div>" + "".join(f'<p><a href="/{k}">Another page {k}</a></p>' for k in range(9)) + "</div>"
+    assert density.main_text(f"<body>{MENU}<{tag}><h1>Head</h1>{parts}</{tag}>{links}</body>") == "\n".join(["Head", *text])
+    assert density.main_text(f"<body>{MENU}<div><{tag}><h1>Head</h1><div>{BODY}</div></{tag}>{links}</div></body>") == "\n".join(["Head", *LINES])
+
+
+@pytest.mark.parametrize("tag", ["article", "div", "section"])
+def test_all_pages_give_their_article(spark, sf_dir, tag):
+    """By the density: the same with another tag in the article's place."""
     import html
     import re
 
-    from tidepanel.llm.queries import QUERIES
+    from pyspark.sql import functions as F
 
-    source = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
-    for row in QUERIES["op6_main_text"](spark, sf_dir).collect():
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    source = {r["page_id"]: r["html"] for r in pages.collect()}
+    renamed = pages.withColumn("html", F.regexp_replace("html", "(</?)article>", f"$1{tag}>"))
+    for row in density.extract_pages(renamed).collect():
         article = re.search(r"<article>(.*?)(</article>|$)", source[row["page_id"]], re.S)[1]
         blocks = re.split(r"</?(?:p|h1)>", article.replace("<b>", "").replace("</b>", "").replace("<br>", " "))
         assert row["text"] == "\n".join(filter(None, (" ".join(html.unescape(b).split()) for b in blocks)))

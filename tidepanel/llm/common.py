@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -74,6 +74,12 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(application)
 
 
+def refuse_clash(keep: Iterable[str], *outputs: str) -> None:
+    """Kept columns with the name of an output would be two columns of one name."""
+    if clash := {c.lower() for c in keep} & set(outputs):
+        raise ValueError(f"kept columns have the names of outputs: {sorted(clash)}")
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows, without copies; nulls count as empty."""
     column = column.cast(pa.large_string())

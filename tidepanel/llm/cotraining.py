@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm import bpe
-from tidepanel.llm.common import chunks, map_arrow, stored, sums, text_buffers
+from tidepanel.llm.common import chunks, map_arrow, refuse_clash, stored, sums, text_buffers
 from tidepanel.llm.groups import word_hashes
 
 #: About so many labelled documents are used, chosen by a hash of the id; a fifth of them only calibrates.
@@ -108,6 +108,13 @@ def _margin_column(features: str, weights: np.ndarray) -> F.Column:
     return F.aggregate(F.zip_with(features, table, lambda x, w: x * w), F.lit(float(weights[-1])), lambda acc, x: acc + x)
 
 
+def sure_examples(others: DataFrame, judge: str, weights: np.ndarray, scale: np.ndarray) -> DataFrame:
+    """The documents without a label that the view ``judge`` is sure of, by its calibrated probability, with that label."""
+    chance = 1 / (1 + F.exp(-(_margin_column(judge, weights) * float(scale[0]) + float(scale[1]))))
+    sure = others.withColumn("chance", chance).filter((F.col("chance") >= SURE) | (F.col("chance") <= 1 - SURE))
+    return sure.withColumn("label", (F.col("chance") > 0.5).cast("double"))
+
+
 COLUMNS = ("text", "source", "lang", "n_chars")
 
 
@@ -157,9 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED_DOCUMENTS, ro
             scale[view] = _fit(held.select(F.array(_margin_column(view, weights[view])).alias("margin"), "label"), "margin")
         if step < rounds:
             for view, other in (("words", "about"), ("about", "words")):
-                chance = 1 / (1 + F.exp(-(_margin_column(other, weights[other]) * float(scale[other][0]) + float(scale[other][1]))))
-                sure = others.withColumn("chance", chance).filter((F.col("chance") >= SURE) | (F.col("chance") <= 1 - SURE))
-                examples[view] = seeds.select(view, "label").union(sure.select(view, (F.col("chance") > 0.5).cast("double").alias("label")))
+                sure = sure_examples(others, other, weights[other], scale[other])
+                examples[view] = seeds.select(view, "label").union(sure.select(view, "label"))
     calibrated = [_margin_column(v, weights[v]) * float(scale[v][0]) + float(scale[v][1]) for v in ("words", "about")]
     both = _fit(held.select(F.array(*calibrated).alias("margins"), "label"), "margins")
     text, metadata = scale["words"], scale["about"]
@@ -170,8 +176,10 @@ def score_documents(docs: DataFrame, scorer: Scorer, keep: tuple[str, ...] = ("d
     """Kept columns, ``quality_score`` (0 to 1) and ``accepted`` (score of a half at least) of every document.
 
     Null and empty texts are scored like any other, as texts without words; nulls of the metadata are values. Each row is
-    scored by itself, so repeated rows and null ids stay. No rows give no rows.
+    scored by itself, so repeated rows and null ids stay. No rows give no rows. Kept columns must not have an output's name
+    (ValueError).
     """
+    refuse_clash(keep, "quality_score", "accepted")
     shipped = docs.sparkSession.sparkContext.broadcast(scorer)  # some hundred numbers
     columns = list(dict.fromkeys([*keep, *COLUMNS]))
 

@@ -4,7 +4,8 @@ Every page is parsed into a tree that forgives unclosed and crossed tags. Subtre
 or role (menus, footers, adverts, forms, reader comments ...) are left out, unless they stand around the page's article or
 most of its text. Every remaining block node gets its
 link-adjusted number of characters per tag; the path from the body to the densest node gives the threshold, and among
-the nodes that reach it the one with the largest sum over its children holds the text.
+the nodes that reach it the one with the largest sum over its children holds the text. What stands in a block beside its
+inner blocks counts as one more child, by the same measure. No tag decides which node that is.
 """
 
 from __future__ import annotations
@@ -248,13 +249,19 @@ def main_text(page: str | None) -> str:
         home[n] = n if block[n] else home[tree.parent[n]]
         link[n] = tree.tag[n] == "a" or link[tree.parent[n]]
     chars, tags, link_chars, link_tags = [0] * count, [0] * count, [0] * count, [0] * count
-    own = [0] * count
+    # what a block holds outside its inner blocks counts like one more block: text, inline tags and links alike
+    own, own_tags, own_link_chars, own_link_tags = [0] * count, [0] * count, [0] * count, [0] * count
     for n, piece in tree.text:
         if piece and not skip[n]:
             size = sum(map(len, piece.split()))
             chars[n] += size
             link_chars[n] += size * link[n]
             own[home[n]] += size
+            own_link_chars[home[n]] += size * link[n]
+    for n in range(1, count):
+        if not block[n] and not skip[n]:
+            own_tags[home[n]] += 1
+            own_link_tags[home[n]] += tree.tag[n] == "a"
     for n in range(count - 1, 0, -1):
         above = tree.parent[n]
         if not skip[n]:
@@ -277,7 +284,7 @@ def main_text(page: str | None) -> str:
         return c / max(t, 1) * max(0.0, math.log(max(c, 1) / max(lc, 1) * max(t, 1) / max(lt, 1) + 1)) / max(1.0, math.log(base))
 
     dense = [density(chars[n], tags[n], link_chars[n], link_tags[n]) if block[n] else 0.0 for n in range(count)]
-    total = [density(own[n], 1, 0, 0) if own[n] else 0.0 for n in range(count)]
+    total = [density(own[n], own_tags[n], own_link_chars[n], own_link_tags[n]) for n in range(count)]
     for n in range(count - 1, 0, -1):
         if block[n]:
             total[home[tree.parent[n]]] += dense[n]
@@ -295,12 +302,16 @@ def main_text(page: str | None) -> str:
         n = tree.parent[n]
     threshold = min(dense[n] for n in path)
     best = max((n for n in nodes if dense[n] >= threshold), key=lambda n: (total[n], -n))
-    # a heading may stand outside the densest part; the article around it is the text
-    n = best
-    while n >= 0:
-        if tree.tag[n] == "article":
-            best = n
-        n = tree.parent[n]
+    # an inner part of the text may be the densest: the block around it is taken as long as nothing beside the part is
+    # made of links, below the body
+    beside: dict[int, list[int]] = {}
+    for n in nodes:
+        if n != root and chars[n]:
+            beside.setdefault(home[tree.parent[n]], []).append(n)
+    while best != root and (around := home[tree.parent[best]]) != root:
+        if any(n != best and link_chars[n] and dense[n] < threshold for n in beside[around]):
+            break
+        best = around
     chosen = [False] * count
     chosen[best] = True
     for n in range(best + 1, count):

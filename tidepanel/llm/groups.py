@@ -5,8 +5,10 @@
    copies is the text closest to the original; verified links join nodes to groups, so a large group of near copies is one
    group and costs a few comparisons a node, not all pairs.
 3. The matrix holds, for each group, the union of its members' leading tokens: of a set's tokens, rare ones first, the
-   fifth and a few that two sets cannot miss each other in. How common a token is comes from counts over all texts; any
-   order that all sets share keeps the join exact.
+   fifth that two sets cannot miss each other in. How common a token is comes from counts over all texts; any
+   order that all sets share keeps the join exact. A token's place in that order tells how much a set can still share
+   behind it, and so how large a partner may be; it is entered for the bands of sizes that its place allows only. Passages
+   that many otherwise different texts hold come behind their own tokens and are entered for no band at all.
 4. A node's tokens that occur in other groups are counted per group; groups below the count that a link needs stay
    closed. Members of the others that share enough tokens are verified on the whole texts.
 
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.common import chunks, components, expand, map_arrow, stored, text_buffers
@@ -29,14 +31,16 @@ WORDS = 5
 #: Similarity of a link, in fifths: 4 / 5.
 FIFTHS = 4
 MARKS = 6
-#: Tokens that a pair must share beyond the first one in the leading tokens.
-DEPTH = 4
+#: Tokens that a pair must share among the leading ones. More would need longer lists, in which more sets meet.
+DEPTH = 1
+#: Sizes up to this are bands of their own, above it a band is so many per cent wide.
+EXACT_SIZES, BAND_WIDTH = 50, 1.02
 SLOT_BITS = 22
 LOCAL_TOKENS = 4_000_000
 #: Times that nodes are compared with a head of their min-hash before the matrix.
 HEADS = 1
 #: A table of ids up to this size is sent to all executors, a larger one is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 _FACTOR, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -148,13 +152,16 @@ def sketch(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def commonness(rows: DataFrame) -> np.ndarray:
-    """Level of every hash slot: the binary logarithm of the count of its most common token. At most 2 ** SLOT_BITS small
-    rows come to the driver, whatever the corpus."""
+    """Level of every hash slot: the binary logarithm of the count of its most common token. The table is put together by
+    ranges of slots on the executors; 256 lists of one number a filled slot, 2 ** SLOT_BITS at most, come to the driver."""
     counted = rows.filter("times is not null").groupBy("token").agg(F.sum("times").alias("times")).filter("times >= 4")
     slot = F.shiftrightunsigned("token", 64 - SLOT_BITS).cast("int")
-    found = counted.groupBy(slot.alias("slot")).agg(F.max(F.floor(F.log2("times"))).cast("int").alias("level")).toPandas()
+    found = counted.groupBy(slot.alias("slot")).agg(F.max(F.floor(F.log2("times"))).cast("int").alias("level"))
+    packed = found.groupBy(F.shiftright("slot", SLOT_BITS - 8).alias("range")).agg(F.collect_list(F.col("slot") * 64 + F.col("level")).alias("filled"))
     levels = np.zeros(1 << SLOT_BITS, np.uint8)
-    levels[found["slot"]] = found["level"]
+    for chunk in packed.select("filled").toArrow()["filled"].chunks:
+        filled = chunk.flatten().to_numpy()
+        levels[filled // 64] = filled % 64
     return levels
 
 
@@ -195,8 +202,8 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text: str) -> Da
 
 
 def leading_tokens(docs: DataFrame, levels: np.ndarray, text: str) -> DataFrame:
-    """Rows (node, need, size, rare, tokens): the leading tokens of every non-empty text, how many of them a linked set
-    shares, and the share of rare ones among all its tokens, per mille."""
+    """Rows (node, size, rare, tokens): the leading tokens of every non-empty text in the common order, and the share of rare
+    ones among all its tokens, per mille."""
     shipped = docs.sparkSession.sparkContext.broadcast(levels)  # 2 ** SLOT_BITS bytes
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +216,7 @@ def leading_tokens(docs: DataFrame, levels: np.ndarray, text: str) -> DataFrame:
                 filled = np.flatnonzero(np.diff(at))
                 size = np.diff(at)[filled]
                 least = -(-size * FIFTHS // 5)
-                need = np.minimum(least, DEPTH)
-                kept = size - least + need
+                kept = size - least + np.minimum(least, DEPTH)
                 # stable by level within a text: tokens are ascending already
                 owner = np.repeat(np.arange(len(filled)), size)
                 order = np.argsort(owner * 256 + level, kind="stable")
@@ -218,36 +224,31 @@ def leading_tokens(docs: DataFrame, levels: np.ndarray, text: str) -> DataFrame:
                 node = [_node(tokens[a:b]) for a, b in zip(at[filled].tolist(), at[filled + 1].tolist())]
                 rare = np.bincount(owner, weights=level == 0, minlength=len(filled)) * 1000 // size
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(kept))).astype(np.int32)), pa.array(chosen))
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(need.astype(np.int32)), pa.array(size), pa.array(rare.astype(np.int32)), lists], names=["node", "need", "size", "rare", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(size), pa.array(rare.astype(np.int32)), lists], names=["node", "size", "rare", "tokens"])
 
-    return map_arrow(docs.select(text), work, "node long, need int, size long, rare int, tokens array<long>")
+    return map_arrow(docs.select(text), work, "node long, size long, rare int, tokens array<long>")
 
 
 def _sizes_fit(a: str, b: str) -> F.Column:
     return (F.col(a) * 5 >= F.col(b) * FIFTHS) & (F.col(b) * 5 >= F.col(a) * FIFTHS)
 
 
-def _rest(size: F.Column) -> F.Column:
-    """Tokens of a set that are not among its leading ones."""
-    least = F.ceil(size * FIFTHS / 5)
-    return least - F.least(least, F.lit(DEPTH))
+def _common(size: F.Column, other: F.Column) -> F.Column:
+    """Tokens that linked sets of these sizes share at least."""
+    return F.ceil((size + other) * FIFTHS / (FIFTHS + 5))
 
 
-def _wanted(size: F.Column, other: F.Column) -> F.Column:
-    """Leading tokens that linked sets of these sizes share at least.
-
-    A link needs 4 / 9 of both sizes in common. Of the set whose leading tokens end first in the common order, only the
-    rest can add to what the leading tokens share.
-    """
-    common = F.ceil((size + other) * FIFTHS / (FIFTHS + 5))
-    both = F.least(F.ceil(size * FIFTHS / 5), F.ceil(other * FIFTHS / 5), F.lit(DEPTH))
-    return F.greatest(common - F.greatest(_rest(size), _rest(other)), both)
+def _largest(size: F.Column, place: F.Column) -> F.Column:
+    """Size of the largest partner of which the token at this place (from 0) can still be the ``DEPTH``-th shared one: not
+    more than the tokens behind it can follow."""
+    most = size - place - 1 + DEPTH
+    return F.least(F.floor(size * 5 / FIFTHS), F.floor(most * (FIFTHS + 5) / FIFTHS) - size)
 
 
-def _wanted_between(size: F.Column, low: F.Column, high: F.Column) -> F.Column:
-    """A bound of the same for any size between two: it rises up to equal sizes and falls behind them, and rounding moves
-    each of both values by less than one."""
-    return F.least(_wanted(size, low), _wanted(size, high)) - 2
+def _band(size: F.Column) -> F.Column:
+    """Number of the band of sizes."""
+    wide = F.floor(F.log(size / EXACT_SIZES) / F.log(F.lit(BAND_WIDTH))) + EXACT_SIZES
+    return F.when(size <= EXACT_SIZES, size).otherwise(wide).cast("int")
 
 
 def star_links(ranked: DataFrame, source: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -279,6 +280,40 @@ def star_links(ranked: DataFrame, source: DataFrame, nodes: DataFrame) -> tuple[
     return links, groups
 
 
+def matrix_cells(lead: DataFrame) -> DataFrame:
+    """Rows (token, node, group, size, largest, band, facing): the leading tokens of nodes (node, group, size, tokens) that
+    several groups hold, for each band of sizes that a partner can have by the token's place and by the sets that hold it."""
+    cells = lead.select("node", "group", "size", F.posexplode("tokens").alias("place", "token")).distinct()
+    cells = cells.withColumn("smallest", F.ceil(F.col("size") * FIFTHS / 5)).withColumn("largest", _largest(F.col("size"), F.col("place")))
+    held = (cells.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.min("size").alias("least"), F.max("size").alias("most"))
+            .filter("low <> high").select("token", "least", "most"))
+    cells = (cells.join(_small(stored(held, "tokens")), "token")
+             .withColumn("smallest", F.greatest("smallest", "least")).withColumn("largest", F.least("largest", "most")).filter("smallest <= largest"))
+    return cells.select("token", "node", "group", "size", "largest", _band(F.col("size")).alias("band"),
+                        F.explode(F.sequence(_band(F.col("smallest")), _band(F.col("largest")))).alias("facing"))
+
+
+def open_groups(cells: DataFrame) -> DataFrame:
+    """Pairs (node, other): groups with members of one band of sizes that share as many leading tokens with the node as a
+    link needs."""
+    matrix = cells.groupBy("token", "group", "band", "facing").agg(F.min("size").alias("least"))
+    matrix = matrix.select("token", F.col("group").alias("other"), F.col("facing").alias("band"), F.col("band").alias("facing"), "least")
+    seen = cells.join(matrix, ["token", "band", "facing"]).filter("group <> other")
+    return (seen.groupBy("node", "other", "size", "facing").agg(F.count("*").alias("shared"), F.min("least").alias("least"))
+            .filter(F.col("shared") >= F.least(F.lit(DEPTH), _common(F.col("size"), F.col("least")))).select("node", "other").distinct())
+
+
+def facing_pairs(cells: DataFrame, opened: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose groups have opened each other and which share enough leading tokens for their sizes."""
+    sides = cells.join(opened, "node")
+    first = sides.select("token", "band", "facing", F.col("node").alias("a"), "size", "largest", F.col("group").alias("of_a"), F.col("other").alias("of_b"))
+    last = sides.select("token", F.col("facing").alias("band"), F.col("band").alias("facing"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("largest").alias("largest_b"),
+                        F.col("group").alias("of_b"), F.col("other").alias("of_a"))
+    pairs = first.join(last, ["token", "band", "facing", "of_a", "of_b"]).filter("a < b and size_b <= largest and size <= largest_b").filter(_sizes_fit("size", "size_b"))
+    return (pairs.groupBy("a", "b", "size", "size_b").agg(F.count("*").alias("shared"))
+            .filter(F.col("shared") >= F.least(F.lit(DEPTH), _common(F.col("size"), F.col("size_b")))).select("a", "b"))
+
+
 def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Shingle counts and components of all documents: (doc_id, n_shingles, component_id).
 
@@ -307,39 +342,9 @@ def link_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
     # the matrix: leading tokens by group, of tokens that two groups hold
     lead = lead.join(_small(groups), "node", "left").withColumn("group", F.coalesce("component", "node"))
-    cells = lead.select("node", "group", "size", F.explode("tokens").alias("token"))
-    several = cells.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("token")
-    queries = cells.join(_small(stored(several, "tokens")), "token", "left_semi").distinct()
-    queries = stored(queries, "cells")
-    sizes = queries.groupBy("token").agg(F.min("size").alias("smallest"), F.max("size").alias("largest"))
-    queries = queries.join(_small(stored(sizes, "sizes")), "token")
-    # sizes that a partner can have, by the node's own size and by the sets that hold its tokens
-    queries = (queries.withColumn("smallest", F.greatest("smallest", F.ceil(F.col("size") * FIFTHS / 5)))
-               .withColumn("largest", F.least("largest", F.floor(F.col("size") * 5 / FIFTHS))).filter("smallest <= largest"))
-    own = Window.partitionBy("node")
-    queries = (queries.withColumn("held", F.count("*").over(own))
-               .withColumn("wanted", _wanted_between(F.col("size"), F.min("smallest").over(own), F.max("largest").over(own)))
-               .filter("held >= wanted").select("node", "group", "size", "token", "wanted"))
-    queries = stored(queries, "cells")
-    matrix = queries.groupBy("token", "group").agg(F.min("size").alias("smallest"), F.max("size").alias("largest"))
-    # bound of the overlap of a node and a group; a group without a member of a fitting size stays closed too
-    seen = (queries.join(matrix.withColumnRenamed("group", "other"), "token").filter("group <> other")
-            .groupBy("node", "other", "size").agg(F.count("*").alias("shared"), F.min("smallest").alias("smallest"), F.max("largest").alias("largest"))
-            .withColumn("smallest", F.greatest("smallest", F.ceil(F.col("size") * FIFTHS / 5)))
-            .withColumn("largest", F.least("largest", F.floor(F.col("size") * 5 / FIFTHS))).filter("smallest <= largest"))
-    opened = seen.filter(F.col("shared") >= _wanted_between(F.col("size"), F.col("smallest"), F.col("largest")))
-    opened = stored(opened.select("node", "other"), "opened")
-    # both ends have to open each other's group; sets that share that many tokens also share one of the first few
-    lists = stored(queries.groupBy("node", "group", "size", "wanted").agg(F.sort_array(F.collect_list("token")).alias("tokens")), "lists")
-    few = F.slice("tokens", F.lit(1), F.size("tokens") - F.greatest("wanted", F.lit(1)).cast("int") + 1)
-    sides = lists.select("node", "group", "size", F.explode(few).alias("token")).join(opened, "node")
-    first = sides.select("token", F.col("node").alias("a"), "size", F.col("group").alias("of_a"), F.col("other").alias("of_b"))
-    last = sides.select("token", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("group").alias("of_b"), F.col("other").alias("of_a"))
-    second = first.join(last, ["token", "of_a", "of_b"]).filter("a < b").filter(_sizes_fit("size", "size_b")).select("a", "b").distinct()
-    own, partner = lists.select(F.col("node").alias("a"), "size", "tokens"), lists.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("tokens").alias("tokens_b"))
-    second = (second.join(own, "a").join(partner, "b")
-              .filter(F.size(F.array_intersect("tokens", "tokens_b")) >= _wanted(F.col("size"), F.col("size_b"))).select("a", "b"))
-    second = stored(second, "pairs")
+    cells = stored(matrix_cells(lead), "cells")
+    opened = stored(open_groups(cells), "opened")
+    second = stored(facing_pairs(cells, opened), "pairs")
     more = stored(verify(second, source, nodes, "text"), "links")
     if not more.isEmpty():
         groups = components(links.union(more))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm import bpe
-from tidepanel.llm.common import chunks, expand, map_arrow, sums, text_buffers
+from tidepanel.llm.common import chunks, expand, map_arrow, refuse_clash, sums, text_buffers
 
 GRAM_BITS = 16
 #: The model is fitted on about this many labelled documents of each language, chosen by a hash of the id.
@@ -104,9 +104,14 @@ def fit(docs: DataFrame, most: int = TRAINING_DOCUMENTS, doc_id: str = "doc_id",
         k, place = np.nonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(table[k, place])], names=["k", "place", "n"])
 
-    rows = map_arrow(chosen.select(text, lang), count, "k int, place int, n long").groupBy("k", "place").agg(F.sum("n").alias("n")).toPandas()
+    counted = map_arrow(chosen.select(text, lang), count, "k int, place int, n long").groupBy("k", "place").agg(F.sum("n").alias("n"))
+    # put together on the executors: a list of counts for each language and stretch of places
+    lists = counted.groupBy("k", F.shiftright("place", 12)).agg(F.collect_list(F.struct("place", "n")).alias("counts")).select("k", "counts").toArrow()
     table = np.zeros((2 << GRAM_BITS, len(languages)))
-    table[rows["place"], rows["k"]] = rows["n"]
+    for batch in lists.to_batches():
+        counts = batch.column(1).flatten()
+        k = np.repeat(batch.column(0).to_numpy(), np.diff(batch.column(1).offsets.to_numpy()))
+        table[counts.field("place").to_numpy(), k] = counts.field("n").to_numpy()
     return Model(languages, table[:1 << GRAM_BITS], table[1 << GRAM_BITS:])
 
 
@@ -162,8 +167,10 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
     ``lang_pred`` is the language with the largest share (the first by name of equal ones), ``score`` that share.
     Null or empty texts, texts without a letter, and all texts under a model without languages are ``und`` with score 0.
+    Kept columns must not have an output's name (ValueError).
     Each row is judged by its text alone; repeated rows and null ids stay; no rows give no rows.
     """
+    refuse_clash(keep, "lang_pred", "score", "languages", "shares")
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # languages times 2 ** 17 numbers
     columns = [doc_id, *(c for c in keep if c != doc_id)]
     if text not in columns:

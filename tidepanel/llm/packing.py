@@ -180,7 +180,7 @@ def pack_documents(docs: DataFrame, vocab_path: str | None = None, capacity: int
     """
     blocks = max(BLOCKS, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pieces = cut_documents(docs, vocab_path or bpe.default_path(), capacity, doc_id, text)
-    pieces = stored(pieces.withColumn("block", F.pmod(F.xxhash64(doc_id, "piece"), F.lit(blocks)).cast("int")), "pieces")
+    pieces = stored(pieces.withColumn("block", F.pmod(F.xxhash64(doc_id, "piece", "ids_crc32"), F.lit(blocks)).cast("int")), "pieces")
     cells = pieces.groupBy("length", "block").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     cells = stored(cells.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0).cast("long"))), "cells")

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidepanel.llm.common import binaries, chunks, expand, joined_words, map_arrow, text_buffers, words_of
+from tidepanel.llm.common import binaries, chunks, expand, joined_words, map_arrow, refuse_clash, text_buffers, words_of
 
 #: A run has this many words at least, and this many periods.
 MIN_LENGTH, MIN_PERIODS = 6, 4
@@ -168,8 +168,7 @@ def repeat_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
     gives an empty one. A text is worked on whole, in one task, with about 200 bytes for each of its words.
     """
     outputs = ("n_words", "runs", "collapsed")
-    if clash := {doc_id, *outputs} & set(keep):
-        raise ValueError(f"kept columns have the names of outputs: {sorted(clash)}")
+    refuse_clash(keep, doc_id, *outputs)
     if min_periods < 2 or min_length < 2:
         raise ValueError("a run has two periods and two words at least")
     kinds = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])

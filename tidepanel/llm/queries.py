@@ -31,9 +31,9 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every document; learned outside the held-out fold."""
-    docs = _table(spark, sf_dir, "documents").withColumn("held_out", crc_fold(F.col("doc_id")) == 0)
-    model = language.fit(docs.filter(~F.coalesce("held_out", F.lit(True))))
+    """Language of every document; learned outside the held-out fold. Without an id a document is in neither."""
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_fold(F.col("doc_id")) == 0, F.lit(False)))
+    model = language.fit(docs.filter("not held_out and doc_id is not null"))
     return language.identify(docs, model, keep=("held_out",))
 
 

@@ -2,7 +2,8 @@
 
 Every window of 64 bytes gets the entropy of its byte counts; entropies far from those of running text are rare. A window
 is a feature if it is the rarest of enough of the 64-window stretches that it lies in, so features are local and an edit
-changes only those around it. Features set five bits each in a chain of Bloom filters, and two fingerprints are compared
+changes only those around it. Texts below 192 bytes have few such windows or none; their 8-byte windows are features too.
+Features set five bits each in a chain of Bloom filters, and two fingerprints are compared
 by the overlap of their filters' bits beyond chance.
 """
 
@@ -10,17 +11,21 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.common import expand, map_arrow, text_buffers
 
 WINDOW = 64
 POPULARITY = 16
+#: Texts with fewer bytes than ``SHORT`` also have every window of ``SMALL`` bytes as a feature.
+SHORT, SMALL = 192, 8
 FILTER_BITS = 2048
 FILTER_FEATURES = 160
 #: Entropy per mille of its maximum that is most common in running text, and the bounds of what can be a feature.
@@ -86,6 +91,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         first = last
     out = []
     for t, parts in enumerate(found):
+        if SMALL <= sizes[t] < SHORT:
+            small = np.lib.stride_tricks.sliding_window_view(data[offsets[t]:offsets[t + 1]], SMALL)
+            parts = [*parts, _mixed(np.ascontiguousarray(small).view("<u8"))]
         values = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         if not len(values):
             values = np.frombuffer(hashlib.sha256(data[offsets[t]:offsets[t + 1]].tobytes()).digest()[:8], np.uint64)
@@ -94,6 +102,17 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _mixed(words: np.ndarray) -> np.ndarray:
+    """One hash for each row of words."""
+    mixed = np.zeros(len(words), np.uint64)
+    for k in range(words.shape[1]):
+        mixed = (mixed ^ words[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+    return mixed
+
+
 def _collect(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray, found: list[list[np.ndarray]]) -> None:
     size = rows[:, 2] - rows[:, 1]
     place = np.cumsum(size + WINDOW) - size  # every segment stands behind a gap of one window
@@ -120,13 +139,7 @@ def _collect(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray, found: lis
     chosen, row = chosen[kept], row[kept]
     if not len(chosen):
         return
-    words = np.ascontiguousarray(buffer[chosen[:, None] + np.arange(WINDOW)]).view("<u8")
-    mixed = np.zeros(len(chosen), np.uint64)
-    for k in range(words.shape[1]):
-        mixed = (mixed ^ words[:, k]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(32)
+    mixed = _mixed(np.ascontiguousarray(buffer[chosen[:, None] + np.arange(WINDOW)]).view("<u8"))
     edges = np.flatnonzero(np.diff(row)) + 1
     for r, values in zip(row[np.concatenate(([0], edges))].tolist(), np.split(mixed, edges)):
         found[int(rows[r, 0])].append(values)
@@ -167,33 +180,47 @@ def chains(texts: list[str]) -> list[np.ndarray]:
     return [bloom_chain(v) for v in features(data, offsets)]
 
 
+def _key(doc_id: Column, text: Column) -> Column:
+    """Text that sorts like (null first, id, hash of the text): 33 characters."""
+    ordered = lambda c: F.lpad(F.hex(c.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(doc_id.isNotNull().cast("int").cast("string"), ordered(F.coalesce(doc_id, F.lit(0)).cast("long")), ordered(F.xxhash64(text)))
+
+
+def _cuts(docs: DataFrame, doc_id: str, buckets: int) -> list[str]:
+    """Least keys of the buckets behind the first one, ascending. They follow the quantiles of the ids; an id, or the null,
+    that fills several buckets is cut by the hash. Only ids are read and at most ``buckets`` numbers come to the driver."""
+    quantiles = F.percentile_approx(doc_id, [k / buckets for k in range(buckets)], 10_000)
+    found = docs.agg(F.count("*").alias("rows"), F.count(doc_id).alias("named"), quantiles.alias("cuts")).first()
+    without = buckets * (found["rows"] - found["named"]) // max(found["rows"], 1)
+    times = Counter([(0, 0)] * without + [(1, int(v)) for v in found["cuts"] or []])
+    return [f"{named}{value + (1 << 63):016X}{(k << 64) // n:016X}" for (named, value), n in sorted(times.items()) for k in range(n)][1:]
+
+
+def _bucket_of(key: Column, cuts: list[str]) -> Column:
+    """Number of cuts up to a key: first among every so many cuts, then among those of one stretch."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts)) + 1
+    literal = lambda rows: F.split(F.lit(",".join(rows)), ",")  # noqa: E731 - one folded constant
+    stretch = F.size(F.filter(literal(cuts[step - 1::step]), lambda c: c <= key))
+    return stretch * step + F.size(F.filter(F.slice(literal(cuts), stretch * step + 1, step), lambda c: c <= key))
+
+
 def _with_next(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows (bucket, extra, doc_id, text): buckets are ranges of ids, and the first row of the next bucket comes once
-    more as the ``extra`` last row of a bucket (the very first row for the last bucket). Only ids are counted for this."""
-    nb = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    low, high = docs.agg(F.min(doc_id), F.max(doc_id)).first()
-    if low is None:
-        low = high = 0
-    cells = 16 * nb
-    width = (high - low) // cells + 1
-    cell = F.coalesce(((F.col(doc_id) - F.lit(low)) / F.lit(width)).cast("int"), F.lit(0)) if width else F.lit(0)
-    counts = {r["cell"]: r["n"] for r in docs.select(cell.alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}  # cells at most
-    total, seen, bucket_of = sum(counts.values()), 0, []
-    for c in range(cells):
-        bucket_of.append(min(nb - 1, seen * nb // max(total, 1)))
-        seen += counts.get(c, 0)
-    table = F.split(F.lit(",".join(map(str, bucket_of))), ",").cast("array<int>")
-    placed = docs.select(F.get(table, cell).alias("bucket"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    lead = sorted((r["bucket"], r["first"]) for r in placed.groupBy("bucket").agg(F.min(F.coalesce("doc_id", F.lit(low - 1))).alias("first")).collect())
-    if not lead:
-        return placed.select("bucket", F.lit(0).alias("extra"), "doc_id", "text")
-    to = {first: lead[k - 1][0] for k, (_, first) in enumerate(lead)}  # the bucket before, the last one for the first
-    pairs = F.create_map(*(F.lit(x) for pair in to.items() for x in pair))
-    firsts = (placed.withColumn("key", F.coalesce("doc_id", F.lit(low - 1))).filter(F.col("key").isin(list(to)))
-              .groupBy("key").agg(F.min(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text"))).alias("row"))
-              .select(pairs[F.col("key")].alias("bucket"), F.lit(1).alias("extra"), "row.doc_id", "row.text"))
-    return (placed.select("bucket", F.lit(0).alias("extra"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).union(firsts)
-            .repartition("bucket").sortWithinPartitions("bucket", "extra", F.asc_nulls_first("doc_id"), "text"))
+    """Rows (bucket, extra, doc_id, text): buckets are ranges of ids and, within one id, of a hash of the text, and the
+    first row of the next bucket comes once more as the ``extra`` last row of a bucket (the very first row for the last
+    bucket)."""
+    cuts = _cuts(docs, doc_id, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    placed = docs.select(F.col(doc_id).alias("doc_id"), whole.alias("text"), _key(F.col(doc_id), whole).alias("key"))
+    placed = placed.withColumn("bucket", _bucket_of(F.col("key"), cuts))
+    lead = [(r["bucket"], r["first"]) for r in placed.groupBy("bucket").agg(F.min("key").alias("first")).orderBy("bucket").collect()]  # one row a bucket
+    rows = placed.select("bucket", F.lit(0).alias("extra"), "doc_id", "text", "key")
+    if lead:
+        heads = docs.sparkSession.createDataFrame([(lead[k - 1][0], first) for k, (_, first) in enumerate(lead)], "to int, key string")
+        firsts = placed.join(F.broadcast(heads), "key").groupBy("to").agg(F.min(F.struct("doc_id", "text", "key")).alias("row"))
+        rows = rows.union(firsts.select("to", F.lit(1), "row.doc_id", "row.text", "row.key"))
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "extra", "key", "text").select("bucket", "extra", "doc_id", "text")
 
 
 def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -201,8 +228,8 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
     The edited text is the text with its last floor(n / 2) code points replaced by the first as many of the next
     document's, in ascending order of id; the first follows the last. Null texts count as empty, an empty text has a
-    fingerprint too. Rows with equal ids follow each other by text; null ids come first. A single document is its own
-    next. Other columns are not read. An empty table gives an empty one.
+    fingerprint too. Rows with equal ids follow each other by a hash of the text; null ids come first. A single document
+    is its own next. Texts on both sides of ``SHORT`` bytes share the features of long texts only. Other columns are not read. An empty table gives an empty one.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 

@@ -64,18 +64,25 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
     return F.array_max(F.array_compact(F.array(*fits))) if fits else F.lit(None).cast("struct<length:int,rule:string,verdict:string>")
 
 
-def _bucket(name: str, field: Column, n: int):
-    return lambda i: F.pmod(F.xxhash64(F.lit(name), F.substring(field, i, F.lit(n))), F.lit(BUCKETS)).cast("int")
+def _field_buckets(name: str, field: Column) -> Column:
+    """Buckets of one field's n-grams, in time linear in its length: it is cut into code points once, which are bound as an
+    element of an array, and every gram is put together from its places."""
+
+    def slid(chars: Column) -> Column:
+        grams = []
+        for n in GRAMS:
+            at = F.when(F.size(chars) >= n, F.sequence(F.lit(0), F.size(chars) - F.lit(n))).otherwise(F.array().cast("array<int>"))
+            grams.append(F.transform(at, lambda i, n=n: F.pmod(F.xxhash64(F.lit(name), F.concat(*(F.get(chars, i + F.lit(k)) for k in range(n)))), F.lit(BUCKETS)).cast("int")))
+        return F.flatten(F.array(*grams))
+
+    return F.get(F.transform(F.array(F.regexp_extract_all(field, F.lit("(?s)(.)"), F.lit(1))), slid), F.lit(0))
 
 
 def gram_buckets(host: Column, path: Column) -> Column:
     """Bucket of every character n-gram of host and path; the two are hashed apart."""
-    parts = []
-    for name, field in (("h", F.concat(F.lit("^"), host, F.lit("$"))), ("p", F.concat(F.lit("^"), path, F.lit("$")))):
-        for n in GRAMS:
-            at = F.when(F.length(field) >= n, F.sequence(F.lit(1), F.length(field) - F.lit(n - 1))).otherwise(F.array().cast("array<int>"))
-            parts.append(F.transform(at, _bucket(name, field, n)))
-    return F.when(F.length(host) + F.length(path) == 0, F.array().cast("array<int>")).otherwise(F.flatten(F.array(*parts)))
+    fields = (("h", F.concat(F.lit("^"), host, F.lit("$"))), ("p", F.concat(F.lit("^"), path, F.lit("$"))))
+    parts = [_field_buckets(name, field) for name, field in fields]
+    return F.when(F.length(host) + F.length(path) == 0, F.array().cast("array<int>")).otherwise(F.concat(*parts))
 
 
 def labelled_urls(spark: SparkSession, rows=LABELLED) -> DataFrame:
