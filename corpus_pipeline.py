@@ -1,11 +1,15 @@
 """Corpus pipeline: quality, language, near-duplicates, packing.
 
 Every stage takes (spark, docs, sf_dir), works on all that the one before it kept, and is written as Parquet to the shared
-folder before the next one reads it. All but the last return the columns of their input.
+folder before the next one reads it. All but the last return the columns of their input. Further columns of documents go
+along, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +20,31 @@ from tidepanel.llm.common import crc_fold, stored
 LANGUAGE_SHARE = 0.5
 
 
+#: The columns that stages read.
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def keeping_columns(stage: Stage) -> Stage:
+    """The stage with all further columns under names of their own, so that they meet none of its own columns."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        inside = [c if c in DOCUMENT else f"further {k}" for k, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*inside), sf_dir).toDF(*docs.columns)
+
+    return run_stage
+
+
+@keeping_columns
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts."""
     scorer = cotraining.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return cotraining.score_documents(docs, scorer, keep=tuple(docs.columns)).filter("accepted").select(*docs.columns)
 
 
+@keeping_columns
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language that holds at least half of them; without a letter there is none."""
     model = language.fit(docs.filter(crc_fold(F.col("doc_id")) != 0))
@@ -29,6 +52,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LANGUAGE_SHARE)).select(*docs.columns)
 
 
+@keeping_columns
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every group of near-duplicates: the one with the smallest id, a null id being the largest, and of equal
     ids the first by a hash of the text.
