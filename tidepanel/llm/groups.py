@@ -41,6 +41,8 @@ LOCAL_TOKENS = 4_000_000
 HEADS = 1
 #: A table of ids up to this size is sent to all executors, a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: The same for a table of tokens alone, 8 bytes a row.
+BROADCAST_TOKENS = 1_000_000
 
 _FACTOR, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -283,12 +285,14 @@ def star_links(ranked: DataFrame, source: DataFrame, nodes: DataFrame) -> tuple[
 def matrix_cells(lead: DataFrame) -> DataFrame:
     """Rows (token, node, group, size, largest, band, facing): the leading tokens of nodes (node, group, size, tokens) that
     several groups hold, for each band of sizes that a partner can have by the token's place and by the sets that hold it."""
-    cells = lead.select("node", "group", "size", F.posexplode("tokens").alias("place", "token")).distinct()
-    cells = cells.withColumn("smallest", F.ceil(F.col("size") * FIFTHS / 5)).withColumn("largest", _largest(F.col("size"), F.col("place")))
-    held = (cells.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.min("size").alias("least"), F.max("size").alias("most"))
-            .filter("low <> high").select("token", "least", "most"))
-    cells = (cells.join(_small(stored(held, "tokens")), "token")
-             .withColumn("smallest", F.greatest("smallest", "least")).withColumn("largest", F.least("largest", "most")).filter("smallest <= largest"))
+    cells = lead.select("node", "group", "size", F.posexplode("tokens").alias("place", "token"))
+    # most tokens are in one group only; those that stay are few
+    several = stored(cells.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("token"), "tokens")
+    cells = stored(cells.join(F.broadcast(several) if several.count() <= BROADCAST_TOKENS else several, "token", "left_semi").distinct(), "cells")
+    held = stored(cells.groupBy("token").agg(F.min("size").alias("least"), F.max("size").alias("most")), "held")
+    cells = (cells.join(_small(held), "token")
+             .withColumn("smallest", F.greatest(F.ceil(F.col("size") * FIFTHS / 5), "least"))
+             .withColumn("largest", F.least(_largest(F.col("size"), F.col("place")), "most")).filter("smallest <= largest"))
     return cells.select("token", "node", "group", "size", "largest", _band(F.col("size")).alias("band"),
                         F.explode(F.sequence(_band(F.col("smallest")), _band(F.col("largest")))).alias("facing"))
 
