@@ -5,6 +5,7 @@ import pytest
 
 from helpers import business_days, price_frame, random_closes
 from tidepanel.operators import ledger as lg
+from tidepanel.plans import panel as pn
 from tidepanel.sources.dimensions import tax_models
 
 SCHEMA = ("account string, d date, order_id long, line_no int, part_id long, kind string, qty double, "
@@ -64,17 +65,38 @@ def test_stretches_follow_rows_not_quantity(spark):
     assert whole == {(r.sale_seq, r.lot_seq): r.matched_qty for r in lg.fifo_match(covered, stretch_rows=100).collect()}
 
 
-def test_balances_are_the_same_for_any_cells(spark, monkeypatch):
+def test_balances_are_the_same_for_any_ranges(spark):
     rng = random.Random(8)
     trades = [("a", rng.choice(["BUY", "SELL"]), rng.randrange(1, 999) / 8, rng.randrange(1000, 9999) / 97) for _ in range(800)]
     entries = lg.ledger_entries(make(spark, trades), 0.00137)
     runs = []
-    for block in (1 << 20, 50, 7):
-        monkeypatch.setattr(lg, "ID_BLOCK", block)
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    for ranges in (1, 7, 50):
+        spark.conf.set("spark.sql.shuffle.partitions", ranges)
         runs += [sorted((r.order_id, r.cash_after, r.shares_after) for r in lg.running_balance(entries.repartition(n)).collect()) for n in (1, 5)]
+    spark.conf.set("spark.sql.shuffle.partitions", kept)
     assert all(run == runs[0] for run in runs)
 
 
+def test_an_account_without_a_name_is_an_account(spark):
+    rng = random.Random(11)
+    trades = [(rng.choice([None, None, "b"]), rng.choice(["BUY", "SELL"]), rng.randrange(1, 60), rng.randrange(10, 99)) for _ in range(600)]
+    costs, left = brute(trades)
+    frame = make(spark, trades)
+    assert lg.running_balance(lg.ledger_entries(frame)).count() == len(trades)
+    covered = lg.covered_trades(frame)
+    gains = lg.realized_gains(covered, lg.fifo_match(covered, stretch_rows=20)).collect()
+    assert {(r.account, r.order_id): pytest.approx((r.cost_basis, r.matched_qty)) for r in gains} == costs
+    assert {r.account: r.open_qty for r in lg.unrealized_gains(covered).collect()} == pytest.approx(left)
+    assert lg.ledger_totals(lg.running_balance(lg.ledger_entries(frame))).count() == 2
+
+
+def test_the_ledger_is_read_once(spark, sf_dir):
+    covered = lg.covered_trades(pn.ledger_trades(spark, sf_dir))
+    plan = lg.realized_gains(covered, lg.fifo_match(covered), 0.15)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and plan.count("FileScan") <= 3  # the written scan: sales, and lots with their states
+
+
 def test_two_lots(spark):
     covered = lg.covered_trades(make(spark, [("a", "BUY", 100, 10), ("a", "BUY", 100, 20), ("a", "SELL", 100, 30)]))
     r = lg.realized_gains(covered, lg.fifo_match(covered)).first()

@@ -3,24 +3,25 @@
 from __future__ import annotations
 
 import math
-from typing import Sequence
+from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidepanel.functions.numeric import ROWS_PER_YEAR, by_series, clip, ratio, so_far
+from tidepanel.functions.numeric import ROWS_PER_YEAR, as_col, by_series, clip, ratio, so_far
 from tidepanel.operators.indicators import KEYS, drawdown_aggs, simple_return_col
 from tidepanel.operators.inference import sharpe_agg
-from tidepanel.operators.quantiles import exact_quantile
-from tidepanel.runtime import materialise
+from tidepanel.operators.quantiles import exact_quantiles
+from tidepanel.operators.running import join_null_safe
+from tidepanel.runtime import written
 
 STRATEGY_KEYS = ("ticker", "strategy")
 _WEEKDAYS = ("MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN")
 
 
-def rebalance_bucket(rule: str, d: str = "d") -> Column:
+def rebalance_bucket(rule: str, d: Column | str = "d") -> Column:
     """Label of the rebalance period of a date: ``D``, ``W-FRI`` etc. or ``M``."""
     if rule == "D":
-        return F.col(d)
+        return as_col(d)
     if rule == "M":
         return F.last_day(d)
     kind, _, day = rule.partition("-")
@@ -122,12 +123,19 @@ def versus_passive(summary: DataFrame, passive: str = "buy_and_hold",
                     (F.col("net_return") > F.col("_net_return")).alias("beats_passive")))
 
 
+def out_of_sample(panel: DataFrame, min_train: int = 252, keys: Sequence[str] = STRATEGY_KEYS) -> DataFrame:
+    """The pooled rows of all folds: everything after the first training window."""
+    pos = F.row_number().over(by_series(keys))
+    return panel.withColumn("_pos", pos).filter(F.col("_pos") > min_train).drop("_pos")
+
+
 def walk_forward(panel: DataFrame, n_folds: int = 4, min_train: int = 252,
                  keys: Sequence[str] = STRATEGY_KEYS) -> tuple[DataFrame, DataFrame]:
     """(folds, summary) of expanding chronological folds.
 
-    Signals are causal and executed a row later, so the returns of a shorter
-    history are a prefix of the full run: one panel is enough.  Every fold is a
+    Flags must be causal (those of the catalogue are; for any other builder see
+    :func:`walk_forward_builder`) and are executed a row later, so the returns of a
+    shorter history are a prefix of the full run: one panel is enough.  Every fold is a
     pair of conditional aggregates over row numbers; rows are not replicated.
     Series shorter than ``min_train + 21 * n_folds`` rows are left out.
     """
@@ -165,23 +173,74 @@ def walk_forward(panel: DataFrame, n_folds: int = 4, min_train: int = 252,
     return folds, summary
 
 
+def walk_forward_builder(prices: DataFrame, build: Callable[[DataFrame], DataFrame], cost: float = 0.0005, n_folds: int = 4,
+                         min_train: int = 252, rebalance: str = "W-FRI", weight: str | None = None,
+                         key: str = "ticker") -> tuple[DataFrame, DataFrame]:
+    """(folds, summary) of a user's builder, which is run on each history that a fold may know.
+
+    A builder need not be causal, so its flags on the whole series say nothing
+    about a shorter one.  Fold ``k`` trains on a prefix of the series and is judged
+    on the end of the next longer prefix, so there are ``n_folds + 1`` prefixes.
+    Rows are copied to the prefixes that hold them, each prefix is a series of its
+    own name, and the builder, which only has to keep to the series column and to
+    pass columns on, runs once over all of them.  Columns and short series are as
+    in :func:`walk_forward`, which reads one panel where a builder is causal.
+    """
+    known = prices.filter(F.col("close").isNotNull())
+    sized = (known.withColumn("_pos", F.row_number().over(by_series([key])) - 1)
+             .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+             .filter(F.col("_n") >= min_train + 21 * n_folds)
+             .withColumn("_size", F.floor((F.col("_n") - min_train) / n_folds)))
+    length = F.when(F.col("_prefix") == n_folds, F.col("_n")).otherwise(min_train + F.col("_prefix") * F.col("_size"))
+    copies = (sized.withColumn("_prefix", F.explode(F.sequence(F.lit(0), F.lit(n_folds)))).filter(F.col("_pos") < length)
+              .withColumn("_series", F.col(key)).withColumn(key, F.concat_ws("#", F.col(key).cast("string"), F.col("_prefix").cast("string"))))
+    daily = run_backtest(build(copies), cost, rebalance, weight=weight, keys=(key,))
+    begins = F.when(F.col("_prefix") > 0, min_train + (F.col("_prefix") - 1) * F.col("_size"))
+    judged = F.col("_pos") >= begins
+    parts = daily.withColumn("_judged", F.coalesce(judged, F.lit(False)))
+    r_out, d_out = F.when(F.col("_judged"), F.col("net")), F.when(F.col("_judged"), F.col("d"))
+    each = parts.groupBy(F.col("_series").alias(key), "_prefix").agg(
+        F.min("d").alias("train_from"), F.max("d").alias("train_to"), sharpe_agg("net").alias("sharpe_is"),
+        F.min(d_out).alias("test_from"), F.max(d_out).alias("test_to"), F.count(r_out).alias("_tested"), sharpe_agg(r_out).alias("_oos"),
+        (F.product(1 + r_out) - 1).alias("return_oos"), *pooled_moments(r_out))
+    each = written(each, "prefixes")  # a row per series and prefix
+    train = each.filter(F.col("_prefix") < n_folds).select(key, (F.col("_prefix") + 1).alias("fold"), "train_from", "train_to", "sharpe_is")
+    test = each.filter("_prefix > 0").select(key, F.col("_prefix").alias("fold"), "test_from", "test_to",
+                                             F.when(F.col("_tested") > 30, F.col("_oos")).alias("sharpe_oos"), "return_oos")
+    folds = train.join(test, [key, "fold"]).select(key, "fold", "train_from", "train_to", "test_from", "test_to", "sharpe_is", "sharpe_oos", "return_oos")
+    summary = (each.groupBy(key).agg(F.lit(n_folds).alias("folds"), pooled_sharpe().alias("oos_sharpe"),
+                                     F.avg(F.when(F.col("_prefix") < n_folds, F.col("sharpe_is"))).alias("is_sharpe_mean"))
+               .withColumn("degradation", ratio(F.col("oos_sharpe") - F.col("is_sharpe_mean"), F.abs(F.col("is_sharpe_mean"))))
+               .withColumn("reading", fold_reading()))
+    return folds, summary
+
+
+def pooled_moments(r: Column) -> list[Column]:
+    """Mergeable moments of returns."""
+    return [F.count(r).alias("_k"), F.sum(r).alias("_s1"), F.sum(r * r).alias("_s2"), F.min(r).alias("_lo"), F.max(r).alias("_hi")]
+
+
+def pooled_sharpe() -> Column:
+    """Aggregate: annual Sharpe ratio of the returns behind rows of :func:`pooled_moments`."""
+    k, s1, s2 = F.sum("_k"), F.sum("_s1"), F.sum("_s2")
+    sd = F.sqrt(F.greatest(s2 - s1 * s1 / k, F.lit(0.0)) / (k - 1))
+    return F.when((k >= 2) & (F.max("_hi") > F.min("_lo")) & (sd > 0), s1 / k / sd * math.sqrt(ROWS_PER_YEAR))
+
+
 def fold_reading(degradation: str = "degradation", oos: str = "oos_sharpe") -> Column:
     return (F.when(F.col(degradation) < -0.50, "COLLAPSES_OUT_OF_SAMPLE")
             .when(F.col(oos) <= 0, "NO_RETURN_OUT_OF_SAMPLE")
             .otherwise("HOLDS_OUT_OF_SAMPLE"))
 
 
-def regime_medians(summary: DataFrame, keys: Sequence[str] = ("regime", "strategy"),
-                   accuracy: int = 10_000) -> DataFrame:
+def regime_medians(summary: DataFrame, keys: Sequence[str] = ("regime", "strategy")) -> DataFrame:
     """Medians over many series and the share that never traded."""
     metrics = ("net_return", "sharpe", "max_drawdown", "trades")
-    summary = materialise(summary.select(*keys, "time_in_market", *metrics))  # read nine times below
+    summary = written(summary.select(*keys, "time_in_market", *metrics), "summary")
     base = summary.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_series"),
         F.avg((F.col("time_in_market") == 0).cast("double")).alias("never_traded"))
-    for m in metrics:
-        base = base.join(exact_quantile(summary, keys, m, 0.5, accuracy, out=f"median_{m}"), list(keys), "left")
-    return base
+    return join_null_safe(base, exact_quantiles(summary, keys, {f"median_{m}": m for m in metrics}), keys)
 
 
 def regime_win_rates(summary: DataFrame, strategies: Sequence[str], by: str = "regime",

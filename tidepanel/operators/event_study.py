@@ -17,6 +17,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidepanel.functions.numeric import by_series, ratio, so_far
 from tidepanel.functions.probability import t_two_sided
 from tidepanel.operators.indicators import KEYS, simple_return_col
+from tidepanel.operators.quantiles import exact_quantiles
+from tidepanel.operators.running import join_null_safe
+from tidepanel.runtime import written
 
 
 @dataclass(frozen=True)
@@ -71,7 +74,7 @@ def market_model(returns: DataFrame, params: EventParams = EventParams(),
 
 def anchor_effects(returns: DataFrame, params: EventParams = EventParams(),
                    keys: Sequence[str] = KEYS) -> DataFrame:
-    """Cumulative abnormal return, t and p for every possible anchor row."""
+    """Cumulative abnormal return, its t and the degrees of freedom for every possible anchor row."""
     frame = by_series(keys).rowsBetween(-params.pre, params.post)
     both = F.col("r").isNotNull() & F.col("market_r").isNotNull()
     model = market_model(returns, params, keys)
@@ -84,9 +87,8 @@ def anchor_effects(returns: DataFrame, params: EventParams = EventParams(),
     return (sums.withColumn("car", car)
             .withColumn("event_obs", F.col("_n"))
             .withColumn("car_t", F.when(se > 0, F.col("car") / se))
-            .withColumn("_df", F.greatest(F.col("estimation_obs") - 2, F.lit(1)))
-            .withColumn("car_p", t_two_sided("car_t", "_df"))
-            .drop("_n", "_r", "_m", "_df"))
+            .withColumn("car_df", F.greatest(F.col("estimation_obs") - 2, F.lit(1)))
+            .drop("_n", "_r", "_m"))
 
 
 def event_anchors(events: DataFrame, rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -110,8 +112,9 @@ def event_results(events: DataFrame, returns: DataFrame, params: EventParams = E
     """One row per event; those without enough history or a later row have a reason."""
     effects = anchor_effects(returns, params, keys).select(
         *keys, F.col("d").alias("anchor_d"), "alpha", "beta", "r_squared", "residual_sd",
-        "estimation_obs", "event_obs", "car", "car_t", "car_p")
+        "estimation_obs", "event_obs", "car", "car_t", "car_df")
     lookup = event_anchors(events, returns, keys).join(effects, [*keys, "anchor_d"], "left")
+    lookup = lookup.withColumn("car_p", t_two_sided("car_t", "car_df")).drop("car_df")  # at anchors only
     reason = (F.when(F.col("anchor_d").isNull(), "NO_LATER_ROW")
               .when(F.col("alpha").isNull(), "INSUFFICIENT_HISTORY"))
     return events.join(lookup, [*keys, "event_date"], "left").withColumn("skipped", reason)
@@ -144,18 +147,19 @@ def caar_by_category(results: DataFrame, category: str = "category",
     """
     counted = (results.filter(F.col("car").isNotNull()).groupBy(category, *same)
                .agg(F.first("car").alias("car"), F.count(F.lit(1)).alias("_k")))
+    counted = written(counted, "effects")  # one row per class, series and date
     k, car = F.col("_k"), F.col("car")
     agg = counted.groupBy(category).agg(
         F.sum("_k").alias("n_events"), (F.sum(k * car) / F.sum(k)).alias("mean_car"),
-        F.percentile("car", F.lit(0.5), F.col("_k")).alias("median_car"),
         (F.sum(F.when(car > 0, k).otherwise(0)) / F.sum(k)).alias("hit_rate"),
         (F.max("car") > F.min("car")).alias("_varies"))
-    centred = counted.join(agg.select(category, "mean_car"), category)
+    centred = join_null_safe(counted, agg.select(category, "mean_car"), [category])
     spread = centred.groupBy(category).agg(F.sum(k * F.pow(car - F.col("mean_car"), 2)).alias("_ss"))
     sd = F.sqrt(F.col("_ss") / (F.col("n_events") - 1))
     t = F.when((F.col("n_events") >= 2) & F.col("_varies") & (sd > 0),
                F.col("mean_car") / (sd / F.sqrt("n_events")))
-    return (agg.join(spread, category).withColumn("t_stat", t)
+    agg = join_null_safe(agg, exact_quantiles(counted, [category], {"median_car": "car"}, weight="_k"), [category])
+    return (join_null_safe(agg, spread, [category]).withColumn("t_stat", t)
             .withColumn("_df", F.col("n_events") - 1)
             .withColumn("p_value", t_two_sided("t_stat", "_df"))
             .withColumn("verdict", caar_verdict())

@@ -6,6 +6,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidepanel.functions.dates import month_start
 from tidepanel.functions.numeric import ratio
 from tidepanel.operators.indicators import KEYS
 from tidepanel.operators.quality import align_inner
@@ -124,10 +125,10 @@ def deflate(df: DataFrame, index: DataFrame, price: str = "close", base_month: s
 
     A month without a level drops its days; nothing is carried forward.
     """
-    months = index.select(F.trunc("month", "MM").alias("_month"), "level").filter("level IS NOT NULL")
+    months = index.select(month_start("month").alias("_month"), "level").filter("level IS NOT NULL")
     base = (months.agg(F.max_by("level", "_month").alias("_base")) if base_month is None
             else months.filter(F.col("_month") == F.lit(base_month).cast("date")).select(F.col("level").alias("_base")))
-    return (df.withColumn("_month", F.trunc("d", "MM")).join(months, "_month")
+    return (df.withColumn("_month", month_start("d")).join(months, "_month")
             .crossJoin(F.broadcast(base))  # a single row
             .withColumn(out, F.col(price) * ratio("_base", "level"))
             .filter(F.col(out).isNotNull()).drop("_month", "level", "_base"))

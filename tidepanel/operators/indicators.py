@@ -113,18 +113,17 @@ def rolling_beta(asset: DataFrame, market: DataFrame, window: int = 252,
 
 
 def momentum_rank(df: DataFrame, keys: Sequence[str] = KEYS, price: str = "close",
-                  lookback: int = 12, skip: int = 1, width: float = 0.001) -> DataFrame:
+                  lookback: int = 12, skip: int = 1) -> DataFrame:
     """Per-date percentile rank of momentum across series, ties averaged.
 
     Equal values are counted first, so a date ships one row per distinct value,
-    and a date is ranked in value bands of ``width``: the counts of the bands
-    below are added to the place inside the band, so no task sorts a whole date.
+    and the counts are summed along ranges of date and value, so no task sorts a
+    whole date.
     """
     scored = (df.select(*keys, "d", momentum_col(by_series(keys), price, lookback, skip).alias("momentum"))
               .filter("momentum IS NOT NULL"))
-    counts = (scored.groupBy("d", "momentum").agg(F.count(F.lit(1)).alias("_n"))
-              .withColumn("_band", F.floor(F.col("momentum") / width)))
-    ranked = running_aggregates(counts, ["d"], ["momentum"], {"_upto": ("sum", "_n")}, levels=["_band"])
+    counts = scored.groupBy("d", "momentum").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_aggregates(counts, ["d"], ["momentum"], {"_upto": ("sum", "_n")})
     totals = scored.groupBy("d").agg(F.count(F.lit(1)).alias("_total"))
     place = (F.col("_upto") - (F.col("_n") - 1) / 2) / F.col("_total")
     ranks = ranked.join(totals, "d").select("d", "momentum", place.alias("momentum_rank"))

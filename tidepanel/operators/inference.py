@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidepanel.functions.numeric import ROWS_PER_YEAR, as_col, by_series, so_far
 from tidepanel.functions.probability import norm_cdf, norm_ppf, norm_ppf_value
+from tidepanel.operators.running import join_null_safe
+from tidepanel.runtime import written
 
 EULER_GAMMA = 0.5772156649015329
 KEYS = ("ticker", "strategy")
@@ -160,83 +162,90 @@ def _uniform(seed: Column, i: Column) -> Column:
     return value.cast("double") / float(_MODULUS)
 
 
+def wrapped_positions(start: Column, length: int, n: Column) -> Column:
+    """Row positions of a block that wraps around the end of its series."""
+    return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: ((start + i) % n).cast("int"))
+
+
+def _prefix_sums(returns: DataFrame, keys: Sequence[str], r: str) -> DataFrame:
+    """(keys, pos, s1, s2): sums of the first ``pos`` returns and of their squares, for 0 to twice the length of a
+    series, so that a block that wraps around is a difference as well."""
+    w = by_series(keys)
+    whole = Window.partitionBy(*keys)
+    rows = returns.select(
+        *keys, F.row_number().over(w).cast("long").alias("pos"), F.count(F.lit(1)).over(whole).alias("n"),
+        F.sum(r).over(so_far(w)).alias("s1"), F.sum(F.col(r) * F.col(r)).over(so_far(w)).alias("s2"),
+        F.sum(r).over(whole).alias("t1"), F.sum(F.col(r) * F.col(r)).over(whole).alias("t2"))
+
+    def entry(pos: Column, s1: Column, s2: Column) -> Column:
+        return F.struct(pos.cast("long").alias("pos"), s1.alias("s1"), s2.alias("s2"))
+
+    zero = entry(F.lit(0), F.lit(0.0), F.lit(0.0))
+    own, again = entry(F.col("pos"), F.col("s1"), F.col("s2")), entry(F.col("pos") + F.col("n"), F.col("s1") + F.col("t1"), F.col("s2") + F.col("t2"))
+    return rows.select(*keys, F.inline(F.when(F.col("pos") == 1, F.array(zero, own, again)).otherwise(F.array(own, again))))
+
+
+def _block_sums(replicates: DataFrame, prefix: DataFrame, keys: Sequence[str], draws: Column, p: float) -> DataFrame:
+    """Sums over the blocks of each replicate (keys, n, b, seed), from its first ``draws`` draws: one row per block, cut
+    off where the replicate is full."""
+    n = F.col("n")
+    blocks = replicates.select("*", F.explode(F.sequence(F.lit(0), draws - 1)).alias("_k"))
+    length = F.lit(1.0) if p == 1.0 else 1 + F.floor(F.ln(_uniform(F.col("seed"), 2 * F.col("_k") + 1)) / math.log(1 - p))
+    blocks = (blocks.withColumn("_start", F.floor(_uniform(F.col("seed"), 2 * F.col("_k")) * n).cast("long"))
+              .withColumn("_len", F.least(length, n).cast("long")))
+    order = Window.partitionBy(*keys, "_batch", "b").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = (blocks.withColumn("_before", F.sum("_len").over(order) - F.col("_len")).filter(F.col("_before") < n)
+              .withColumn("_take", F.least("_len", n - F.col("_before"))))
+    ends = blocks.select(*keys, "b", "_take", F.inline(F.array(
+        F.struct(F.col("_start").alias("pos"), F.lit(-1).alias("_sign")),
+        F.struct((F.col("_start") + F.col("_take")).alias("pos"), F.lit(1).alias("_sign")))))
+    found = join_null_safe(ends, prefix, [*keys, "pos"])
+    return found.groupBy(*keys, "b").agg(
+        F.sum(F.col("_sign") * F.col("s1")).alias("sum_r"), F.sum(F.col("_sign") * F.col("s2")).alias("sum_r2"),
+        F.count_if(F.col("_sign") > 0).cast("int").alias("blocks"), F.sum(F.when(F.col("_sign") > 0, F.col("_take"))).alias("rows_drawn"))
+
+
 def bootstrap_replicates(panel: DataFrame, keys: Sequence[str] = KEYS, r: str = "net",
                          replicates: int = 2000, mean_block: float = 21.0, seed: int = 42,
                          batches: int = 16) -> DataFrame:
     """Stationary-bootstrap replicates: sums of the drawn returns and their squares,
-    and the shape of the draw (blocks, wrapped blocks, sum of the start positions).
+    and the shape of the draw (blocks, rows drawn).
 
     Blocks wrap around and have geometric lengths drawn by inversion, so a
     replicate needs about ``n / mean_block`` draws rather than ``n``.  A block is
-    a run of neighbouring rows: its sums are differences of prefix sums, held as
-    two arrays per series (bounded by the calendar).  The arrays travel once per batch
-    of replicates, so that few series still fill a cluster; replicates are then
-    exploded and folded in place.
+    a run of neighbouring rows: its sums are differences of prefix sums.  Blocks
+    are rows of a few numbers, generated where their batch of replicates lives;
+    they meet the prefix sums by position, so few series still fill a cluster.
 
     The generator is seeded by a digest of (seed, series, replicate), so any task
     can repeat a draw.  Blocks are drawn until the replicate is full: usually a
-    number with six standard deviations of room does it, and the others go on.
+    number with six standard deviations of room does it, and the others are drawn
+    again with as many as always suffice, one per row.
     """
-    w = by_series(keys)
-    rows = panel.filter(F.col(r).isNotNull())
-    prefix = rows.select(*keys, F.col(r).alias("_r"), F.row_number().over(w).alias("pos"),
-                         F.sum(r).over(so_far(w)).alias("s1"),
-                         F.sum(F.col(r) * F.col(r)).over(so_far(w)).alias("s2"))
-    def wrapped(c: str) -> Column:
-        """0, the prefix sums, and the prefix sums of a second pass."""
-        sums = F.transform("_p", lambda x: x[c])
-        total = F.element_at("_p", -1)[c]
-        return F.concat(F.array(F.lit(0.0)), sums, F.transform("_p", lambda x: x[c] + total))
-
-    series = (prefix.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "s1", "s2"))).alias("_p"),
-                                        sharpe_agg("_r").alias("sharpe"))
-              .select(*keys, "sharpe", F.size("_p").cast("long").alias("n"), wrapped("s1").alias("_c1"), wrapped("s2").alias("_c2")))
+    keys = list(keys)
+    returns = written(panel.filter(F.col(r).isNotNull()).select(*keys, "d", r), "returns")
+    prefix = written(_prefix_sums(returns, keys, r), "prefix")
+    series = returns.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), sharpe_agg(r).alias("sharpe"), F.sum(r).alias("t1"))
+    series = written(series, "series")
     tasks = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = -(-replicates // batches)
     first = F.col("_batch") * size + 1
-    batched = (series.select("*", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // size) - 1))).alias("_batch"))
-               .repartition(tasks, *keys, "_batch")
-               .select("*", F.explode(F.sequence(first, F.least(first + size - 1, F.lit(replicates)))).alias("b")))
+    label = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("b").cast("string"))
+    digest = F.conv(F.substring(F.md5(label), 1, 12), 16, 10).cast("long") % (_MODULUS - 1) + 1
+    each = (series.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // size) - 1))).alias("_batch"))
+            .repartition(tasks, *keys, "_batch")
+            .select("*", F.explode(F.sequence(first, F.least(first + size - 1, F.lit(replicates)))).alias("b"))
+            .withColumn("seed", digest))
 
     p = 1.0 / max(mean_block, 1.0)
     n = F.col("n").cast("double")
     usual = F.least(n, F.ceil(n * p + 6 * F.sqrt(n * p * (1 - p)) + 10)).cast("int")
-    label = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("b").cast("string"))
-    digest = F.conv(F.substring(F.md5(label), 1, 12), 16, 10).cast("long") % (_MODULUS - 1) + 1
-
-    def start_of(seed: Column, k: Column) -> Column:
-        return F.floor(_uniform(seed, 2 * k) * n).cast("long").alias("start")
-
-    def draws(seed: Column, first: Column, last: Column) -> Column:
-        def block(k: Column) -> Column:
-            length = F.lit(1.0) if p == 1.0 else 1 + F.floor(F.ln(_uniform(seed, 2 * k + 1)) / math.log(1 - p))
-            return F.struct(start_of(seed, k), F.least(length, n).cast("long").alias("len"))
-
-        return F.transform(F.sequence(first, last), block)
-
-    def replicate(seed: Column) -> Column:
-        # A block has one row at least, so n blocks always fill a replicate.
-        drawn = F.aggregate(draws(seed, F.lit(0), usual - 1), start, add)
-        rest = F.transform(F.array(drawn), lambda acc: F.when(
-            acc["filled"] < F.col("n"), F.aggregate(draws(seed, usual, F.col("n").cast("int")), acc, add)).otherwise(acc))
-        return rest[0]
-
-    def add(acc: Column, block: Column) -> Column:
-        take = F.least(block["len"], F.col("n") - acc["filled"])
-        stop = (block["start"] + take + 1).cast("int")
-        begin = (block["start"] + 1).cast("int")
-        more = F.struct(
-            (acc["filled"] + take).alias("filled"), (acc["blocks"] + 1).alias("blocks"),
-            (acc["r1"] + F.element_at("_c1", stop) - F.element_at("_c1", begin)).alias("r1"),
-            (acc["r2"] + F.element_at("_c2", stop) - F.element_at("_c2", begin)).alias("r2"))
-        return F.when(acc["filled"] < F.col("n"), more).otherwise(acc)
-
-    start = F.struct(F.lit(0).cast("long").alias("filled"), F.lit(0).alias("blocks"), F.lit(0.0).alias("r1"), F.lit(0.0).alias("r2"))
-    # The one-element lambda names the seed, so the digest is taken once.
-    total = F.transform(F.array(digest), replicate)[0]
-    drawn = batched.select(*keys, "b", "n", "sharpe", total.alias("_x"), F.element_at("_c1", (F.col("n") + 1).cast("int")).alias("t1"))
-    return drawn.select(*keys, "b", "n", "sharpe", F.col("_x.r1").alias("sum_r"), F.col("_x.r2").alias("sum_r2"), "t1",
-                        F.col("_x.blocks").alias("blocks"), F.col("_x.filled").alias("rows_drawn"))
+    drawn = written(_block_sums(each, prefix, keys, usual, p), "replicates")
+    short = join_null_safe(drawn, series.select(*keys, "n"), keys).filter("rows_drawn < n").select(*keys, "b")
+    if not short.isEmpty():
+        rest = _block_sums(join_null_safe(each, short, [*keys, "b"], "left_semi"), prefix, keys, F.col("n").cast("int"), p)
+        drawn = join_null_safe(drawn, short, [*keys, "b"], "left_anti").unionByName(rest)
+    return join_null_safe(drawn, series, keys).select(*keys, "b", "n", "sharpe", "sum_r", "sum_r2", "t1", "blocks", "rows_drawn")
 
 
 def bootstrap_sharpe(panel: DataFrame, keys: Sequence[str] = KEYS, r: str = "net",
@@ -280,7 +289,14 @@ def split_table(spark: SparkSession, n_splits: int) -> DataFrame:
     if n_splits % 2:
         raise ValueError("n_splits must be even")
     halves = spark.range(1 << n_splits).filter(F.bit_count("id") == n_splits // 2)
-    numbered = halves.withColumn("combo", F.row_number().over(Window.orderBy(F.desc("id"))) - 1)
+    # the number of a half is the number of halves above it: at each block left out, those that agree before and take it
+    place = F.lit(0).cast("long")
+    for block in range(n_splits):
+        taken = F.bit_count(F.shiftright("id", n_splits - block))
+        here = F.shiftright("id", n_splits - 1 - block).bitwiseAND(F.lit(1))
+        ways = F.array(*[F.lit(math.comb(n_splits - 1 - block, n_splits // 2 - 1 - k) if k < n_splits // 2 else 0) for k in range(n_splits + 1)])
+        place = place + F.when(here == 0, F.get(ways, taken)).otherwise(0)
+    numbered = halves.withColumn("combo", place)
     table = numbered.select("combo", "id", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))).alias("block"))
     bit = F.expr(f"shiftright(id, {n_splits - 1} - block)").bitwiseAND(F.lit(1))
     return table.select("combo", "block", (bit == 1).alias("in_sample"))

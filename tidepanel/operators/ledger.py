@@ -8,18 +8,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidepanel.functions.numeric import by_series, ratio
 from tidepanel.operators.indicators import KEYS, extremes_cols
-from tidepanel.operators.running import from_units, running_aggregates, units
-from tidepanel.runtime import materialise
+from tidepanel.operators.running import from_units, join_null_safe, running_aggregates, units
+from tidepanel.runtime import written
 
 ACCOUNT = ("account",)
 ORDER = ("d", "order_id", "line_no", "part_id", "amount", "qty", "kind")
-LEVELS = ("_day", "_ids")
-ID_BLOCK = 1 << 20
-
-
-def with_levels(df: DataFrame, order_id: str = "order_id") -> DataFrame:
-    """Coarse columns along the ledger order, used to cut up accounts."""
-    return df.withColumn("_day", F.col("d")).withColumn("_ids", F.floor(F.col(order_id) / ID_BLOCK))
 
 
 def ledger_entries(trades: DataFrame, cost: float = 0.0005) -> DataFrame:
@@ -35,11 +28,11 @@ def ledger_entries(trades: DataFrame, cost: float = 0.0005) -> DataFrame:
 def running_balance(entries: DataFrame, keys: Sequence[str] = ACCOUNT, order: Sequence[str] = ORDER) -> DataFrame:
     """Holdings and cash after every entry, rebuilt from the ledger alone.  Both are
     summed in whole millionths, so no order of summation changes a digit."""
-    rows = with_levels(entries).withColumn("_shares", units("signed_qty")).withColumn("_cash", units("net"))
+    rows = entries.withColumn("_shares", units("signed_qty")).withColumn("_cash", units("net"))
     outs = {"_shares_sum": ("sum", "_shares"), "_cash_sum": ("sum", "_cash")}
-    return (running_aggregates(rows, keys, order, outs, LEVELS)
+    return (running_aggregates(rows, keys, order, outs)
             .withColumn("shares_after", from_units("_shares_sum")).withColumn("cash_after", from_units("_cash_sum"))
-            .drop(*LEVELS, "_shares", "_cash", "_shares_sum", "_cash_sum"))
+            .drop("_shares", "_cash", "_shares_sum", "_cash_sum"))
 
 
 def ledger_mismatches(balances: DataFrame, recorded_cash: str, recorded_shares: str,
@@ -75,22 +68,21 @@ def covered_trades(trades: DataFrame, keys: Sequence[str] = ACCOUNT, order: Sequ
     row is the running maximum of sold minus bought, floored at zero.  ``lo``,
     ``hi`` and ``uncovered`` are whole millionths of a share.
     """
-    base = (with_levels(trades)
-            .withColumn("_one", F.lit(1).cast("long"))
+    base = (trades.withColumn("_one", F.lit(1).cast("long"))
             .withColumn("_buy", F.when(F.col("kind") == "BUY", units("qty")).otherwise(0))
-            .withColumn("_sell", F.when(F.col("kind") == "SELL", units("qty")).otherwise(0)))
-    sums = {"seq": ("sum", "_one"), "_bought": ("sum", "_buy"), "_sold": ("sum", "_sell")}
-    done = running_aggregates(base, keys, order, sums, LEVELS).withColumn("_short", F.col("_sold") - F.col("_bought"))
-    done = running_aggregates(done, keys, order, {"_worst": ("max", "_short")}, LEVELS, inclusive=False)
+            .withColumn("_sell", F.when(F.col("kind") == "SELL", units("qty")).otherwise(0))
+            .withColumn("_more", F.col("_sell") - F.col("_buy")))
+    outs = {"seq": ("sum", "_one"), "_bought": ("sum", "_buy"), "_sold": ("sum", "_sell"), "_worst": ("peak", "_more", "before")}
+    done = running_aggregates(base, keys, order, outs)
     zero = F.lit(0).cast("long")
     before = F.greatest(zero, F.coalesce("_worst", zero))
-    now = F.greatest(before, F.col("_short"))
+    now = F.greatest(before, F.col("_sold") - F.col("_bought"))
     is_buy = F.col("kind") == "BUY"
     return (done.withColumn("lo", F.when(is_buy, F.col("_bought") - F.col("_buy"))
                             .otherwise(F.col("_sold") - F.col("_sell") - before))
             .withColumn("hi", F.when(is_buy, F.col("_bought")).otherwise(F.col("_sold") - now))
             .withColumn("uncovered", F.when(is_buy, zero).otherwise(now - before))
-            .drop(*LEVELS, "_one", "_buy", "_sell", "_bought", "_sold", "_short", "_worst"))
+            .drop("_one", "_buy", "_sell", "_more", "_bought", "_sold", "_worst"))
 
 
 def oversold_accounts(covered: DataFrame, keys: Sequence[str] = ACCOUNT) -> DataFrame:
@@ -115,21 +107,24 @@ def stretches(covered: DataFrame, keys: Sequence[str], stretch_rows: int) -> Dat
     pieces = (covered.filter(F.col("hi") > F.col("lo"))
               .withColumn("_cell", F.lit("")).withColumn("_from", F.col("lo")).withColumn("_to", F.col("hi")))
     while True:
-        cuts = F.percentile_approx("_from", [k / CUTS for k in range(1, CUTS)], 10_000)
-        full = (pieces.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_rows"), F.array_distinct(cuts).alias("_cuts"))
+        long = (pieces.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_rows"))
                 .filter(F.col("_rows") > 2 * max(stretch_rows, 1)).drop("_rows"))
-        full = materialise(full)
-        if full.isEmpty():
+        long = written(long, "long")
+        if long.isEmpty():
             return pieces
+        cuts = F.percentile_approx("_from", [k / CUTS for k in range(1, CUTS)], 10_000)
+        full = (join_null_safe(pieces, long, [*keys, "_cell"], "left_semi")
+                .groupBy(*keys, "_cell").agg(F.array_distinct(cuts).alias("_cuts")))
+        full = written(full, "cuts")
         first = F.size(F.filter("_cuts", lambda x: x <= F.col("_from")))
         last = F.size(F.filter("_cuts", lambda x: x < F.col("_to")))
         parts = F.when(F.col("_cuts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(first, last))
         start, stop = F.get("_cuts", F.col("_part") - 1), F.get("_cuts", F.col("_part"))
-        pieces = materialise(
-            pieces.join(full, [*keys, "_cell"], "left").withColumn("_part", F.explode(parts))
+        pieces = written(
+            join_null_safe(pieces, full, [*keys, "_cell"], "left").withColumn("_part", F.explode(parts))
             .withColumn("_from", F.greatest("_from", start)).withColumn("_to", F.least("_to", stop))
             .withColumn("_cell", F.when(F.col("_cuts").isNull(), F.col("_cell")).otherwise(F.concat_ws(".", "_cell", "_part")))
-            .drop("_cuts", "_part"))
+            .drop("_cuts", "_part"), "pieces")
 
 
 def fifo_match(covered: DataFrame, keys: Sequence[str] = ACCOUNT, stretch_rows: int = 5_000) -> DataFrame:
@@ -165,7 +160,7 @@ def realized_gains(covered: DataFrame, matches: DataFrame, tax_rate: Column | fl
              .groupBy(*keys, F.col("sale_seq").alias("seq"))
              .agg(F.sum("matched_qty").alias("matched_qty"), F.sum("_cost").alias("cost_basis")))
     rate = F.lit(float(tax_rate)) if isinstance(tax_rate, (int, float)) else tax_rate
-    return (covered.filter("kind = 'SELL'").join(basis, [*keys, "seq"], "left")
+    return (join_null_safe(covered.filter("kind = 'SELL'"), basis, [*keys, "seq"], "left")
             .withColumn("matched_qty", F.coalesce("matched_qty", F.lit(0.0)))
             .withColumn("cost_basis", F.coalesce("cost_basis", F.lit(0.0)))
             .withColumn("gain", F.col("qty") * F.col("price") - F.col("cost_basis"))
@@ -177,7 +172,7 @@ def open_lots(covered: DataFrame, keys: Sequence[str] = ACCOUNT) -> DataFrame:
     sold = (covered.groupBy(*keys).agg(
         F.coalesce(F.max(F.when(F.col("kind") == "SELL", F.col("hi"))), F.lit(0).cast("long")).alias("_sold")))
     left = F.col("hi") - F.greatest("lo", "_sold")
-    return (covered.filter("kind = 'BUY'").join(sold, list(keys)).filter(left > 0)
+    return (join_null_safe(covered.filter("kind = 'BUY'"), sold, list(keys)).filter(left > 0)
             .withColumn("remaining_qty", from_units(left)).drop("_sold"))
 
 
@@ -187,7 +182,7 @@ def unrealized_gains(covered: DataFrame, keys: Sequence[str] = ACCOUNT) -> DataF
     lots = open_lots(covered, keys).groupBy(*keys).agg(
         F.sum("remaining_qty").alias("open_qty"),
         F.sum(F.col("remaining_qty") * F.col("price")).alias("open_cost"))
-    return (last.join(lots, list(keys), "left")
+    return (join_null_safe(last, lots, list(keys), "left")
             .withColumn("open_qty", F.coalesce("open_qty", F.lit(0.0)))
             .withColumn("open_cost", F.coalesce("open_cost", F.lit(0.0)))
             .withColumn("unrealized_gain", F.col("open_qty") * F.col("last_price") - F.col("open_cost")))

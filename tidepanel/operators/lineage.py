@@ -6,7 +6,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidepanel.runtime import materialise
+from tidepanel.runtime import materialise, written
 
 OBSERVED, DERIVED, SYNTHETIC = "observed", "derived", "synthetic"
 
@@ -59,25 +59,31 @@ class CyclicLineageError(RuntimeError):
 def ancestors(edges: DataFrame) -> DataFrame:
     """All (dataset, ancestor) pairs with the shortest distance, for chains of any depth.
 
-    Each round joins the known pairs with themselves, so the distance that is
-    covered doubles; after it, every pair within that distance has its shortest
-    one.  It ends when a round finds no new pair.  Rounds are checkpointed, so
-    the plan stays small and a lost executor does not repeat earlier rounds.
-    Ancestors without parents of their own drop out of the join at once.
+    The covered distance doubles with every round, but only new pairs are joined:
+    a pair that is more than ``reach`` and at most twice as far apart consists of
+    one exactly ``reach`` apart, which the round before has found, and a known one.
+    So a round joins no pair that an earlier round has joined, and it ends when
+    nothing lies ``reach`` apart.  Each round's new pairs are written once.
     """
-    pairs = materialise(edges.select(F.col("child").alias("dataset_id"), F.col("parent").alias("ancestor"),
-                                     F.lit(1).alias("depth")).distinct())
-    known = pairs.count()
+    fresh = written(edges.select(F.col("child").alias("dataset_id"), F.col("parent").alias("ancestor"),
+                                 F.lit(1).alias("depth")).distinct(), "pairs")
+    known, reach = fresh, 1
     while True:
-        own = [r[0] for r in pairs.filter("dataset_id = ancestor").select("dataset_id").take(10)]
+        own = [r[0] for r in fresh.filter("dataset_id = ancestor").select("dataset_id").take(10)]
         if own:
             raise CyclicLineageError("their own ancestors: " + ", ".join(map(str, own)))
-        further = pairs.select(F.col("dataset_id").alias("ancestor"), F.col("ancestor").alias("_above"), F.col("depth").alias("_more"))
-        step = pairs.join(further, "ancestor").select("dataset_id", F.col("_above").alias("ancestor"), (F.col("depth") + F.col("_more")).alias("depth"))
-        pairs = materialise(pairs.unionByName(step).groupBy("dataset_id", "ancestor").agg(F.min("depth").alias("depth")))
-        found, known = known, pairs.count()
-        if found == known:
-            return pairs
+        far = fresh.filter(F.col("depth") == reach)
+        if far.isEmpty():
+            return known
+        fresh = written(further_pairs(far, known).join(known.select("dataset_id", "ancestor"), ["dataset_id", "ancestor"], "left_anti"), "pairs")
+        known, reach = known.unionByName(fresh), 2 * reach
+
+
+def further_pairs(far: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs behind the ends of ``far``, each with the shortest way found."""
+    above = known.select(F.col("dataset_id").alias("ancestor"), F.col("ancestor").alias("_above"), F.col("depth").alias("_more"))
+    step = far.join(above, "ancestor").select("dataset_id", F.col("_above").alias("ancestor"), (F.col("depth") + F.col("_more")).alias("depth"))
+    return step.groupBy("dataset_id", "ancestor").agg(F.min("depth").alias("depth"))
 
 
 def tainted(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -6,9 +6,8 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidepanel.functions.numeric import by_series, ratio
+from tidepanel.functions.numeric import by_series, ratio, so_far
 from tidepanel.operators.indicators import KEYS, log_return_col
-from tidepanel.operators.states import frozen_runs
 
 
 def align_inner(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS, min_overlap: int = 0) -> DataFrame:
@@ -21,6 +20,11 @@ def align_inner(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS, min_over
     return both.withColumn("_n", enough).filter(F.col("_n") >= min_overlap).drop("_n")
 
 
+def common_dates(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Dates of a series that both sides have, each once."""
+    return a.select(*keys, "d").intersect(b.select(*keys, "d"))
+
+
 def overlap_rejects(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS, min_overlap: int = 20) -> DataFrame:
     """Series with too few common dates, with the count."""
     n = a.join(b.select(*keys, "d"), [*keys, "d"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("overlap"))
@@ -64,15 +68,31 @@ def extreme_jumps(df: DataFrame, sigmas: float = 8.0, min_returns: int = 30,
 
 
 def data_anomalies(df: DataFrame, sigmas: float = 8.0, min_run: int = 5,
-                   keys: Sequence[str] = KEYS) -> DataFrame:
-    """Typed anomalies of a close series: (series, kind, d, detail)."""
-
-    def typed(part: DataFrame, kind: str, d: Column, detail: Column) -> DataFrame:
-        return part.select(*keys, F.lit(kind).alias("kind"), d.alias("d"), detail.cast("double").alias("detail"))
-
-    bad = typed(df.filter(F.col("close") <= 0), "NON_POSITIVE_PRICE", F.col("d"), F.col("close"))
-    dup = typed(duplicate_dates(df, keys), "DUPLICATE_DATE", F.col("d"), F.col("extra_rows"))
-    jump = typed(extreme_jumps(df, sigmas, keys=keys), "EXTREME_JUMP", F.col("d"), F.col("log_r"))
-    runs = frozen_runs(df, min_run, keys)
-    frozen = typed(runs, "FROZEN_PRICE", F.coalesce("reported_d", "run_end"), F.col("run_days"))
-    return bad.unionByName(dup).unionByName(jump).unionByName(frozen)
+                   keys: Sequence[str] = KEYS, min_returns: int = 30) -> DataFrame:
+    """Typed anomalies of a close series: (series, kind, d, detail).
+
+    The input is read once: what each kind needs stands in windows over one
+    series (bounded by the calendar), and each row lists what it shows.
+    """
+    w = by_series(keys)
+    whole = Window.partitionBy(*keys)
+    same_day = w.rangeBetween(Window.currentRow, Window.currentRow)
+    rows = (df.select(*keys, "d", "close")
+            .withColumn("_r", log_return_col(w)).withColumn("_pos", F.row_number().over(w))
+            .withColumn("_flat", F.coalesce(F.col("close") == F.lag("close").over(w), F.lit(False)))
+            .withColumn("_next", F.lead("d").over(w)).withColumn("_extra", F.count(F.lit(1)).over(same_day) - 1)
+            .withColumn("_again", F.coalesce(F.lag("d").over(w) == F.col("d"), F.lit(False)))
+            .withColumn("_sd", F.stddev_samp("_r").over(whole)).withColumn("_n", F.count("_r").over(whole))
+            .withColumn("_run", F.col("_pos") - F.max(F.when(~F.col("_flat"), F.col("_pos"))).over(so_far(w)))
+            .withColumn("_ends", F.col("_flat") & ~F.coalesce(F.lead("_flat").over(w), F.lit(False))))
+
+    def shown(when: Column, kind: str, d: Column, detail: Column) -> Column:
+        return F.when(when, F.struct(F.lit(kind).alias("kind"), d.alias("d"), detail.cast("double").alias("detail")))
+
+    d = F.col("d")
+    kinds = F.array(
+        shown(F.col("close") <= 0, "NON_POSITIVE_PRICE", d, F.col("close")),
+        shown((F.col("_extra") > 0) & ~F.col("_again"), "DUPLICATE_DATE", d, F.col("_extra")),
+        shown((F.col("_n") > min_returns) & (F.abs("_r") > sigmas * F.col("_sd")), "EXTREME_JUMP", d, F.col("_r")),
+        shown(F.col("_ends") & (F.col("_run") >= min_run), "FROZEN_PRICE", F.coalesce("_next", "d"), F.col("_run")))
+    return rows.select(*keys, F.inline(F.array_compact(kinds)))

@@ -2,48 +2,37 @@
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from tidepanel.operators.running import join_null_safe, running_aggregates
 
-def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float = 0.5,
-                   accuracy: int = 10_000, out: str = "quantile") -> DataFrame:
-    """Linear-interpolation quantile per key, without gathering a group.
 
-    A mergeable sketch first brackets the wanted rank; its error is at most
-    ``n / accuracy`` ranks, so the bracket is drawn three times as wide.  Values
-    below the bracket are only counted, and values inside are counted per
-    distinct value before they are sorted: about ``6 n / accuracy`` of them.
-    The count below is exact, so the result does not depend on the sketch as
-    long as the rank lies inside; groups where it does not are sorted whole.
+def exact_quantiles(df: DataFrame, keys: Sequence[str], values: Mapping[str, str], p: float = 0.5,
+                    weight: str | None = None) -> DataFrame:
+    """Linear-interpolation quantiles per key, ``values`` being output to input column.
+
+    All columns are selected in one pass.  Equal values are counted first (with
+    ``weight``, a whole number, as often as it says); the counts are summed along
+    ranges of (key, column, value), so no group is gathered or sorted in one task,
+    and the two ranks around the wanted one are read off the sums.  NULL values
+    do not count; a key without any has NULL.
     """
-    keys = list(keys)
-    values = (df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-              .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
-    margin = 3.0 / accuracy
-    bounds = F.percentile_approx(value, [max(p - margin, 0.0), min(p + margin, 1.0)], accuracy)
-    bracket = (df.filter(F.col(value).isNotNull()).groupBy(*keys)
-               .agg(F.count(F.lit(1)).alias("_n"), bounds.alias("_b"),
-                    F.min(F.col(value).cast("double")).alias("_min"), F.max(F.col(value).cast("double")).alias("_max"))
-               .select(*keys, "_n",
-                       (F.lit(p) * (F.col("_n") - 1)).alias("_rank"),
-                       F.when(F.lit(p - margin <= 0), F.col("_min")).otherwise(F.col("_b")[0]).cast("double").alias("_lo"),
-                       F.when(F.lit(p + margin >= 1), F.col("_max")).otherwise(F.col("_b")[1]).cast("double").alias("_hi")))
-    placed = values.join(bracket, keys)
-    below = placed.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(F.col("_v") < F.col("_lo"), F.col("_c"))), F.lit(0)).alias("_below"),
-        F.coalesce(F.sum(F.when(F.col("_v") <= F.col("_hi"), F.col("_c"))), F.lit(0)).alias("_upto"))
-    missed = ((F.col("_below") > F.floor("_rank")) | (F.col("_upto") < F.ceil("_rank") + 1))
-    inside = (placed.join(below, keys).withColumn("_missed", missed)
-              .filter(F.col("_missed") | F.col("_v").between(F.col("_lo"), F.col("_hi"))))
-    w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    base = F.when(F.col("_missed"), F.lit(0)).otherwise(F.col("_below"))
-    inside = inside.withColumn("_last", base + F.sum("_c").over(w))
-    low, high = F.floor("_rank") + 1, F.ceil("_rank") + 1
-    picks = inside.groupBy(*keys).agg(
-        F.min(F.when(F.col("_last") >= low, F.col("_v"))).alias("_a"),
-        F.min(F.when(F.col("_last") >= high, F.col("_v"))).alias("_b"),
-        F.first("_rank").alias("_r"))
+    keys, state = list(keys), [*keys, "_column"]
+    long = F.inline(F.array(*[F.struct(F.lit(out).alias("_column"), F.col(c).cast("double").alias("_v")) for out, c in values.items()]))
+    counts = (df.select(*keys, (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"), long).filter("_v IS NOT NULL AND _w > 0")
+              .groupBy(*state, "_v").agg(F.sum("_w").alias("_c")))
+    ranked = running_aggregates(counts, state, ["_v"], {"_upto": ("sum", "_c")})
+    rank = F.lit(p) * (F.max("_upto") - 1)
+    wanted = ranked.groupBy(*state).agg(rank.alias("_rank"))
+
+    def first_at(rank_: str) -> Column:
+        return F.min(F.when(F.col("_upto") >= F.expr(rank_), F.col("_v")))
+
+    picks = (join_null_safe(ranked, wanted, state).groupBy(*state)
+             .agg(first_at("floor(_rank) + 1").alias("_a"), first_at("ceil(_rank) + 1").alias("_b"), F.first("_rank").alias("_r")))
     part = F.col("_r") - F.floor("_r")
-    return picks.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * part).alias(out))
+    found = picks.withColumn("_q", F.col("_a") + (F.col("_b") - F.col("_a")) * part)
+    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_column") == out, F.col("_q"))).alias(out) for out in values])
+    return join_null_safe(df.select(*keys).distinct(), wide, keys, "left")

@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidepanel.operators import backtest as bt
 from tidepanel.operators import event_study as ev
+from tidepanel.operators import fx
 from tidepanel.operators import inference as inf
+from tidepanel.operators import lineage as ln
 from tidepanel.operators import quality as ql
 from tidepanel.operators import rejects as rj
 from tidepanel.operators import signals as sg
 from tidepanel.operators.states import atr_stop
-from tidepanel.runtime import materialise
+from tidepanel.runtime import materialise, written
 from tidepanel.sources import dimensions as dm
 from tidepanel.sources.readers import accepted_only, drop_null_prices, history_gate
 
@@ -85,16 +87,70 @@ def comparison_verdict(comparison: DataFrame, passive: str = "buy_and_hold") ->
             .drop("_best", "_passive"))
 
 
+@dataclass(frozen=True)
+class Gates:
+    """What a series must pass before anything of it is reported, and where its events come from.
+
+    ``rates``: (ticker, d, rate) of series that were converted, with ``ratio_history``
+    (ticker, valid_from, ratio).  A rate that jumps at a ratio change is a split on
+    one side only; with ``strict`` its series is taken out, else it stays in section
+    ``rate``.  ``nodes`` (dataset_id, kind) and ``edges`` (child, parent): a series
+    whose dataset is synthetic or derives from one is taken out, or raises with
+    ``raise_tainted``.  ``issuers``: (ticker, issuer_ticker), whose events a series takes.
+    """
+
+    rates: DataFrame | None = None
+    ratio_history: DataFrame | None = None
+    strict: bool = True
+    nodes: DataFrame | None = None
+    edges: DataFrame | None = None
+    raise_tainted: bool = False
+    issuers: DataFrame | None = None
+
+
+def gate_series(closes: DataFrame, gates: Gates) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(sections ``rate`` and ``taint``, rejects) of the gates that are given.  The
+    rejects are written: every later section leaves their series out."""
+    spark = closes.sparkSession
+    sections: dict[str, DataFrame] = {}
+    rejects = spark.createDataFrame([], "stage string, series string, reason string, rows long")
+    if gates.rates is not None and gates.ratio_history is not None:
+        sections["rate"] = written(fx.rate_continuity(gates.rates, gates.ratio_history), "rate")
+        if gates.strict:
+            bad = sections["rate"].filter(~F.col("usable")).groupBy("ticker").agg(F.count(F.lit(1)).alias("rows"))
+            rejects = rejects.unionByName(bad.select(F.lit("rate").alias("stage"), F.col("ticker").alias("series"), F.lit("JUMP_AT_RATIO_CHANGE").alias("reason"), "rows"))
+    if gates.nodes is not None and gates.edges is not None:
+        series = closes.groupBy("ticker").agg(F.count(F.lit(1)).alias("rows")).withColumnRenamed("ticker", "dataset_id")
+        if gates.raise_tainted:
+            ln.assert_report_safe(gates.nodes, gates.edges, series)
+        sections["taint"] = series.join(ln.tainted(gates.nodes, gates.edges), "dataset_id", "left_semi").withColumnRenamed("dataset_id", "ticker")
+        rejects = rejects.unionByName(sections["taint"].select(F.lit("taint").alias("stage"), F.col("ticker").alias("series"), F.lit("SYNTHETIC_ANCESTOR").alias("reason"), "rows"))
+    return sections, written(rejects, "rejects")
+
+
+def events_of_issuers(events: DataFrame, issuers: DataFrame) -> DataFrame:
+    """Events under the ticker of every series that takes them; a series without an entry has its own."""
+    given = issuers.select(F.col("ticker").alias("_to"), F.col("issuer_ticker").alias("ticker"))
+    own = events.join(issuers.select("ticker"), "ticker", "left_anti")
+    taken = events.join(given, "ticker").drop("ticker").withColumnRenamed("_to", "ticker")
+    return own.unionByName(taken)
+
+
 def analyze_panel(panel: DataFrame, market: DataFrame, events: DataFrame,
-                  params: AnalysisParams = AnalysisParams(), secondary: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Gate, signals, stop, sizing, backtest, tests, folds and events, for all
+                  params: AnalysisParams = AnalysisParams(), secondary: DataFrame | None = None,
+                  gates: Gates = Gates()) -> dict[str, DataFrame]:
+    """Gates, signals, stop, sizing, backtest, tests, folds and events, for all
     series at once.  Returns one table per report section.
 
     Costs are those of each series' market unless ``params.one_way_cost`` is set.
     Every series is searched for anomalies and, with a ``secondary`` source,
-    reconciled; what cannot be computed is in ``rejects``.
+    reconciled; what cannot be computed is in ``rejects``, and a series that a gate
+    rejects is in no other section.  ``overfit`` takes the series that are left as
+    trials of one selection.
     """
     closes = drop_null_prices(panel)
+    extra, rejected = gate_series(closes, gates)
+    closes = closes.join(rejected.select(F.col("series").alias("ticker")).distinct(), "ticker", "left_anti")
     gate = history_gate(closes, params.min_rows)
     kept = accepted_only(closes, gate)
     signals = sg.vol_target_weight(sg.build_signals(kept, params.signals), params.target_vol)
@@ -111,8 +167,9 @@ def analyze_panel(panel: DataFrame, market: DataFrame, events: DataFrame,
     main = daily.filter("strategy = 'main'")
     folds, walk = bt.walk_forward(daily.filter("strategy = 'folds'"), params.folds)
     returns = ev.asset_and_market(kept, market)
-    effects = ev.event_results(events, returns, params.events)
-    return {
+    events = events if gates.issuers is None else events_of_issuers(events, gates.issuers)
+    effects = written(ev.event_results(events, returns, params.events), "events")  # two sections read them
+    return extra | {
         "gate": gate,
         "signals": sg.latest_signal(signals),
         "performance": bt.strategy_summary(main).drop("strategy"),
@@ -124,7 +181,8 @@ def analyze_panel(panel: DataFrame, market: DataFrame, events: DataFrame,
         "event_classes": ev.caar_by_category(effects),
         "anomalies": ql.data_anomalies(closes),
         "reconciliation": ql.reconcile(closes, secondary if secondary is not None else closes.limit(0)),
-        "rejects": rj.fold_rejects(daily.filter("strategy = 'folds'"), params.folds, keys=("ticker",)),
+        "overfit": inf.pbo(main.withColumn("selection", F.lit("all")), ["selection"], "ticker", "net", n_splits=8),
+        "rejects": rejected.unionByName(rj.fold_rejects(daily.filter("strategy = 'folds'"), params.folds, keys=("ticker",))),
     }
 
 

@@ -641,6 +641,43 @@ ORACLES["analyze_panel"] = pick("""(SELECT ticker, count(*) AS n_rows FROM bar G
                                 "compared_days=coalesce(compared, 0)", "days_over_tolerance=coalesce(off, 0)", "clean=coalesce(compared > 0 AND off = 0, false)", "anomalies=coalesce(odd, 0)")
 
 
+# --- prefixes, payloads, records, gates -------------------------------------------------------------
+CTES["prefix_grid"] = f"""SELECT ticker || '#' || k AS series, ticker, k, pos, size, n, d, close, CAST(close > avg(close) OVER (PARTITION BY ticker, k) AS DOUBLE) AS flag FROM (
+  SELECT *, (n - 252) // 4 AS size FROM (SELECT ticker, d, close, row_number() OVER ({BY}) - 1 AS pos, count(*) OVER (PARTITION BY ticker) AS n FROM bar)), range(0, 5) p(k)
+  WHERE n >= 336 AND pos < CASE WHEN k = 4 THEN n ELSE 252 + k * size END"""
+backtest_ctes("prefix_bt", "prefix_grid", "series")
+_s = lambda c: f"CASE WHEN max(net) FILTER ({c}) > min(net) FILTER ({c}) THEN avg(net) FILTER ({c}) / stddev_samp(net) FILTER ({c}) * sqrt(252) END"
+CTES["prefix_part"] = f"""SELECT ticker, k, min(d) AS d0, max(d) AS d1, {_s('true')} AS sharpe_is, min(d) FILTER (judged) AS t0, max(d) FILTER (judged) AS t1, CASE WHEN count(*) FILTER (judged) > 30 THEN {_s('judged')} END AS sharpe_oos,
+  exp(sum(ln(1 + net)) FILTER (judged)) - 1 AS return_oos FROM (SELECT *, k > 0 AND pos >= 252 + (k - 1) * size AS judged FROM prefix_bt) GROUP BY ticker, k"""
+CTES["prefix_fold"] = """SELECT a.ticker, a.k + 1 AS fold, a.d0 AS train_from, a.d1 AS train_to, b.t0 AS test_from, b.t1 AS test_to, a.sharpe_is, b.sharpe_oos, b.return_oos
+  FROM prefix_part a JOIN prefix_part b ON a.ticker = b.ticker AND b.k = a.k + 1"""
+ORACLES["walk_forward_plugin"] = pick("prefix_fold", "ticker", "fold", "train_from", "train_to", "test_from", "test_to", "~sharpe_is", "~sharpe_oos", "~return_oos")
+CTES["prefix_walk"] = f"""SELECT *, CASE WHEN is_sharpe_mean <> 0 THEN (oos_sharpe - is_sharpe_mean) / abs(is_sharpe_mean) END AS degradation FROM (SELECT ticker, {_s('k > 0 AND pos >= 252 + (k - 1) * size')} AS oos_sharpe FROM prefix_bt GROUP BY ticker)
+  JOIN (SELECT ticker, avg(sharpe_is) AS is_sharpe_mean FROM prefix_fold GROUP BY ticker) USING (ticker)"""
+ORACLES["walk_forward_plugin_summary"] = pick("prefix_walk", "ticker", "folds=4", "~oos_sharpe", "~is_sharpe_mean", "~degradation",
+                                              "reading=CASE WHEN degradation < -0.5 THEN 'COLLAPSES_OUT_OF_SAMPLE' WHEN oos_sharpe <= 0 THEN 'NO_RETURN_OUT_OF_SAMPLE' ELSE 'HOLDS_OUT_OF_SAMPLE' END")
+_damage = "CASE {0} % 7 WHEN 0 THEN 'MALFORMED' WHEN 1 THEN 'NO_RECORDS' WHEN 2 THEN 'EMPTY_BODY' WHEN 3 THEN 'EMPTY_BODY' END"
+ORACLES["payload_rejects"] = f"""SELECT 'filings' AS stage, o_orderpriority AS series, {_damage.format('o_custkey')} AS reason, count(*) AS rows FROM orders WHERE o_custkey % 7 < 4 GROUP BY ALL
+  UNION ALL SELECT 'index', 'index', {_damage.format('y')}, count(*) FROM (SELECT DISTINCT year(month) AS y FROM cpi) WHERE y % 7 < 4 GROUP BY ALL
+  UNION ALL SELECT 'issuers', 'issuers', CASE s_suppkey % 7 WHEN 0 THEN 'MALFORMED' WHEN 1 THEN 'MALFORMED' ELSE 'EMPTY_BODY' END, count(*) FROM supplier WHERE s_suppkey % 7 < 4 GROUP BY ALL"""
+ORACLES["load_filings_beside_rejects"] = """SELECT o_orderpriority AS ticker, f.form AS raw_form, count(*) AS filings, count(DISTINCT o_orderkey) AS urls
+  FROM orders, (VALUES ('8-K'), ('6-K')) f(form) WHERE o_custkey % 7 >= 4 AND o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY ALL"""
+ORACLES["load_bars_bucketed"] = ORACLES["load_bars"]
+_sum = lambda *columns: f"CAST(sum(CAST(('0x' || substr(md5(concat_ws('|', {', '.join(f'CAST({c} AS VARCHAR)' for c in columns)})), 1, 15))::UBIGINT AS HUGEINT)) AS VARCHAR)"
+_bar_hash = _sum("ticker", "d", *[f"CAST(round({c} * 10000) AS BIGINT)" for c in ("open", "high", "low", "close")], "CAST(volume AS BIGINT)")
+_return_hash = _sum("ticker", "d", "CAST(round(r * 1000000) AS BIGINT)")
+ORACLES["recorded_sections"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS dataset_id, '{kind}' AS kind, count(*) AS rows, min(d) AS first_obs, max(d) AS last_obs, {digest} AS content_hash, '{parents}' AS parents FROM {source}"
+    for name, kind, digest, parents, source in (("bars", "observed", _bar_hash, "", "bar"), ("returns", "derived", _return_hash, "bars", "ret"),
+                                                ("stress", "synthetic", _bar_hash, "bars", "bar WHERE volume >= 120"), ("stress_returns", "synthetic", _return_hash, "stress,returns", "ret WHERE r < 0")))
+CTES["gated"] = "SELECT 'all' AS selection, ticker, d, net FROM sized WHERE ticker NOT IN ('2-HIGH', '5-LOW')"
+cscv_ctes("cvg", "gated", "selection", "ticker", "net", 8)
+ORACLES["analysis_gates"] = """SELECT 'rate' AS stage, '2-HIGH' AS series, 'JUMP_AT_RATIO_CHANGE' AS reason, 1 AS rows UNION ALL SELECT 'taint', '5-LOW', 'SYNTHETIC_ANCESTOR', count(*) FROM bar WHERE ticker = '5-LOW'
+  UNION ALL SELECT 'performance', ticker, 'KEPT', count(*) FROM bar WHERE ticker NOT IN ('2-HIGH', '5-LOW') GROUP BY ticker
+  UNION ALL SELECT 'events', ticker, 'MEASURED', count(car) FROM result WHERE ticker NOT IN ('2-HIGH', '5-LOW', '3-MEDIUM') GROUP BY ticker
+  UNION ALL SELECT 'events', '3-MEDIUM', 'MEASURED', count(car) FROM (SELECT event_date FROM occurrence WHERE ticker = '1-URGENT') e ASOF JOIN (SELECT * FROM effect WHERE ticker = '3-MEDIUM') m ON e.event_date <= m.anchor_d
+  UNION ALL SELECT 'overfit', g, pbo_verdict, n_combinations FROM cvg_pbo"""
+
 # --- what could not be computed ---------------------------------------------------------------
 CTES["month_dates"] = """SELECT m, any_value(t) AS t, count(*) FILTER (have = t) AS dates FROM (SELECT m, d, count(r) AS have FROM (SELECT *, CAST(date_trunc('month', d) AS DATE) AS m FROM ret) GROUP BY m, d)
   JOIN (SELECT CAST(date_trunc('month', d) AS DATE) AS m, count(DISTINCT ticker) AS t FROM ret GROUP BY 1) USING (m) GROUP BY m"""

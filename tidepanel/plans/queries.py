@@ -6,10 +6,12 @@ for output only.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tidepanel.functions import dates as dt
 from tidepanel.functions import numeric as nm
 from tidepanel.functions import probability as pr
 from tidepanel.functions import text as tx
@@ -27,7 +29,7 @@ from tidepanel.operators import states as st
 from tidepanel.operators import universe as un
 from tidepanel.plans import analysis as an
 from tidepanel.plans import panel as pn
-from tidepanel.runtime import scratch_path
+from tidepanel.runtime import scratch_path, written
 from tidepanel.sources import dimensions as dm
 from tidepanel.sources import readers as rd
 from tidepanel.sources import sinks as sk
@@ -142,12 +144,40 @@ def load_filings(spark, sf_dir):
     return rd.parse_filings(filing_payloads(spark, sf_dir), "1996-01-01")
 
 
-@query("resolve_issuer_ids")
-def resolve_issuer_ids(spark, sf_dir):
+def damaged(payloads, id_column):
+    """Payloads of which some are cut off, hold no records, are blank or missing."""
+    body, turn = F.col("body"), F.col(id_column) % 7
+    return payloads.withColumn("body", F.when(turn == 0, F.substring("body", 1, 20)).when(turn == 1, F.lit('{"filings": {}, "other": 1}')).when(turn == 2, F.lit(" "))
+                               .when(turn == 3, F.lit(None)).otherwise(body))
+
+
+@query("payload_rejects")
+def payload_rejects(spark, sf_dir):
+    """Feeds, index payloads and issuer maps without records, and why."""
+    feeds = damaged(filing_payloads(spark, sf_dir), "cik")
+    index = damaged(index_payloads(spark, sf_dir), "y").withColumn("series", F.lit("index"))
+    issuers = damaged(issuer_payloads(spark, sf_dir), "s_suppkey").withColumn("series", F.lit("issuers"))
+    return (rd.payload_rejects(feeds, "filings").unionByName(rd.payload_rejects(index, "index", ("series",)))
+            .unionByName(rd.payload_rejects(issuers, "issuers", ("series",))))
+
+
+@query("load_filings_beside_rejects")
+def load_filings_beside_rejects(spark, sf_dir):
+    """What is left of damaged feeds: every payload that parses, and no other."""
+    found = rd.parse_filings(damaged(filing_payloads(spark, sf_dir), "cik"), "1996-01-01")
+    return found.groupBy("ticker", "raw_form").agg(F.count(F.lit(1)).alias("filings"), F.countDistinct("url").alias("urls"))
+
+
+def issuer_payloads(spark, sf_dir):
     entry = F.to_json(F.create_map(F.lit("0"), F.struct(
         F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("ticker"),
         (F.col("s_suppkey") + 1000).cast("string").alias("cik_str"))))
-    issuers = rd.parse_issuers(pn.table(spark, sf_dir, "supplier").select(entry.alias("body")))
+    return pn.table(spark, sf_dir, "supplier").select("s_suppkey", entry.alias("body"))
+
+
+@query("resolve_issuer_ids")
+def resolve_issuer_ids(spark, sf_dir):
+    issuers = rd.parse_issuers(issuer_payloads(spark, sf_dir))
     tickers = pn.table(spark, sf_dir, "customer").select(F.concat(F.lit("S"), F.col("c_custkey").cast("string"), F.lit(".ba")).alias("ticker"))
     return rd.resolve_issuers(tickers, issuers)
 
@@ -665,15 +695,12 @@ def sort_by_date(spark, sf_dir):
 
 @on_bars("union_oos")
 def union_oos(b):
-    """Pooled out-of-sample rows: everything after the first training window."""
-    p = strategy_panel(b).withColumn("pos", F.row_number().over(nm.by_series(("ticker", "strategy"))) - 1)
-    return tidy(p.filter("pos >= 252"), "ticker", "strategy", "d", "net")
+    return tidy(bt.out_of_sample(strategy_panel(b)), "ticker", "strategy", "d", "net")
 
 
 @on_bars("intersect_dates")
 def intersect_dates(b):
-    quiet = b.filter("volume < 150").select("ticker", "d")
-    return quiet.intersect(b.filter("close > open").select("ticker", "d"))
+    return ql.common_dates(b.filter("volume < 150"), b.filter("close > open"))
 
 
 @on_bars("complement_blocks")
@@ -739,10 +766,9 @@ def scalar_functions(b):
 @query("date_functions")
 def date_functions(spark, sf_dir):
     o = pn.table(spark, sf_dir, "orders")
-    d = F.to_date(F.date_format("o_orderdate", "yyyy-MM-dd"), "yyyy-MM-dd")
-    return o.select("o_orderkey", d.alias("d"), F.to_date(F.trunc("o_orderdate", "MM")).alias("month_start"), F.year(d).alias("y"),
-                    ((F.month(d) == 12) & (F.dayofmonth(d) >= 28)).alias("year_end"),
-                    F.datediff(d, F.lit("1995-01-01").cast("date")).alias("days"), F.next_day(F.date_sub(d, 1), "FRI").alias("week"))
+    d = dt.parse_day(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return o.select("o_orderkey", d.alias("d"), dt.month_start("o_orderdate").alias("month_start"), F.year(d).alias("y"), dt.is_year_end(d).alias("year_end"),
+                    dt.days_since(d, "1995-01-01").alias("days"), bt.rebalance_bucket("W-FRI", d).alias("week"))
 
 
 @query("classify_filing")
@@ -773,13 +799,12 @@ def json_functions(spark, sf_dir):
 def array_functions(b):
     """Positions of a three-row window that wraps around its year."""
     y = b.groupBy("ticker", F.year("d").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.max(F.dayofyear("d")).alias("last"))
-    idx = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: ((F.col("last") + i) % F.col("n")).cast("int"))
-    return y.select("ticker", "y", F.posexplode(idx).alias("k", "position"))
+    return y.select("ticker", "y", F.posexplode(inf.wrapped_positions(F.col("last"), 3, F.col("n"))).alias("k", "position"))
 
 
 @on_bars("verdicts")
 def verdicts(b):
-    p = strategy_panel(b)
+    p = written(strategy_panel(b), "panel")  # three results read it
     a = inf.sharpe_assessment(p, 3).withColumn("track_record", inf.track_record_verdict())
     _, walk = bt.walk_forward(p)
     over = inf.pbo(p, ["ticker"]).select("ticker", "pbo_verdict")
@@ -910,6 +935,21 @@ def walk_forward_summary(b):
     return tidy(summary)
 
 
+@on_bars("walk_forward_plugin")
+def walk_forward_plugin(b):
+    """A builder that looks ahead: invested above the mean of all the history it is given."""
+    mean = F.avg("close").over(Window.partitionBy("ticker"))
+    folds, _ = bt.walk_forward_builder(b, lambda df: df.withColumn("flag", (F.col("close") > mean).cast("double")), dm.US_EQUITY.one_way)
+    return tidy(folds)
+
+
+@on_bars("walk_forward_plugin_summary")
+def walk_forward_plugin_summary(b):
+    mean = F.avg("close").over(Window.partitionBy("ticker"))
+    _, summary = bt.walk_forward_builder(b, lambda df: df.withColumn("flag", (F.col("close") > mean).cast("double")), dm.US_EQUITY.one_way)
+    return tidy(summary)
+
+
 @on_bars("stationary_bootstrap")
 def stationary_bootstrap(b):
     """Shape and sum of every replicate of the asset returns."""
@@ -1026,8 +1066,52 @@ def write_results(spark, sf_dir):
     return tidy(spark.read.parquet(f"{path}/performance"), "ticker", "strategy", "trades", "net_return", "sharpe")
 
 
+@query("load_bars_bucketed")
+def load_bars_bucketed(spark, sf_dir):
+    """Bars written as a table in buckets of series, and read from it."""
+    table = f"bars_{uuid.uuid4().hex}"
+    sk.write_bucketed(pn.bars(spark, sf_dir), table)
+    return tidy(rd.read_bucketed(spark, table), "ticker", "d", *rd.OHLCV)
+
+
+@query("recorded_sections")
+def recorded_sections(spark, sf_dir):
+    """Birth certificates of sections, taken while they are written; what derives from a synthetic one is synthetic."""
+    b = written(pn.bars(spark, sf_dir), "bars")
+    returns = ind.simple_returns(b)
+    micro = F.round(F.col("r") * 1_000_000).cast("long")
+    records = sk.write_recorded({
+        "bars": sk.Section(b, [F.col("ticker"), *_bar_digest()], kind=ln.OBSERVED),
+        "returns": sk.Section(returns, [F.col("ticker"), F.col("d"), micro], ["bars"]),
+        "stress": sk.Section(b.filter("volume >= 120"), [F.col("ticker"), *_bar_digest()], ["bars"], ln.SYNTHETIC),
+        "stress_returns": sk.Section(returns.filter("r < 0"), [F.col("ticker"), F.col("d"), micro], ["stress", "returns"]),
+    }, scratch_path(spark, "sections"))
+    kinds = ln.derived_kind(records, ln.edges_of(records))
+    return kinds.select("dataset_id", "kind", "rows", "first_obs", "last_obs", "content_hash", F.array_join("parents", ",").alias("parents"))
+
+
 # --- what could not be computed ---------------------------------------------------------------
 
+@query("analysis_gates")
+def analysis_gates(spark, sf_dir):
+    """A whole run in which one series has a split on one side only, one is synthetic, and one takes another one's events."""
+    b = pn.bars(spark, sf_dir)
+    wrong = fx.implied_rate(*_pair(b.filter("ticker = '2-HIGH'"), "local_raw"), _ratio_history(b))
+    rates = _rates(b).filter("ticker <> '2-HIGH'").unionByName(wrong)
+    tickers = b.select("ticker").distinct()
+    edges = tickers.select(F.col("ticker").alias("child"), F.concat(F.lit("vendor of "), "ticker").alias("parent"))
+    nodes = edges.select(F.col("parent").alias("dataset_id"), F.when(F.col("child") == "5-LOW", ln.SYNTHETIC).otherwise(ln.OBSERVED).alias("kind"))
+    issuers = tickers.filter("ticker = '3-MEDIUM'").select("ticker", F.lit("1-URGENT").alias("issuer_ticker"))
+    sections = an.analyze_panel(b, pn.market_returns(b), pn.corporate_events(spark, sf_dir),
+                                gates=an.Gates(rates=rates, ratio_history=_ratio_history(b), nodes=nodes, edges=edges, issuers=issuers))
+    line = lambda df, stage, series, reason, rows: df.select(F.lit(stage).alias("stage"), series.alias("series"), reason.alias("reason"), rows.cast("long").alias("rows"))
+    measured = sections["events"].groupBy("ticker").agg(F.count("car").alias("n"))
+    return (sections["rejects"]
+            .unionByName(line(sections["performance"], "performance", F.col("ticker"), F.lit("KEPT"), F.col("n_rows")))
+            .unionByName(line(measured.filter("n > 0"), "events", F.col("ticker"), F.lit("MEASURED"), F.col("n")))
+            .unionByName(line(sections["overfit"], "overfit", F.col("selection"), F.col("pbo_verdict"), F.col("n_combinations"))))
+
+
 @query("rejects")
 def rejects(spark, sf_dir):
     """Months and years that are too short, series without a rate or a partner."""

@@ -11,12 +11,14 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidepanel.functions.dates import parse_day
 from tidepanel.functions.numeric import nan_to_null
 from tidepanel.functions.text import classify_filing, clean_symbol, root_symbol
 from tidepanel.operators.lineage import MissingDataError
 from tidepanel.sources import schemas
 
 OHLCV = ("open", "high", "low", "close", "volume")
+CORRUPT = "_corrupt"
 
 
 # --- gates ---------------------------------------------------------------------
@@ -90,6 +92,11 @@ def split_dividends(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return prices, paid.filter("per_share > 0")
 
 
+def read_bucketed(spark: SparkSession, table: str) -> DataFrame:
+    """A table of :func:`tidepanel.sources.sinks.write_bucketed`: windows and joins by its keys need no exchange."""
+    return spark.table(table)
+
+
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.BARS).parquet(path)
 
@@ -139,14 +146,45 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
+def _filings_of(body: str) -> Column:
+    """The payload, with its text in the corrupt field if it does not parse."""
+    return F.from_json(body, f"{schemas.FILINGS}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT})
+
+
+def payload_rejects(payloads: DataFrame, stage: str, keys: Sequence[str] = ("ticker",), body: str = "body") -> DataFrame:
+    """Payloads that give no rows, and why: (stage, series, reason, rows), one row per series and reason.
+
+    ``stage`` is ``filings``, ``index`` or ``issuers``.  A payload is EMPTY_BODY
+    (NULL or blank), MALFORMED (no JSON of the expected shape) or NO_RECORDS (the
+    list of records is missing).  All others are parsed, each by itself.
+    """
+    empty = F.trim(F.coalesce(F.col(body), F.lit(""))) == ""
+    if stage == "filings":
+        parsed = once(_filings_of(body))
+        broken, none = F.col("_p").isNull() | F.col(f"_p.{CORRUPT}").isNotNull(), F.col("_p.filings.recent").isNull()
+    elif stage == "index":
+        parsed = once(F.from_json(body, f"{schemas.MONTHLY_INDEX}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT}))
+        broken, none = F.col("_p").isNull() | F.col(f"_p.{CORRUPT}").isNotNull(), F.col("_p.data").isNull()
+    elif stage == "issuers":
+        parsed = once(F.from_json(body, schemas.ISSUERS))  # a map has no field for corrupt text: it is NULL as a whole
+        broken, none = F.col("_p").isNull(), F.size("_p") == 0
+    else:
+        raise ValueError(f"unknown stage {stage!r}")
+    reason = F.when(empty, "EMPTY_BODY").when(broken, "MALFORMED").when(none, "NO_RECORDS")
+    series = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
+    bad = payloads.withColumn("_p", parsed).select(series.alias("series"), reason.alias("reason")).filter("reason IS NOT NULL")
+    return bad.groupBy(F.lit(stage).alias("stage"), "series", "reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def parse_filings(payloads: DataFrame, since: str, forms: Sequence[str] = ("8-K", "6-K"),
                   body: str = "body") -> DataFrame:
     """Parallel arrays to one row per filing of the wanted forms.
 
     ``payloads``: ticker, cik and the JSON body.  Arrays are zipped to the
-    shortest of the required ones; missing items are empty.
+    shortest of the required ones; missing items are empty.  Payloads without
+    records are listed by :func:`payload_rejects`.
     """
-    recent = once(F.from_json(body, schemas.FILINGS)["filings"]["recent"])
+    recent = once(_filings_of(body)["filings"]["recent"])
     named = ("form", "filingDate", "accessionNumber", "primaryDocument")
     opened = payloads.withColumn("_f", recent)
     shortest = F.least(*[F.size(F.coalesce(F.col(f"_f.{c}"), F.array().cast("array<string>"))) for c in named])
@@ -154,7 +192,7 @@ def parse_filings(payloads: DataFrame, since: str, forms: Sequence[str] = ("8-K"
     shortest = F.least(shortest, F.size(items))
     zipped = F.slice(F.arrays_zip(*[F.col(f"_f.{c}").alias(c) for c in named], items.alias("items")), 1, shortest)
     rows = opened.select("ticker", "cik", F.inline(zipped))
-    rows = rows.filter(F.col("form").isin(*forms)).withColumn("event_date", F.to_date("filingDate"))
+    rows = rows.filter(F.col("form").isin(*forms)).withColumn("event_date", parse_day("filingDate"))
     rows = rows.filter(F.col("event_date") >= F.lit(since).cast("date"))
     text = F.coalesce("items", F.lit(""))
     return rows.select(
@@ -166,9 +204,12 @@ def parse_filings(payloads: DataFrame, since: str, forms: Sequence[str] = ("8-K"
 
 
 def read_filings(spark: SparkSession, path: str, ticker: str, cik: int, since: str,
-                 forms: Sequence[str] = ("8-K", "6-K")) -> DataFrame:
+                 forms: Sequence[str] = ("8-K", "6-K"), strict: bool = True) -> DataFrame:
+    """Filings of one issuer; in strict mode a payload without records aborts the load."""
     body = spark.read.text(path, wholetext=True).select(
         F.lit(ticker).alias("ticker"), F.lit(cik).alias("cik"), F.col("value").alias("body"))
+    if strict:
+        require_empty(payload_rejects(body, "filings"), "payloads without filings")
     return parse_filings(body, since, forms)
 
 
