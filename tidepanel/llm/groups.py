@@ -9,8 +9,9 @@
    order that all sets share keeps the join exact. A token's place in that order tells how much a set can still share
    behind it, and so how large a partner may be; it is entered for the bands of sizes that its place allows only. Passages
    that many otherwise different texts hold come behind their own tokens and are entered for no band at all.
-4. A node's tokens that occur in other groups are counted per group; groups below the count that a link needs stay
-   closed. Members of the others that share enough tokens are verified on the whole texts.
+4. A node opens the groups that hold one of its leading tokens for its band of sizes, and all others stay closed: the sets
+   there cannot overlap enough. Members of groups that have opened each other, by a token that the places and sizes of
+   both allow, are verified on the whole texts.
 
 Every pair of linked sets is verified directly, or both of its ends are already in one group.
 """
@@ -31,8 +32,6 @@ WORDS = 5
 #: Similarity of a link, in fifths: 4 / 5.
 FIFTHS = 4
 MARKS = 6
-#: Tokens that a pair must share among the leading ones. More would need longer lists, in which more sets meet.
-DEPTH = 1
 #: Sizes up to this are bands of their own, above it a band is so many per cent wide.
 EXACT_SIZES, BAND_WIDTH = 50, 1.02
 SLOT_BITS = 22
@@ -218,7 +217,7 @@ def leading_tokens(docs: DataFrame, levels: np.ndarray, text: str) -> DataFrame:
                 filled = np.flatnonzero(np.diff(at))
                 size = np.diff(at)[filled]
                 least = -(-size * FIFTHS // 5)
-                kept = size - least + np.minimum(least, DEPTH)
+                kept = size - least + 1
                 # stable by level within a text: tokens are ascending already
                 owner = np.repeat(np.arange(len(filled)), size)
                 order = np.argsort(owner * 256 + level, kind="stable")
@@ -235,16 +234,10 @@ def _sizes_fit(a: str, b: str) -> F.Column:
     return (F.col(a) * 5 >= F.col(b) * FIFTHS) & (F.col(b) * 5 >= F.col(a) * FIFTHS)
 
 
-def _common(size: F.Column, other: F.Column) -> F.Column:
-    """Tokens that linked sets of these sizes share at least."""
-    return F.ceil((size + other) * FIFTHS / (FIFTHS + 5))
-
-
 def _largest(size: F.Column, place: F.Column) -> F.Column:
-    """Size of the largest partner of which the token at this place (from 0) can still be the ``DEPTH``-th shared one: not
-    more than the tokens behind it can follow."""
-    most = size - place - 1 + DEPTH
-    return F.least(F.floor(size * 5 / FIFTHS), F.floor(most * (FIFTHS + 5) / FIFTHS) - size)
+    """Size of the largest partner of which the token at this place (from 0) can still be the first shared one: not more
+    than the tokens behind it can follow, and a link needs 4 / 9 of both sizes in common."""
+    return F.least(F.floor(size * 5 / FIFTHS), F.floor((size - place) * (FIFTHS + 5) / FIFTHS) - size)
 
 
 def _band(size: F.Column) -> F.Column:
@@ -298,24 +291,19 @@ def matrix_cells(lead: DataFrame) -> DataFrame:
 
 
 def open_groups(cells: DataFrame) -> DataFrame:
-    """Pairs (node, other): groups with members of one band of sizes that share as many leading tokens with the node as a
-    link needs."""
-    matrix = cells.groupBy("token", "group", "band", "facing").agg(F.min("size").alias("least"))
-    matrix = matrix.select("token", F.col("group").alias("other"), F.col("facing").alias("band"), F.col("band").alias("facing"), "least")
-    seen = cells.join(matrix, ["token", "band", "facing"]).filter("group <> other")
-    return (seen.groupBy("node", "other", "size", "facing").agg(F.count("*").alias("shared"), F.min("least").alias("least"))
-            .filter(F.col("shared") >= F.least(F.lit(DEPTH), _common(F.col("size"), F.col("least")))).select("node", "other").distinct())
-
-
-def facing_pairs(cells: DataFrame, opened: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes whose groups have opened each other and which share enough leading tokens for their sizes."""
-    sides = cells.join(opened, "node")
-    first = sides.select("token", "band", "facing", F.col("node").alias("a"), "size", "largest", F.col("group").alias("of_a"), F.col("other").alias("of_b"))
-    last = sides.select("token", F.col("facing").alias("band"), F.col("band").alias("facing"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("largest").alias("largest_b"),
-                        F.col("group").alias("of_b"), F.col("other").alias("of_a"))
-    pairs = first.join(last, ["token", "band", "facing", "of_a", "of_b"]).filter("a < b and size_b <= largest and size <= largest_b").filter(_sizes_fit("size", "size_b"))
-    return (pairs.groupBy("a", "b", "size", "size_b").agg(F.count("*").alias("shared"))
-            .filter(F.col("shared") >= F.least(F.lit(DEPTH), _common(F.col("size"), F.col("size_b")))).select("a", "b"))
+    """The cells of nodes with the groups (``other``) that they open: those with a member in the facing band of sizes that
+    holds the token for the node's own band."""
+    matrix = cells.select("token", F.col("group").alias("other"), F.col("facing").alias("band"), F.col("band").alias("facing")).distinct()
+    return cells.join(matrix, ["token", "band", "facing"]).filter("group <> other")
+
+
+def facing_pairs(opened: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose groups have opened each other by one token, for their sizes."""
+    first = opened.select("token", "band", "facing", F.col("node").alias("a"), "size", "largest", F.col("group").alias("of_a"), F.col("other").alias("of_b"))
+    last = opened.select("token", F.col("facing").alias("band"), F.col("band").alias("facing"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("largest").alias("largest_b"),
+                         F.col("group").alias("of_b"), F.col("other").alias("of_a"))
+    both = first.join(last, ["token", "band", "facing", "of_a", "of_b"]).filter("a < b and size_b <= largest and size <= largest_b")
+    return both.filter(_sizes_fit("size", "size_b")).select("a", "b").distinct()
 
 
 def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -348,7 +336,7 @@ def link_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     lead = lead.join(_small(groups), "node", "left").withColumn("group", F.coalesce("component", "node"))
     cells = stored(matrix_cells(lead), "cells")
     opened = stored(open_groups(cells), "opened")
-    second = stored(facing_pairs(cells, opened), "pairs")
+    second = stored(facing_pairs(opened), "pairs")
     more = stored(verify(second, source, nodes, "text"), "links")
     if not more.isEmpty():
         groups = components(links.union(more))
