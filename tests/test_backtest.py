@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from helpers import business_days, ohlcv_frame, ordered, price_frame, random_closes
 from tidepanel.operators import backtest as bt
@@ -101,6 +101,42 @@ def test_walk_forward_equals_separate_runs(spark, closes):
     assert summary.first().folds == 4
 
 
+def above_mean(df):
+    """Looks ahead: the mean is that of the whole history it is given."""
+    return df.withColumn("flag", (F.col("close") > F.avg("close").over(Window.partitionBy("ticker"))).cast("double"))
+
+
+def test_folds_of_a_builder_that_looks_ahead(spark, closes):
+    """Each fold is what a run on its own history gives; the whole history would give something else."""
+    two = closes.filter("ticker IN ('A', 'B')")
+    folds, summary = bt.walk_forward_builder(two, above_mean)
+    length, days = {"A": 800, "B": 700}, business_days(800)
+    rows = {(r.ticker, r.fold): r for r in folds.collect()}
+    assert len(rows) == 8
+    for (ticker, fold), r in rows.items():
+        size = (length[ticker] - 252) // 4
+        begin = 252 + (fold - 1) * size
+        end = begin + size if fold < 4 else length[ticker]
+        known = lambda n: closes.filter((F.col("ticker") == ticker) & (F.col("d") <= F.lit(days[n - 1])))
+        train = bt.run_backtest(above_mean(known(begin)), keys=("ticker",))
+        tested = bt.run_backtest(above_mean(known(end)), keys=("ticker",)).filter(F.col("d") >= F.lit(days[begin]))
+        assert (r.train_to, r.test_from, r.test_to) == (days[begin - 1], days[begin], days[end - 1])
+        near = lambda df: (lambda x: None if x is None else pytest.approx(x, rel=1e-9))(df.agg(bt.sharpe_agg("net").alias("s")).first().s)
+        assert (r.sharpe_is, r.sharpe_oos) == (near(train), near(tested))
+    causal, _ = bt.walk_forward(bt.run_backtest(above_mean(two), keys=("ticker",)), keys=("ticker",))
+    assert any(abs((r.sharpe_is or 0) - (rows[(r.ticker, r.fold)].sharpe_is or 0)) > 1e-3 for r in causal.collect())
+    assert {r.folds for r in summary.collect()} == {4}
+
+
+def test_builder_folds_equal_the_one_pass_of_a_causal_flag(spark, closes):
+    build = lambda df: sg.momentum_trend(df)
+    one, one_sum = bt.walk_forward(bt.run_backtest(build(closes), keys=("ticker",)), keys=("ticker",))
+    many, many_sum = bt.walk_forward_builder(closes, build)
+    near = lambda x: None if x is None else pytest.approx(x, rel=1e-9, abs=1e-12)
+    assert [tuple(map(lambda v: near(v) if isinstance(v, float) else v, r)) for r in one.orderBy("ticker", "fold").collect()] == [tuple(r) for r in many.orderBy("ticker", "fold").collect()]
+    assert {r.ticker: near(r.oos_sharpe) for r in one_sum.collect()} == {r.ticker: r.oos_sharpe for r in many_sum.collect()}
+
+
 def test_short_series_has_no_folds(spark):
     df = price_frame(spark, {"S": random_closes(300, 3)})
     folds, summary = bt.walk_forward(bt.run_backtest(sg.strategy_grid(df)))
@@ -119,6 +155,5 @@ def test_rank_averages_ties(spark):
     up = np.linspace(100, 200, 300)
     df = price_frame(spark, {"A": up, "B": up, "C": np.linspace(100, 90, 300), "D": np.linspace(100, 400, 300)})
     last = business_days(300)[-1]
-    for width in (10.0, 0.001):
-        got = {r.ticker: r.momentum_rank for r in ind.momentum_rank(df, width=width).filter(F.col("d") == F.lit(last)).collect()}
-        assert got == {"A": 0.625, "B": 0.625, "C": 0.25, "D": 1.0}
+    got = {r.ticker: r.momentum_rank for r in ind.momentum_rank(df).filter(F.col("d") == F.lit(last)).collect()}
+    assert got == {"A": 0.625, "B": 0.625, "C": 0.25, "D": 1.0}

@@ -80,7 +80,7 @@ def test_bootstrap_equals_row_by_row_resampling(spark):
     r = np.random.default_rng(3).normal(0.001, 0.01, 333)
     df = trials_frame(spark, r[:, None])
     samples = brute_bootstrap(r, "g|t000", 60)
-    reps = {x.b: x for x in inf.bootstrap_replicates(df, replicates=60, batches=7).collect()}
+    reps = {x.b: x for x in inf.bootstrap_replicates(df, replicates=60).collect()}
     assert len(reps) == 60
     for b, s in enumerate(samples, 1):
         assert reps[b].rows_drawn == 333

@@ -94,7 +94,7 @@ def test_an_account_without_a_name_is_an_account(spark):
 def test_the_ledger_is_read_once(spark, sf_dir):
     covered = lg.covered_trades(pn.ledger_trades(spark, sf_dir))
     plan = lg.realized_gains(covered, lg.fifo_match(covered), 0.15)._jdf.queryExecution().executedPlan().toString()
-    assert "lineitem" not in plan and plan.count("FileScan") <= 3  # the written scan: sales, and lots with their states
+    assert "lineitem" not in plan and plan.count("FileScan") <= 4, plan  # the written rows and few offsets, for sales and for lots
 
 
 def test_two_lots(spark):

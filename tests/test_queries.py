@@ -7,7 +7,10 @@ from tidepanel.plans.queries import QUERIES, strategy_panel
 
 # These start jobs while the plan is built (checkpoints, files).
 EAGER = {"lineage", "lineage_union", "contamination_gate", "write_lineage", "write_results", "regime_medians",
-         "compare_strategies", "comparison_verdict", "analyze_panel", "fifo_match", "realized_gains"}
+         "compare_strategies", "comparison_verdict", "analyze_panel", "fifo_match", "realized_gains", "ledger_running_balance",
+         "ledger_totals", "oversold_accounts", "liquidation_value", "ledger_mismatches", "xs_momentum_rank", "caar_by_category",
+         "verdicts", "bootstrap_gather", "bootstrap_sharpe_ci", "bootstrap_pvalue", "stationary_bootstrap", "walk_forward_plugin",
+         "walk_forward_plugin_summary", "recorded_sections", "load_bars_bucketed", "analysis_gates"}
 
 
 def test_every_query_has_a_twin():
@@ -20,7 +23,8 @@ def test_entry(spark):
 
 
 @pytest.mark.parametrize("key", ["latest_signal", "strategy_summary", "event_study", "realized_gains", "pbo", "rejects", "ledger_mismatches",
-                                 "series_fingerprint", "comparison_verdict"])
+                                 "series_fingerprint", "comparison_verdict", "analysis_gates", "recorded_sections", "payload_rejects",
+                                 "load_filings_beside_rejects", "walk_forward_plugin", "load_bars_bucketed"])
 def test_small_scale_twins(spark, sf_dir, key):
     from tools.check_oracles import TABLES, compare
 
@@ -55,10 +59,11 @@ def test_scan_reads_only_needed_columns(spark, sf_dir):
     assert "PushedFilters: [IsNotNull(l_shipdate), GreaterThanOrEqual(l_shipdate" in window
 
 
-@pytest.mark.parametrize("key, scans", [("latest_signal", 2), ("dsr", 2), ("ratio_asof", 4), ("reconcile_sources", 4),
+@pytest.mark.parametrize("key, scans", [("data_anomalies", 4), ("latest_signal", 2), ("dsr", 2), ("ratio_asof", 4), ("reconcile_sources", 4),
                                         ("ccl_level_gap", 8), ("load_filings", 1)])
 def test_facts_are_read_once(spark, sf_dir, key, scans):
-    """A panel of bars is two files (trades and orders); each side of a comparison is one panel."""
+    """A panel of bars is two files (trades and orders); each side of a comparison is one panel. The bars with anomalies
+    are a panel and its repeated dates."""
     assert plan_of(QUERIES[key](spark, sf_dir)).count("FileScan") <= scans
 
 

@@ -34,6 +34,61 @@ def test_filings_file(spark, tmp_path):
     assert out[0].label == "8-K" and out[0].url.endswith("/904851/123/a.htm") and out[0].category == "hecho_relevante"
 
 
+def test_broken_payloads_are_listed_and_lose_nothing_else(spark, tmp_path):
+    recent = {"form": ["8-K"], "filingDate": ["2024-01-02"], "accessionNumber": ["1-2-3"], "primaryDocument": ["a.htm"]}
+    good = json.dumps({"filings": {"recent": recent}})
+    bodies = [("A", good), ("A", good[:50]), ("B", '{"filings": {}}'), ("C", ""), ("C", None), ("C", " \n"), ("D", "[1, 2]"), ("E", "no json"), ("F", '{"filings": {"recent": {}}}')]
+    payloads = spark.createDataFrame([(t, 1, b) for t, b in bodies], "ticker string, cik long, body string")
+    rejects = {(r.series, r.reason): r.rows for r in rd.payload_rejects(payloads, "filings").collect()}
+    assert rejects == {("A", "MALFORMED"): 1, ("B", "NO_RECORDS"): 1, ("C", "EMPTY_BODY"): 3, ("D", "MALFORMED"): 1, ("E", "MALFORMED"): 1}
+    assert [r.ticker for r in rd.parse_filings(payloads, "2020-01-01").collect()] == ["A"]
+    index = spark.createDataFrame([("i", '{"data": [["2024-01-01", 1]]}'), ("j", "{"), ("k", '{"x": 1}')], "ticker string, body string")
+    assert {(r.series, r.reason) for r in rd.payload_rejects(index, "index").collect()} == {("j", "MALFORMED"), ("k", "NO_RECORDS")}
+    issuers = spark.createDataFrame([("i", '{"0": {"ticker": "a", "cik_str": 1}}'), ("j", "{"), ("k", "{}")], "ticker string, body string")
+    assert {(r.series, r.reason) for r in rd.payload_rejects(issuers, "issuers").collect()} == {("j", "MALFORMED"), ("k", "NO_RECORDS")}
+    path = tmp_path / "bad.json"
+    path.write_text(good[:50])
+    with pytest.raises(ln.MissingDataError):
+        rd.read_filings(spark, str(path), "YPF", 1, "2022-01-01")
+    assert rd.read_filings(spark, str(path), "YPF", 1, "2022-01-01", strict=False).isEmpty()
+
+
+def test_sections_are_recorded_while_they_are_written(spark, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame([("A", day("2024-01-02"), 1), ("A", day("2024-01-03"), 2), ("B", day("2024-01-05"), None)], "ticker string, d date, v int")
+
+    def counted(rows):
+        for r in rows:
+            reads.add(1)
+            yield r
+
+    section = spark.createDataFrame(df.rdd.mapPartitions(counted), df.schema)
+    digest = [F.col("ticker"), F.col("d"), F.col("v")]
+    records = {r.dataset_id: r for r in sinks.write_recorded({"all": sinks.Section(section, digest, ["raw"], ln.OBSERVED), "none": sinks.Section(df.limit(0), digest)}, str(tmp_path)).collect()}
+    assert reads.value == 3
+    want = df.agg(F.sum(ln.row_digest(digest)).cast("string")).first()[0]
+    r = records["all"]
+    assert (r.rows, r.first_obs, r.last_obs, r.content_hash, r.parents) == (3, day("2024-01-02"), day("2024-01-05"), want, ["raw"])
+    assert spark.read.parquet(r.source_url).count() == 3 and records["none"].rows == 0 and records["none"].first_obs is None
+
+
+def test_bucketed_bars_need_no_exchange(spark):
+    import uuid
+
+    from helpers import ohlcv_frame
+    from tidepanel.operators import signals as sg
+
+    bars = ohlcv_frame(spark, 400).unionByName(ohlcv_frame(spark, 400, 4, "B"))
+    table = f"bars_{uuid.uuid4().hex}"
+    sinks.write_bucketed(bars, table)
+    stored = rd.read_bucketed(spark, table)
+    built = sg.build_signals(stored)
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    assert sorted(map(str, built.collect())) == sorted(map(str, sg.build_signals(bars).collect()))
+    spark.sql(f"DROP TABLE {table}")
+
+
 def test_index_file_aborts_on_missing_month(spark, tmp_path):
     path = tmp_path / "i.json"
     path.write_text('{"data": [["2024-01-01", 100.5], ["2024-02-01", null]]}')
@@ -144,6 +199,22 @@ def test_deep_chains_and_cycles(spark):
             ln.ancestors(edges(cycle))
 
 
+def test_a_round_joins_new_pairs_only(spark, monkeypatch):
+    """A chain of 150: the rows of all joins are the pairs that they find, each once."""
+    rows = []
+    real = ln.further_pairs
+
+    def counted(far, known):
+        step = far.join(known.select(F.col("dataset_id").alias("ancestor"), F.col("ancestor").alias("above")), "ancestor")
+        rows.append(step.count())
+        return real(far, known)
+
+    monkeypatch.setattr(ln, "further_pairs", counted)
+    closure = ln.ancestors(spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(150)], "child string, parent string"))
+    assert closure.count() == 150 * 151 // 2 == sum(rows) + 150
+    assert len(rows) == 8
+
+
 def test_fingerprint_ignores_order_but_not_values(spark):
     df = spark.createDataFrame([("A", day("2024-01-02"), 1), ("A", day("2024-01-03"), 2)], "ticker string, d date, v int")
     h = lambda x: ln.fingerprint(x, [F.col("d"), F.col("v")]).first().content_hash

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidepanel.functions.numeric import ROWS_PER_YEAR, as_col, by_series, so_far
 from tidepanel.functions.probability import norm_cdf, norm_ppf, norm_ppf_value
-from tidepanel.operators.running import join_null_safe
+from tidepanel.operators.running import join_null_safe, running_aggregates
 from tidepanel.runtime import written
 
 EULER_GAMMA = 0.5772156649015329
@@ -167,55 +167,53 @@ def wrapped_positions(start: Column, length: int, n: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: ((start + i) % n).cast("int"))
 
 
-def _prefix_sums(returns: DataFrame, keys: Sequence[str], r: str) -> DataFrame:
-    """(keys, pos, s1, s2): sums of the first ``pos`` returns and of their squares, for 0 to twice the length of a
+def _prefix_sums(returns: DataFrame, r: str) -> DataFrame:
+    """(_sid, pos, s1, s2): sums of the first ``pos`` returns and of their squares, for 0 to twice the length of a
     series, so that a block that wraps around is a difference as well."""
-    w = by_series(keys)
-    whole = Window.partitionBy(*keys)
+    w = by_series(["_sid"])
+    whole = Window.partitionBy("_sid")
     rows = returns.select(
-        *keys, F.row_number().over(w).cast("long").alias("pos"), F.count(F.lit(1)).over(whole).alias("n"),
+        "_sid", F.row_number().over(w).alias("pos"), F.count(F.lit(1)).over(whole).alias("n"),
         F.sum(r).over(so_far(w)).alias("s1"), F.sum(F.col(r) * F.col(r)).over(so_far(w)).alias("s2"),
         F.sum(r).over(whole).alias("t1"), F.sum(F.col(r) * F.col(r)).over(whole).alias("t2"))
 
     def entry(pos: Column, s1: Column, s2: Column) -> Column:
-        return F.struct(pos.cast("long").alias("pos"), s1.alias("s1"), s2.alias("s2"))
+        return F.struct(pos.cast("int").alias("pos"), s1.alias("s1"), s2.alias("s2"))
 
     zero = entry(F.lit(0), F.lit(0.0), F.lit(0.0))
     own, again = entry(F.col("pos"), F.col("s1"), F.col("s2")), entry(F.col("pos") + F.col("n"), F.col("s1") + F.col("t1"), F.col("s2") + F.col("t2"))
-    return rows.select(*keys, F.inline(F.when(F.col("pos") == 1, F.array(zero, own, again)).otherwise(F.array(own, again))))
+    return rows.select("_sid", F.inline(F.when(F.col("pos") == 1, F.array(zero, own, again)).otherwise(F.array(own, again))))
 
 
-def _block_sums(replicates: DataFrame, prefix: DataFrame, keys: Sequence[str], draws: Column, p: float) -> DataFrame:
-    """Sums over the blocks of each replicate (keys, n, b, seed), from its first ``draws`` draws: one row per block, cut
-    off where the replicate is full."""
+def _block_sums(replicates: DataFrame, prefix: DataFrame, draws: Column, p: float) -> DataFrame:
+    """Sums over the blocks of each replicate (_sid, _rep, n, seed), from its first ``draws`` draws: one row per block, cut
+    off where the replicate is full.  Blocks live where their replicate does; only the prefix sums travel."""
     n = F.col("n")
-    blocks = replicates.select("*", F.explode(F.sequence(F.lit(0), draws - 1)).alias("_k"))
+    blocks = replicates.select("_sid", "_rep", "n", "seed", F.explode(F.sequence(F.lit(0), draws - 1)).alias("_k"))
     length = F.lit(1.0) if p == 1.0 else 1 + F.floor(F.ln(_uniform(F.col("seed"), 2 * F.col("_k") + 1)) / math.log(1 - p))
-    blocks = (blocks.withColumn("_start", F.floor(_uniform(F.col("seed"), 2 * F.col("_k")) * n).cast("long"))
-              .withColumn("_len", F.least(length, n).cast("long")))
-    order = Window.partitionBy(*keys, "_batch", "b").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = blocks.select("_sid", "_rep", "n", "_k", F.floor(_uniform(F.col("seed"), 2 * F.col("_k")) * n).cast("int").alias("_start"),
+                           F.least(length, n).cast("int").alias("_len"))
+    order = Window.partitionBy("_rep").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
     blocks = (blocks.withColumn("_before", F.sum("_len").over(order) - F.col("_len")).filter(F.col("_before") < n)
-              .withColumn("_take", F.least("_len", n - F.col("_before"))))
-    ends = blocks.select(*keys, "b", "_take", F.inline(F.array(
-        F.struct(F.col("_start").alias("pos"), F.lit(-1).alias("_sign")),
-        F.struct((F.col("_start") + F.col("_take")).alias("pos"), F.lit(1).alias("_sign")))))
-    found = join_null_safe(ends, prefix, [*keys, "pos"])
-    return found.groupBy(*keys, "b").agg(
-        F.sum(F.col("_sign") * F.col("s1")).alias("sum_r"), F.sum(F.col("_sign") * F.col("s2")).alias("sum_r2"),
-        F.count_if(F.col("_sign") > 0).cast("int").alias("blocks"), F.sum(F.when(F.col("_sign") > 0, F.col("_take"))).alias("rows_drawn"))
+              .withColumn("_take", F.least("_len", n - F.col("_before")).cast("int")).withColumn("_stop", F.col("_start") + F.col("_take")))
+    begin = prefix.select("_sid", F.col("pos").alias("_start"), F.col("s1").alias("_b1"), F.col("s2").alias("_b2"))
+    stop = prefix.select("_sid", F.col("pos").alias("_stop"), F.col("s1").alias("_e1"), F.col("s2").alias("_e2"))
+    found = blocks.join(begin, ["_sid", "_start"]).join(stop, ["_sid", "_stop"])
+    return found.groupBy("_rep").agg(
+        F.sum(F.col("_e1") - F.col("_b1")).alias("sum_r"), F.sum(F.col("_e2") - F.col("_b2")).alias("sum_r2"),
+        F.count(F.lit(1)).cast("int").alias("blocks"), F.sum("_take").alias("rows_drawn"))
 
 
 def bootstrap_replicates(panel: DataFrame, keys: Sequence[str] = KEYS, r: str = "net",
-                         replicates: int = 2000, mean_block: float = 21.0, seed: int = 42,
-                         batches: int = 16) -> DataFrame:
+                         replicates: int = 2000, mean_block: float = 21.0, seed: int = 42) -> DataFrame:
     """Stationary-bootstrap replicates: sums of the drawn returns and their squares,
     and the shape of the draw (blocks, rows drawn).
 
     Blocks wrap around and have geometric lengths drawn by inversion, so a
     replicate needs about ``n / mean_block`` draws rather than ``n``.  A block is
     a run of neighbouring rows: its sums are differences of prefix sums.  Blocks
-    are rows of a few numbers, generated where their batch of replicates lives;
-    they meet the prefix sums by position, so few series still fill a cluster.
+    are rows of a few numbers, generated where their replicate lives; replicates
+    are dealt over all tasks, so few series still fill a cluster.
 
     The generator is seeded by a digest of (seed, series, replicate), so any task
     can repeat a draw.  Blocks are drawn until the replicate is full: usually a
@@ -224,28 +222,32 @@ def bootstrap_replicates(panel: DataFrame, keys: Sequence[str] = KEYS, r: str =
     """
     keys = list(keys)
     returns = written(panel.filter(F.col(r).isNotNull()).select(*keys, "d", r), "returns")
-    prefix = written(_prefix_sums(returns, keys, r), "prefix")
-    series = returns.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), sharpe_agg(r).alias("sharpe"), F.sum(r).alias("t1"))
-    series = written(series, "series")
-    tasks = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = -(-replicates // batches)
-    first = F.col("_batch") * size + 1
+    series = (returns.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), sharpe_agg(r).alias("sharpe"), F.sum(r).alias("t1"))
+              .withColumn("_all", F.lit(0)).withColumn("_one", F.lit(1).cast("long")))
+    series = running_aggregates(series, ["_all"], keys, {"_sid": ("sum", "_one")}).withColumn("_sid", F.col("_sid").cast("int"))
+    series = written(series.drop("_all", "_one"), "series")
+    prefix = written(_prefix_sums(join_null_safe(returns, series.select(*keys, "_sid"), keys), r), "prefix")
     label = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("b").cast("string"))
     digest = F.conv(F.substring(F.md5(label), 1, 12), 16, 10).cast("long") % (_MODULUS - 1) + 1
-    each = (series.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // size) - 1))).alias("_batch"))
-            .repartition(tasks, *keys, "_batch")
-            .select("*", F.explode(F.sequence(first, F.least(first + size - 1, F.lit(replicates)))).alias("b"))
-            .withColumn("seed", digest))
+    tasks = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = (series.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+            .select("_sid", "n", digest.alias("seed"), (F.col("_sid").cast("long") * replicates + F.col("b") - 1).alias("_rep"))
+            .repartition(tasks, "_rep"))
 
     p = 1.0 / max(mean_block, 1.0)
     n = F.col("n").cast("double")
     usual = F.least(n, F.ceil(n * p + 6 * F.sqrt(n * p * (1 - p)) + 10)).cast("int")
-    drawn = written(_block_sums(each, prefix, keys, usual, p), "replicates")
-    short = join_null_safe(drawn, series.select(*keys, "n"), keys).filter("rows_drawn < n").select(*keys, "b")
+    drawn = written(_block_sums(each, prefix, usual, p), "replicates")
+
+    def named(sums: DataFrame) -> DataFrame:
+        sums = sums.withColumn("_sid", F.floor(F.col("_rep") / replicates).cast("int")).withColumn("b", (F.col("_rep") % replicates + 1).cast("int"))
+        return sums.join(series, "_sid")
+
+    short = named(drawn).filter("rows_drawn < n").select("_rep")
     if not short.isEmpty():
-        rest = _block_sums(join_null_safe(each, short, [*keys, "b"], "left_semi"), prefix, keys, F.col("n").cast("int"), p)
-        drawn = join_null_safe(drawn, short, [*keys, "b"], "left_anti").unionByName(rest)
-    return join_null_safe(drawn, series, keys).select(*keys, "b", "n", "sharpe", "sum_r", "sum_r2", "t1", "blocks", "rows_drawn")
+        rest = _block_sums(each.join(short, "_rep", "left_semi").repartition(tasks, "_rep"), prefix, F.col("n").cast("int"), p)
+        drawn = drawn.join(short, "_rep", "left_anti").unionByName(rest)
+    return named(drawn).select(*keys, "b", "n", "sharpe", "sum_r", "sum_r2", "t1", "blocks", "rows_drawn")
 
 
 def bootstrap_sharpe(panel: DataFrame, keys: Sequence[str] = KEYS, r: str = "net",

@@ -105,7 +105,8 @@ def running_aggregates(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                    if kind == "last" else _FOLD[kind](whole).over(earlier))
         states = states.withColumn(f"_off_{out}", carried)
     offsets = states.filter("_ranges > 1").select(*cell, *[c for c in states.columns if c.startswith(("_off_", "_base_"))])
-    joined = join_null_safe(rows, offsets, cell, "left", small=True)  # at most two keys a range
+    offsets = written(offsets.coalesce(1), "offsets")  # at most two keys a range
+    joined = join_null_safe(rows, offsets, cell, "left", small=True)
 
     def value(out: str, kind: str) -> Column:
         inner, carried = F.col(f"_in_{out}"), F.col(f"_off_{out}")

@@ -158,7 +158,7 @@ def payload_rejects(payloads: DataFrame, stage: str, keys: Sequence[str] = ("tic
     (NULL or blank), MALFORMED (no JSON of the expected shape) or NO_RECORDS (the
     list of records is missing).  All others are parsed, each by itself.
     """
-    empty = F.trim(F.coalesce(F.col(body), F.lit(""))) == ""
+    empty = ~F.coalesce(F.col(body).rlike("\\S"), F.lit(False))
     if stage == "filings":
         parsed = once(_filings_of(body))
         broken, none = F.col("_p").isNull() | F.col(f"_p.{CORRUPT}").isNotNull(), F.col("_p.filings.recent").isNull()
