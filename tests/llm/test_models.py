@@ -398,6 +398,20 @@ def test_places_and_bands_let_in_every_linked_size(spark):
     assert grid.filter(enough & ~groups._band(y).between(groups._band(F.ceil(x * 4 / 5)), groups._band(largest))).isEmpty()
 
 
+def test_linked_sets_share_the_wanted_leading_tokens():
+    rng = np.random.default_rng(2)
+    sizes = [(int(a), int(b)) for a in rng.integers(1, 120, 60) for b in range(-(-int(a) * 4 // 5), int(a) * 5 // 4 + 1)]
+    for s, t in sizes:
+        common = -(-4 * (s + t) // 9)
+        if common > min(s, t):
+            continue
+        order = rng.permutation(s + t - common)  # a common order of all tokens
+        x, y = np.sort(order[:s]), np.sort(order[s - common:])
+        lists = [set(z[:len(z) - -(-len(z) * 4 // 5) + 1].tolist()) for z in (x, y)]
+        rest = max(-(-s * 4 // 5), -(-t * 4 // 5)) - 1
+        assert len(lists[0] & lists[1]) >= max(common - rest, 1)
+
+
 def test_near_copies_that_do_not_link_form_few_pairs(spark):
     """Copies of one text of 60 words, two words changed in each: most do not link, and all hold the same passages. The
     passages' places let none of them in; what meets are the few copies whose changes touch hardly a shingle."""

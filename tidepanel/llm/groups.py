@@ -11,7 +11,7 @@
    that many otherwise different texts hold come behind their own tokens and are entered for no band at all.
 4. A node opens the groups that hold one of its leading tokens for its band of sizes, and all others stay closed: the sets
    there cannot overlap enough. Members of groups that have opened each other, by a token that the places and sizes of
-   both allow, are verified on the whole texts.
+   both allow, are verified on the whole texts if their leading tokens share what a link leaves to them.
 
 Every pair of linked sets is verified directly, or both of its ends are already in one group.
 """
@@ -33,7 +33,7 @@ WORDS = 5
 FIFTHS = 4
 MARKS = 6
 #: Sizes up to this are bands of their own, above it a band is so many per cent wide.
-EXACT_SIZES, BAND_WIDTH = 50, 1.02
+EXACT_SIZES, BAND_WIDTH = 25, 1.04
 SLOT_BITS = 22
 LOCAL_TOKENS = 4_000_000
 #: Times that nodes are compared with a head of their min-hash before the matrix.
@@ -306,6 +306,21 @@ def facing_pairs(opened: DataFrame) -> DataFrame:
     return both.filter(_sizes_fit("size", "size_b")).select("a", "b").distinct()
 
 
+def _wanted(size: F.Column, other: F.Column) -> F.Column:
+    """Leading tokens that linked sets of these sizes share at least. Of the set whose leading tokens end first in the common
+    order, only the rest can add to what the leading tokens share."""
+    rest = lambda x: F.ceil(x * FIFTHS / 5) - 1
+    return F.greatest(F.ceil((size + other) * FIFTHS / (FIFTHS + 5)) - F.greatest(rest(size), rest(other)), F.lit(1))
+
+
+def sharing_pairs(pairs: DataFrame, lead: DataFrame) -> DataFrame:
+    """The pairs whose leading tokens share as many as a link of their sizes needs; only the lists of nodes in pairs move."""
+    named = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "named")
+    lists = stored(lead.select("node", "size", "tokens").join(_small(named), "node", "left_semi").dropDuplicates(["node"]), "lists")
+    both = pairs.join(lists.toDF("a", "size", "tokens"), "a").join(lists.toDF("b", "size_b", "tokens_b"), "b")
+    return both.filter(F.size(F.array_intersect("tokens", "tokens_b")) >= _wanted(F.col("size"), F.col("size_b"))).select("a", "b")
+
+
 def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Shingle counts and components of all documents: (doc_id, n_shingles, component_id).
 
@@ -336,7 +351,7 @@ def link_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     lead = lead.join(_small(groups), "node", "left").withColumn("group", F.coalesce("component", "node"))
     cells = stored(matrix_cells(lead), "cells")
     opened = stored(open_groups(cells), "opened")
-    second = stored(facing_pairs(opened), "pairs")
+    second = stored(sharing_pairs(stored(facing_pairs(opened), "pairs"), lead), "pairs")
     more = stored(verify(second, source, nodes, "text"), "links")
     if not more.isEmpty():
         groups = components(links.union(more))
