@@ -68,12 +68,12 @@ def _field_buckets(name: str, field: Column) -> Column:
     """Buckets of one field's n-grams, in time linear in its length: it is cut into code points once, which are bound as an
     element of an array, and every gram is put together from its places."""
 
+    def grams(chars: Column, n: int) -> Column:
+        at = F.when(F.size(chars) >= n, F.sequence(F.lit(0), F.size(chars) - F.lit(n))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.pmod(F.xxhash64(F.lit(name), F.concat(*(F.get(chars, i + F.lit(k)) for k in range(n)))), F.lit(BUCKETS)).cast("int"))
+
     def slid(chars: Column) -> Column:
-        grams = []
-        for n in GRAMS:
-            at = F.when(F.size(chars) >= n, F.sequence(F.lit(0), F.size(chars) - F.lit(n))).otherwise(F.array().cast("array<int>"))
-            grams.append(F.transform(at, lambda i, n=n: F.pmod(F.xxhash64(F.lit(name), F.concat(*(F.get(chars, i + F.lit(k)) for k in range(n)))), F.lit(BUCKETS)).cast("int")))
-        return F.flatten(F.array(*grams))
+        return F.flatten(F.array(*(grams(chars, n) for n in GRAMS)))
 
     return F.get(F.transform(F.array(F.regexp_extract_all(field, F.lit("(?s)(.)"), F.lit(1))), slid), F.lit(0))
 
