@@ -315,7 +315,7 @@ def _wanted(size: F.Column, other: F.Column) -> F.Column:
 
 def sharing_pairs(pairs: DataFrame, lead: DataFrame) -> DataFrame:
     """The pairs whose leading tokens share as many as a link of their sizes needs; only the lists of nodes in pairs move."""
-    named = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "named")
+    named = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "named")
     lists = stored(lead.select("node", "size", "tokens").join(_small(named), "node", "left_semi").dropDuplicates(["node"]), "lists")
     both = pairs.join(lists.toDF("a", "size", "tokens"), "a").join(lists.toDF("b", "size_b", "tokens_b"), "b")
     return both.filter(F.size(F.array_intersect("tokens", "tokens_b")) >= _wanted(F.col("size"), F.col("size_b"))).select("a", "b")
