@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import chunks, components, expand, map_arrow, stored, text_buffers
+from tidepanel.llm.common import chunks, components, discard, expand, map_arrow, stored, text_buffers
 
 WORDS = 5
 #: Similarity of a link, in fifths: 4 / 5.
@@ -177,8 +177,7 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text: str) -> Da
     which adaptive execution splits.
     """
     wanted = stored(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "rep"), "wanted")
-    wanted = _small(wanted.withColumnRenamed("rep", "named"))
-    texts = docs.select(F.col("doc_id").alias("rep"), F.col(text).alias("text")).join(wanted, F.col("rep").eqNullSafe(F.col("named")))
+    texts = docs.select(F.col("doc_id").alias("rep"), F.col(text).alias("text")).join(_small(wanted.withColumnRenamed("rep", "named")), F.col("rep").eqNullSafe(F.col("named")))
     texts = stored(texts.select("node", "text"), "texts")
     first, second = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
     both = pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
@@ -199,7 +198,9 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text: str) -> Da
                     keep.append((FIFTHS + 5) * shared >= FIFTHS * (len(x) + len(y)) and _node(x) == left[i + k] and _node(y) == right[i + k])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return map_arrow(both, work, "a long, b long")
+    found = stored(map_arrow(both, work, "a long, b long"), "links")
+    discard(wanted, texts)
+    return found
 
 
 def leading_tokens(docs: DataFrame, levels: np.ndarray, text: str) -> DataFrame:
@@ -267,7 +268,8 @@ def star_links(ranked: DataFrame, source: DataFrame, nodes: DataFrame) -> tuple[
         heads = stored(heads.filter("low <> high").select(*key, "head.*").withColumnRenamed("node", "b").withColumnRenamed("size", "other").withColumnRenamed("group", "into").drop("rare"), "heads")
         pairs = open_.join(heads, key).filter(F.col("group") != F.col("into")).filter(_sizes_fit("size", "other"))
         pairs = stored(pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "pairs")
-        found = stored(verify(pairs, source, nodes, "text"), "links")
+        found = verify(pairs, source, nodes, "text")
+        discard(pairs)
         links = found if links is None else links.union(found)
         groups = components(links)
         fresh = heads.select(*key, F.col("b").alias("node"))
@@ -281,13 +283,15 @@ def matrix_cells(lead: DataFrame) -> DataFrame:
     cells = lead.select("node", "group", "size", F.posexplode("tokens").alias("place", "token"))
     # most tokens are in one group only; those that stay are few
     several = stored(cells.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("token"), "tokens")
-    cells = stored(cells.join(F.broadcast(several) if several.count() <= BROADCAST_TOKENS else several, "token", "left_semi").distinct(), "cells")
-    held = stored(cells.groupBy("token").agg(F.min("size").alias("least"), F.max("size").alias("most")), "held")
-    cells = (cells.join(_small(held), "token")
+    shared = stored(cells.join(F.broadcast(several) if several.count() <= BROADCAST_TOKENS else several, "token", "left_semi").distinct(), "cells")
+    held = stored(shared.groupBy("token").agg(F.min("size").alias("least"), F.max("size").alias("most")), "held")
+    cells = (shared.join(_small(held), "token")
              .withColumn("smallest", F.greatest(F.ceil(F.col("size") * FIFTHS / 5), "least"))
              .withColumn("largest", F.least(_largest(F.col("size"), F.col("place")), "most")).filter("smallest <= largest"))
-    return cells.select("token", "node", "group", "size", "largest", _band(F.col("size")).alias("band"),
-                        F.explode(F.sequence(_band(F.col("smallest")), _band(F.col("largest")))).alias("facing"))
+    cells = stored(cells.select("token", "node", "group", "size", "largest", _band(F.col("size")).alias("band"),
+                                F.explode(F.sequence(_band(F.col("smallest")), _band(F.col("largest")))).alias("facing")), "cells")
+    discard(several, shared, held)
+    return cells
 
 
 def open_groups(cells: DataFrame) -> DataFrame:
@@ -349,10 +353,11 @@ def link_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
     # the matrix: leading tokens by group, of tokens that two groups hold
     lead = lead.join(_small(groups), "node", "left").withColumn("group", F.coalesce("component", "node"))
-    cells = stored(matrix_cells(lead), "cells")
+    cells = matrix_cells(lead)
     opened = stored(open_groups(cells), "opened")
     second = stored(sharing_pairs(stored(facing_pairs(opened), "pairs"), lead), "pairs")
-    more = stored(verify(second, source, nodes, "text"), "links")
+    discard(cells, opened)
+    more = verify(second, source, nodes, "text")
     if not more.isEmpty():
         groups = components(links.union(more))
 
