@@ -1,7 +1,9 @@
 import duckdb
 import pytest
+from pyspark.sql import DataFrame
 
 import __spark_entry__ as entry
+from tidepanel.plans import analysis as an
 from tidepanel.plans import panel as pn
 from tidepanel.plans.queries import QUERIES, strategy_panel
 
@@ -67,6 +69,24 @@ def test_facts_are_read_once(spark, sf_dir, key, scans):
     assert plan_of(QUERIES[key](spark, sf_dir)).count("FileScan") <= scans
 
 
+@pytest.mark.parametrize("key", ["analysis_gates"])
+def test_whole_runs_form_their_bars_once(spark, sf_dir, monkeypatch, key):
+    """Every table that a whole run gets comes from the written bars: only their first plan joins trades."""
+
+    class Given(Exception):
+        pass
+
+    def given(panel, market, events, **others):
+        gates = others.get("gates")
+        raise Given([panel, market, *[t for t in [others.get("secondary"), *(vars(gates).values() if gates else ())] if isinstance(t, DataFrame)]])
+
+    monkeypatch.setattr(an, "analyze_panel", given)
+    with pytest.raises(Given) as found:
+        QUERIES[key](spark, sf_dir)
+    tables = found.value.args[0]
+    assert len(tables) > 2 and all("l_orderkey" not in plan_of(t) for t in tables)
+
+
 def test_json_is_parsed_once(spark, sf_dir):
     for key in ("load_filings", "json_functions"):
         plan = QUERIES[key](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()

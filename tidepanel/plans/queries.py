@@ -1095,7 +1095,7 @@ def recorded_sections(spark, sf_dir):
 @query("analysis_gates")
 def analysis_gates(spark, sf_dir):
     """A whole run in which one series has a split on one side only, one is synthetic, and one takes another one's events."""
-    b = pn.bars(spark, sf_dir)
+    b = written(pn.bars(spark, sf_dir), "bars")  # the gates, every section and the market read them
     wrong = fx.implied_rate(*_pair(b.filter("ticker = '2-HIGH'"), "local_raw"), _ratio_history(b))
     rates = _rates(b).filter("ticker <> '2-HIGH'").unionByName(wrong)
     tickers = b.select("ticker").distinct()
