@@ -69,7 +69,7 @@ def test_facts_are_read_once(spark, sf_dir, key, scans):
     assert plan_of(QUERIES[key](spark, sf_dir)).count("FileScan") <= scans
 
 
-@pytest.mark.parametrize("key", ["analysis_gates"])
+@pytest.mark.parametrize("key", ["analysis_gates", "analyze_panel"])
 def test_whole_runs_form_their_bars_once(spark, sf_dir, monkeypatch, key):
     """Every table that a whole run gets comes from the written bars: only their first plan joins trades."""
 

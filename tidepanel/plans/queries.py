@@ -1006,7 +1006,7 @@ def comparison_verdict(b):
 
 @query("analyze_panel")
 def analyze_panel(spark, sf_dir):
-    b = pn.bars(spark, sf_dir)
+    b = written(pn.bars(spark, sf_dir), "bars")  # every section and the market read them
     sections = an.analyze_panel(b, pn.market_returns(b), pn.corporate_events(spark, sf_dir),
                                 secondary=pn.secondary_close(b.filter("ticker <> '5-LOW'")))
     return tidy(an.analysis_overview(sections))
