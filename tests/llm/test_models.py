@@ -269,6 +269,17 @@ def test_features_by_definition(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, rarity.features(data, offsets)))
 
 
+def test_window_sums_across_stretches(monkeypatch):
+    """Bytes are counted by stretches: windows that cross them have the sums of the definition."""
+    monkeypatch.setattr(rarity, "STRETCH", 100)
+    rng = np.random.default_rng(3)
+    for n in (64, 65, 99, 100, 101, 163, 164, 700):
+        for kinds in (1, 3, 256):
+            data = rng.integers(0, kinds, n).astype(np.uint8)
+            expected = [sum(int(rarity._TERM[c]) for c in Counter(data[k:k + rarity.WINDOW].tolist()).values()) for k in range(n - rarity.WINDOW + 1)]
+            assert rarity._window_sums(data).tolist() == expected, (n, kinds)
+
+
 def test_short_texts_are_compared_by_small_windows():
     one = "A short line about a brown fox that jumps over a lazy dog."
     texts = [one, one.replace("brown", "brawn"), "Nothing of that kind is said in this other line of words.", one[:29] + "quite another second half of it", "tiny", "tiny", "tine"]

@@ -32,6 +32,8 @@ FILTER_FEATURES = 160
 TYPICAL, LEAST, MOST = 690, 100, 990
 #: Bytes that are looked at together; longer texts go in overlapping segments with the same result.
 SEGMENT = 1_000_000
+#: Bytes whose equals within a window are counted at once.
+STRETCH = 1 << 16
 
 _SCALE = 1024
 _TERM = np.rint(np.arange(WINDOW + 1) * np.log2(np.maximum(np.arange(WINDOW + 1), 1)) * _SCALE).astype(np.int32)
@@ -41,21 +43,19 @@ _NEVER = np.int64(1) << 20
 def _window_sums(data: np.ndarray) -> np.ndarray:
     """Sum of c * log2(c) over the byte counts c of the window that starts at each place, for all full windows."""
     n = len(data)
-    order = np.argsort(data, kind="stable")
-    key = data[order].astype(np.int64) << 40 | order
-    back, ahead = np.zeros(n, np.int32), np.ones(n, np.int32)  # equal bytes within a window before, and from here on
-    active, lag = np.arange(1, n), 1
-    while active.size:
-        active = active[key[active] - key[active - lag] < WINDOW]
-        back[active] += 1
-        ahead[active - lag] += 1
-        lag += 1
-        active = active[active >= lag]
-    step = np.diff(_TERM)
-    gain, loss = np.empty(n, np.int64), np.empty(n, np.int64)
+    back, ahead = np.zeros(n, np.uint8), np.zeros(n, np.uint8)  # equal bytes within a window before, and behind
+    for first in range(0, n, STRETCH):  # short enough for a core's cache
+        last = min(first + STRETCH, n)
+        same = np.empty(last - first, bool)
+        for lag in range(1, min(WINDOW, n - first)):
+            size = min(last, n - lag) - first
+            np.equal(data[first:first + size], data[first + lag:first + lag + size], out=same[:size])
+            met = same[:size].view(np.uint8)
+            ahead[first:first + size] += met
+            back[first + lag:first + lag + size] += met
+    step = np.diff(_TERM).astype(np.int64)
     # the byte that leaves goes first, so a byte that is met again exactly one window later starts from the lower count
-    gain[order] = step[np.minimum(back, WINDOW - 1)]
-    loss[order] = step[ahead - 1]
+    gain, loss = step[back], step[ahead]
     grown = np.cumsum(gain)
     return grown[WINDOW - 1:] - np.concatenate(([0], np.cumsum(loss)))[:n - WINDOW + 1]
 
