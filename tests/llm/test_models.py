@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -113,6 +114,20 @@ def test_quality_of_labelled_documents(spark):
     assert all(0 <= r["quality_score"] <= 1 for r in rows.values())
 
 
+def test_features_of_a_large_batch_take_little_memory(monkeypatch):
+    """Python workers hold a chunk of a batch at a time, with about a hundred bytes for each of it, and small tables of powers."""
+    monkeypatch.setattr(groups, "_powers", {})
+    texts = [prose(k, 400) for k in range(1500)]
+    data, offsets = common.text_buffers(pa.array(texts, pa.large_string()))
+    assert len(data) > 2_000_000
+    tracemalloc.start()
+    parts = [cotraining.text_view(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]) for i, j in common.chunks(offsets)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50_000_000, peak
+    assert np.array_equal(np.concatenate(parts), cotraining.text_view(data, offsets))
+
+
 def test_quality_of_odd_rows(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([(None, 1, 0), (1, None, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")

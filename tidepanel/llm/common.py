@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 import tidepanel
 
-CHUNK_BYTES = 2_000_000
+#: Bytes of a batch that are looked at together: a Python worker holds about a hundred bytes for each.
+CHUNK_BYTES = 400_000
 
 
 def shared_folder(spark: SparkSession) -> str:

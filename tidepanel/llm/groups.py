@@ -54,7 +54,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(name: str, base: np.uint64, size: int) -> np.ndarray:
     """Powers of a number modulo 2 ** 64, grown on demand."""
     if name not in _powers or len(_powers[name]) < size:
-        steps = np.full(max(size, 1 << 21), base, np.uint64)
+        steps = np.full(max(size, 1 << 19), base, np.uint64)
         steps[0] = 1
         _powers[name] = np.multiply.accumulate(steps)
     return _powers[name][:size]
